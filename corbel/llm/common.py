@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: separators of words, once A-Z is lower-cased.
@@ -94,11 +94,19 @@ def ascii_lower(text: Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a, b) as (node, label): the smallest node of each.
 
-    Labels go along edges and through one pointer jump a round until none
-    changes. Minima are taken before the shuffle, and the joins are plain
-    equi-joins that adaptive execution splits where a hub has many edges.
+    Each edge is turned to its smaller end, and a node's smaller neighbours are
+    hung on the smallest of them: as many edges as nodes are left, but for a few,
+    where a group's members had met in many buckets. Callers give a node a bounded
+    number of smaller neighbours (one for each band, or block). Then labels go
+    along edges and through one pointer jump a round until none changes; minima
+    are taken before the shuffle, and the joins are plain equi-joins that adaptive
+    execution splits where a hub has many edges.
     """
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+    down = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    low = F.min("b").over(Window.partitionBy("a"))
+    pairs = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y"))))
+    few = staged(down.withColumn("m", low).select(pairs.alias("e")).select("e.x", "e.y").filter("x <> y").distinct(), "edges")
+    both = few.select(F.col("x").alias("a"), F.col("y").alias("b")).union(few.select(F.col("y"), F.col("x")))
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
