@@ -87,6 +87,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
+def hashed(text: Column, digits: int = 15) -> Column:
+    """The first hex digits of a text's md5 as a number: 60 bits at 15 digits, and the same in any engine."""
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

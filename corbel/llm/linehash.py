@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, skew_lookup, staged
+from .common import broadcast_if, skew_lookup, staged
 
 LEAST = 16
 UNITS = {"line": r"(?<=\n)", "paragraph": r"(?<=\n\n)(?!\n)"}
@@ -60,8 +60,8 @@ def deduplicated(docs: DataFrame, unit: str = "line", least: int = LEAST, doc_id
     per = staged(per.withColumnsRenamed({"_id": "_i", "_hash": "_h"}), "spans")
     base = docs.withColumns({"_id": F.col(doc_id), "_hash": F.xxhash64(text)})
     twice = staged(base.groupBy("_id", "_hash").count().filter("count > 1").select(F.col("_id").alias("_i2"), F.col("_hash").alias("_h2")), "twins")
-    n = per.count()
-    per = F.broadcast(per) if n <= 100_000 else per
+    n = per.agg(F.coalesce(F.sum(1 + F.size("later") + F.size("kept")), F.lit(0))).first()[0]  # rows and spans
+    per = broadcast_if(per, n)
     both = base.join(per, base["_id"].eqNullSafe(per["_i"]) & base["_hash"].eqNullSafe(per["_h"]), "left")
     if twice.limit(1).count():
         # Of equal rows only the first keeps the units that rank first.

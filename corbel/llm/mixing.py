@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, staged
+from .common import BROADCAST_ROWS, hashed, staged
 
 #: Fixed value: what a word is, for sizes.
 SIZE_WORD = r"[^\x20\x09-\x0D]+"
@@ -61,17 +61,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, total: float | None = None, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight_col: str | None = None) -> DataFrame:
     """A row for each document: _id, _hash, source, size, source_size, target, copies, taken."""
     own = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
-    slim = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.greatest(own, F.lit(0.0)).alias("_w"))
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    u = (hashed(name, 13) + 0.5) / F.lit(float(1 << 52))
+    slim = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.greatest(own, F.lit(0.0)).alias("_w"), u.alias("u"))
     slim = staged(slim, "sizes")
     per = staged(source_targets(slim, weights, cap, total).join(slim.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("size") * F.col("_w")).alias("_mass")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "targets")
     n_sources = per.count()
     look = F.broadcast(per) if n_sources <= BROADCAST_ROWS else per
     look = look.withColumnRenamed("source", "_s")
     rate = F.least(F.lit(float(cap)), F.try_divide(F.col("target") * F.col("_w"), F.col("_mass")))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_id", "_hash"), 11) + 0.5) / F.lit(float(1 << 53))
     rows = slim.join(look, slim["source"].eqNullSafe(look["_s"]), "left").drop("_s")
     rows = rows.withColumn("rate", F.coalesce(rate, F.lit(0.0))).withColumn("whole", F.floor("rate").cast("long"))
-    rows = rows.withColumn("f", F.col("rate") - F.col("whole")).withColumn("u", u)
+    rows = rows.withColumn("f", F.col("rate") - F.col("whole"))
     # The rank as a number below 1: q / (1 + q), q the random odds over the inclusion odds.
     odds = F.col("u") * (1 - F.col("f"))
     rows = rows.withColumn("rank", F.when((F.col("f") > 0) & (F.col("size") > 0), odds / (odds + (1 - F.col("u")) * F.col("f"))))
@@ -141,3 +142,22 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 def op1_rows(docs: DataFrame) -> DataFrame:
     """The contract's columns, and source and copies."""
     return mix(docs).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  (CAST('0x' || substr(md5('7:' || doc_id || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS BIGINT) + 1] AS weight FROM d GROUP BY source),
+t AS (SELECT *, 3.0::DOUBLE * source_size AS room, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+v AS (SELECT *, (total - coalesce(sum(room) OVER (ORDER BY room / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE)) / sum(weight) OVER (ORDER BY room / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM t),
+x AS (SELECT *, max(CASE WHEN level * weight <= room THEN level END) OVER () AS lv FROM v),
+g AS (SELECT source, source_size, greatest(0.0::DOUBLE, CASE WHEN lv IS NULL THEN room ELSE least(room, lv * weight) END) AS target FROM x),
+r AS (SELECT d.*, source_size, target, coalesce(least(3.0::DOUBLE, target / nullif(CAST(source_size AS DOUBLE), 0)), 0.0::DOUBLE) AS rate FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+f AS (SELECT *, CAST(floor(rate) AS BIGINT) AS whole, rate - floor(rate) AS f FROM r),
+q AS (SELECT *, CASE WHEN f > 0 AND size > 0 THEN u * (1 - f) / (u * (1 - f) + (1 - u) * f) END AS rank, target - sum(whole * size) OVER (PARTITION BY source) AS need FROM f),
+c AS (SELECT *, CASE WHEN rank IS NOT NULL AND sum(CASE WHEN rank IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) <= need THEN 1 ELSE 0 END AS extra FROM q),
+e AS (SELECT *, need - sum(extra * size) OVER (PARTITION BY source) AS gap FROM c),
+o AS (SELECT *, extra = 0 AND whole < 3 AND size > 0 AND abs(size - gap) < abs(gap) AS able FROM e),
+p AS (SELECT *, able AND row_number() OVER (PARTITION BY source, able ORDER BY abs(size - gap), coalesce(rank, 2.0), doc_id) = 1 AS closing FROM o)
+SELECT doc_id, size, source_size, target, source, CAST(whole + extra + CASE WHEN closing THEN 1 ELSE 0 END AS BIGINT) AS copies, CAST((whole + extra + CASE WHEN closing THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM p
+"""

@@ -57,4 +57,4 @@ def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pareto_mix, op2_differencing_shards, op3_block_top_k, op4_token_counts, op5_decontamination, op6_personal_data, op7_jaccard_join, op8_line_hashing, op9_quality_rules, op10_line_winnowing)}
 
-SQL: dict[str, str] = {"op3_block_top_k": topk.OP3_SQL, "op5_decontamination": decontam.OP5_SQL, "op7_jaccard_join": jaccard.OP7_SQL, "op8_line_hashing": linehash.OP8_SQL}
+SQL: dict[str, str] = {"op1_pareto_mix": mixing.OP1_SQL, "op3_block_top_k": topk.OP3_SQL, "op5_decontamination": decontam.OP5_SQL, "op7_jaccard_join": jaccard.OP7_SQL, "op8_line_hashing": linehash.OP8_SQL, "op10_line_winnowing": winnow.OP10_SQL}

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_lookup, staged
+from .common import broadcast_if, hashed, skew_lookup, staged
 from .linehash import normalised
 
 K, W = 3, 2
@@ -34,7 +34,7 @@ K, W = 3, 2
 def line_hashes(text: Column) -> Column:
     """array<struct<line, h>> of the lines that are not blank: number in the text, and hash."""
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), normalised(x).alias("n")))
-    return F.transform(F.filter(lines, lambda x: x["n"] != ""), lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["n"]).alias("h")))
+    return F.transform(F.filter(lines, lambda x: x["n"] != ""), lambda x: F.struct(x["line"].alias("line"), hashed(x["n"]).alias("h")))
 
 
 def fingerprints(lines: Column, k: int = K, w: int = W) -> Column:
@@ -42,7 +42,7 @@ def fingerprints(lines: Column, k: int = K, w: int = W) -> Column:
     hs = F.transform(lines, lambda x: x["h"])
     n = F.size(lines)
     reach = k + w - 2
-    grams = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda p: F.xxhash64(F.slice(hs, p + 1, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda p: hashed(F.array_join(F.transform(F.slice(hs, p + 1, F.lit(k)), lambda h: h.cast("string")), ",")))).otherwise(F.array().cast("array<bigint>"))
     near = lambda g, p: F.slice(g, F.greatest(p - w + 2, F.lit(1)), F.least(p + 1, F.lit(w)))  # noqa: E731  the window that ends at p
 
     def picked(g: Column) -> Column:
@@ -87,7 +87,7 @@ def repeated_runs(docs: DataFrame, k: int = K, w: int = W, doc_id: str = "doc_id
 def deduplicated(docs: DataFrame, k: int = K, w: int = W, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: its columns with the lines that stay, and `gone`: numbers of the deleted lines."""
     per = staged(repeated_runs(docs, k, w, doc_id, text).withColumnsRenamed({"_id": "_i", "_hash": "_h"}), "runs")
-    per = F.broadcast(per) if per.count() <= 100_000 else per
+    per = broadcast_if(per, per.agg(F.coalesce(F.sum(1 + F.size("gone")), F.lit(0))).first()[0])  # rows and line numbers
     base = docs.withColumns({"_id": F.col(doc_id), "_hash": F.xxhash64(text)})
     both = base.join(per, base["_id"].eqNullSafe(per["_i"]) & base["_hash"].eqNullSafe(per["_h"]), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
@@ -101,3 +101,22 @@ def op10_rows(docs: DataFrame) -> DataFrame:
     slim = slim.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     got = deduplicated(slim)
     return got.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_gone"), F.array_join(F.transform("gone", lambda x: x.cast("string")), ",").alias("gone"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents),
+n AS (SELECT doc_id, i - 1 AS line, trim(regexp_replace(lower(p[i]), '[\s\x00-\x20]+', ' ', 'g')) AS n FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)),
+a AS (SELECT doc_id, list(line ORDER BY line) AS nums, list(CAST('0x' || substr(md5(n), 1, 15) AS BIGINT) ORDER BY line) AS hs FROM n WHERE n <> '' GROUP BY doc_id),
+g AS (SELECT doc_id, [CAST('0x' || substr(md5(hs[i] || ',' || hs[i + 1] || ',' || hs[i + 2]), 1, 15) AS BIGINT) FOR i IN range(1, len(hs) - 1)] AS gs FROM a WHERE len(hs) >= 3),
+w AS (SELECT doc_id, gs, unnest(range(least(len(gs), 2) - 1, len(gs))) AS p FROM g),
+f AS (SELECT DISTINCT doc_id, CASE WHEN p = 0 OR gs[p + 1] <= gs[p] THEN p ELSE p - 1 END AS q, CASE WHEN p = 0 OR gs[p + 1] <= gs[p] THEN gs[p + 1] ELSE gs[p] END AS g FROM w),
+m AS (SELECT *, min((doc_id, q)) OVER (PARTITION BY g) AS f FROM f),
+x AS (SELECT m.doc_id, m.q, m.f[1] AS fd, m.f[2] AS fa, a.nums, a.hs AS h, b.hs AS e FROM m JOIN a ON a.doc_id = m.doc_id JOIN a b ON b.doc_id = m.f[1] WHERE (m.doc_id, m.q) <> m.f),
+y AS (SELECT *, CASE WHEN NOT coalesce(q >= 1 AND fa >= 1 AND h[q] = e[fa], false) THEN 0 WHEN NOT coalesce(q >= 2 AND fa >= 2 AND h[q - 1] = e[fa - 1], false) THEN 1 WHEN NOT coalesce(q >= 3 AND fa >= 3 AND h[q - 2] = e[fa - 2], false) THEN 2 ELSE 3 END AS l,
+  CASE WHEN NOT coalesce(h[q + 4] = e[fa + 4], false) THEN 0 WHEN NOT coalesce(h[q + 5] = e[fa + 5], false) THEN 1 WHEN NOT coalesce(h[q + 6] = e[fa + 6], false) THEN 2 ELSE 3 END AS r FROM x),
+z AS (SELECT DISTINCT doc_id, unnest(nums[CASE WHEN doc_id = fd THEN greatest(q - l, fa + 3) ELSE q - l END + 1:q + 3 + r]) AS line FROM y),
+c AS (SELECT doc_id, count(*) AS n_gone, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS gone FROM z GROUP BY doc_id),
+k AS (SELECT s.doc_id, string_agg(s.body, chr(10) ORDER BY s.line) AS kept FROM (SELECT doc_id, i - 1 AS line, p[i] AS body FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)) s LEFT JOIN z ON z.doc_id = s.doc_id AND z.line = s.line WHERE z.line IS NULL GROUP BY s.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(d.p), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_gone, 0) AS BIGINT) AS n_gone, coalesce(gone, '') AS gone, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
