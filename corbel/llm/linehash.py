@@ -1,103 +1,133 @@
-"""Substring dedup by hashing lines or paragraphs.
-
-Texts are cut into units (lines, or paragraphs between blank lines). A unit of
-at least `least` words is normalised (lower case, runs of white space as one
-blank, ends trimmed) and digested. Digests are grouped over the whole corpus, the
-occurrence that ranks first (by document id, then position) is kept, and all
-others are removed from their texts. Removed spans keep the offsets that they
-had in the original text, in code points, end exclusive.
-
-Defined results: a null text has no units; shorter units are left alone; repeated
-rows are further occurrences, so that one row keeps the unit; documents without
-id rank last; a removed unit goes with the separator after it; an empty table
-gives an empty result; further columns are kept.
+"""Substring dedup by hashing lines, cut where their content says.
+
+Whole lines miss a passage that stands within longer ones, so lines are cut
+further, at places that only the words beside them decide: where a word ends and
+the next one begins with certain letters. A passage is cut alike wherever it
+stands. Each two neighbouring units are normalised (lower case, runs of white
+space as one blank, ends trimmed) and digested, and so is each unit of `least`
+words or more by itself. Digests are grouped over the whole corpus and the
+occurrence that ranks first (by document id, then position) is kept. Units of
+later occurrences are removed where they make a run of `least` words or more.
+Removed spans keep the offsets that they had in the original text, in code
+points, end exclusive.
+
+What is lost at the ends of a passage is less than a unit at each side; shorter
+repeats, as common short lines are, stay.
+
+Defined results: a null text has no units; repeated rows are further occurrences,
+so that one row keeps its units; documents without id rank last; a run that
+repeats within a text and overlaps its first place leaves that place alone; an
+empty table gives an empty result; further columns are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, skew_lookup, staged
+from .common import broadcast_if, hashed, skew_lookup, staged
 
 LEAST = 16
-UNITS = {"line": r"(?<=\n)", "paragraph": r"(?<=\n\n)(?!\n)"}
+#: Letters that end the word before a cut, and that begin the word after it.
+BEFORE, AFTER = "dgnryDGNRY", "aeiostAEIOST"
+CUT = rf"(?<=\n)|(?<=[{BEFORE}])(?=[ \t]+[{AFTER}])"
 
 
 def normalised(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[\s\x00-\x20]+", " "))
 
 
-def units(text: Column, unit: str = "line", least: int = LEAST) -> Column:
-    """array<struct<pos, s, e, dg>> of the units that count: position, offsets, 16-byte digest."""
-    parts = F.split(text, UNITS[unit])
-    ends = F.aggregate(parts, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
-    norm = F.transform(parts, lambda p: normalised(p))
-    rows = F.transform(F.arrays_zip(norm.alias("n"), F.slice(ends, 1, F.size(parts)).alias("s"), F.slice(ends, 2, F.size(parts)).alias("e")), lambda x, i: F.struct(i.alias("pos"), x["s"].alias("s"), x["e"].alias("e"), F.when(F.length(x["n"]) - F.length(F.replace(x["n"], F.lit(" "))) + 1 >= least, F.unhex(F.md5(x["n"]))).alias("dg")))
-    return F.filter(rows, lambda x: x["dg"].isNotNull())
+def _words(norm: Column) -> Column:
+    return F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "))) + 1)
 
 
-def repeated_units(docs: DataFrame, unit: str = "line", least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _hash, _nth, pos, s, e, first_id, first_pos): the units to remove; _nth numbers equal rows."""
-    rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.explode(units(F.col(text), unit, least)).alias("u")).select("_id", "_hash", "u.*")
+def digests(text: Column, least: int = LEAST) -> Column:
+    """array<struct<pos, n, dg>>: digests of pairs of units (n = 2) and of long units (n = 1), by position."""
+    norm = F.transform(F.split(text, CUT), lambda p: normalised(p))
+    size = F.size(norm)
+    pairs = F.transform(F.when(size > 1, F.sequence(F.lit(0), size - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("pos"), F.lit(2).alias("n"), hashed(F.concat(F.get(norm, i), F.lit("\n"), F.get(norm, i + 1))).alias("dg")))
+    long = F.filter(F.transform(norm, lambda x, i: F.struct(i.alias("pos"), F.lit(1).alias("n"), F.when(_words(x) >= least, hashed(x)).alias("dg"))), lambda x: x["dg"].isNotNull())
+    return F.concat(pairs, long)
+
+
+def repeated_units(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _hash, later, kept): for each text with digests that others share, array<struct<pos, first_id>> of its units in later occurrences, and in first ones."""
+    rows = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_hash"), F.explode(digests(F.col(text), least)).alias("u")).select("_id", "_hash", "u.*")
     rows = staged(rows, "units")
     rank = F.struct(F.col("_id").isNull().alias("last"), F.col("_id"), F.col("_hash"), F.col("pos"))
-    firsts = rows.groupBy("dg").agg(F.min(rank).alias("first"), F.count("*").alias("cnt")).filter("cnt > 1")
-    firsts = staged(firsts.select("dg", "cnt", F.col("first._id").alias("first_id"), F.col("first._hash").alias("first_hash"), F.col("first.pos").alias("first_pos")), "firsts")
-    found = skew_lookup(rows, firsts, "dg", "cnt", rows.count(), ["first_id", "first_hash", "first_pos"], F.unhex(F.md5(F.concat_ws(":", F.lit("none"), "_id", "_hash", "pos"))))
-    found = found.filter("first_pos IS NOT NULL")
-    is_first = F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_hash") == F.col("first_hash")) & (F.col("pos") == F.col("first_pos"))
-    return found.withColumn("is_first", is_first)
+    firsts = staged(rows.groupBy("dg").agg(F.min(rank).alias("first"), F.count("*").alias("cnt")).filter("cnt > 1"), "firsts")
+    found = skew_lookup(rows, firsts, "dg", "cnt", rows.count(), ["first"], F.xxhash64(F.lit("none"), "_id", "_hash", "pos")).filter("first IS NOT NULL")
+    own = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_hash") == F.col("first._hash"))
+    found = found.withColumn("is_first", own & (F.col("pos") == F.col("first.pos")))
+    low = F.when(own & ~F.col("is_first"), F.greatest("pos", F.col("first.pos") + F.col("n"))).otherwise(F.col("pos"))
+    at = F.when(low < F.col("pos") + F.col("n"), F.sequence(low, F.col("pos") + F.col("n") - 1))
+    units = found.select("_id", "_hash", "is_first", F.col("first._id").alias("first_id"), F.explode(at).alias("pos"))
+    some = lambda test: F.array_sort(F.collect_set(F.when(test, F.struct("pos", "first_id"))))
+    return units.groupBy("_id", "_hash").agg(some(~F.col("is_first")).alias("later"), some(F.col("is_first")).alias("kept"))
+
+
+def _runs(units: Column, words: Column, ends: Column, least: int, kind: str) -> Column:
+    """Neighbouring units as runs of `least` words or more: array<struct<s, e, first_id>>."""
+    none = F.array().cast(f"array<struct<lo:int,hi:int,first_id:{kind}>>")
+
+    def step(a, x):
+        last = F.element_at(a, -1)
+        joins = (F.size(a) > 0) & (last["hi"] + 1 >= x["pos"])
+        more = F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last["lo"].alias("lo"), x["pos"].alias("hi"), last["first_id"].alias("first_id"))))
+        return F.when(joins, more).otherwise(F.concat(a, F.array(F.struct(x["pos"].alias("lo"), x["pos"].alias("hi"), x["first_id"].alias("first_id")))))
 
+    runs = F.aggregate(units, none, step)
+    total = lambda r: F.aggregate(F.slice(words, r["lo"] + 1, r["hi"] - r["lo"] + 1), F.lit(0), lambda a, v: a + v)
+    return F.transform(F.filter(runs, lambda r: total(r) >= least), lambda r: F.struct(F.get(ends, r["lo"]).alias("s"), F.get(ends, r["hi"] + 1).alias("e"), r["first_id"].alias("first_id")))
 
-def deduplicated(docs: DataFrame, unit: str = "line", least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def deduplicated(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: its columns with the text that is kept, and `removed`: array<struct<s, e, first_id>> with offsets in the original text."""
-    hits = staged(repeated_units(docs, unit, least, doc_id, text), "repeats")
-    per = hits.groupBy("_id", "_hash").agg(
-        F.array_sort(F.collect_set(F.when(~F.col("is_first"), F.struct("s", "e", "first_id")))).alias("later"),
-        F.array_sort(F.collect_set(F.when(F.col("is_first"), F.struct("s", "e", "first_id")))).alias("kept"),
-    )
-    per = staged(per.withColumnsRenamed({"_id": "_i", "_hash": "_h"}), "spans")
-    base = docs.withColumns({"_id": F.col(doc_id), "_hash": F.xxhash64(text)})
-    twice = staged(base.groupBy("_id", "_hash").count().filter("count > 1").select(F.col("_id").alias("_i2"), F.col("_hash").alias("_h2")), "twins")
-    n = per.agg(F.coalesce(F.sum(1 + F.size("later") + F.size("kept")), F.lit(0))).first()[0]  # rows and spans
+    kind = dict(docs.dtypes)[doc_id]
+    per = staged(repeated_units(docs, least, doc_id, text).withColumnsRenamed({"_id": "_i", "_hash": "_h"}), "repeats")
+    n = per.agg(F.coalesce(F.sum(1 + F.size("later") + F.size("kept")), F.lit(0))).first()[0]  # rows and units
     per = broadcast_if(per, n)
-    both = base.join(per, base["_id"].eqNullSafe(per["_i"]) & base["_hash"].eqNullSafe(per["_h"]), "left")
+    base = docs.withColumns({"_id": F.col(doc_id), "_hash": F.hash(text)})
+    twice = staged(base.groupBy("_id", "_hash").count().filter("count > 1").select(F.col("_id").alias("_i2"), F.col("_hash").alias("_h2")), "twins")
+    both = base.join(per, base["_id"].eqNullSafe(per["_i"]) & (base["_hash"] == per["_h"]), "left")
     if twice.limit(1).count():
         # Of equal rows only the first keeps the units that rank first.
-        from pyspark.sql import Window
-
-        twin = both.join(twice, both["_id"].eqNullSafe(twice["_i2"]) & both["_hash"].eqNullSafe(twice["_h2"]), "left")
+        twin = both.join(twice, both["_id"].eqNullSafe(twice["_i2"]) & (both["_hash"] == twice["_h2"]), "left")
         salt = F.when(twin["_h2"].isNull(), F.monotonically_increasing_id())
         nth = F.row_number().over(Window.partitionBy("_id", "_hash", salt).orderBy(F.lit(0)))
-        both = twin.withColumn("_nth", F.when(F.col("_h2").isNull(), 1).otherwise(nth)).drop("_i2", "_h2")
+        both = twin.withColumn("_nth", F.when(F.col("_h2").isNull(), 1).otherwise(nth))
     else:
         both = both.withColumn("_nth", F.lit(1))
-    none = F.array().cast("array<struct<s:int,e:int,first_id:%s>>" % dict(docs.dtypes)[doc_id])
-    gone = F.array_sort(F.concat(F.coalesce("later", none), F.when(F.col("_nth") > 1, F.coalesce("kept", none)).otherwise(none)))
-    both = both.withColumn("removed", gone)
+    none = F.array().cast(f"array<struct<pos:int,first_id:{kind}>>")
+    units = F.array_sort(F.concat(F.coalesce("later", none), F.when(F.col("_nth") > 1, F.coalesce("kept", none)).otherwise(none)))
+    parts = F.when(F.size(units) > 0, F.split(text, CUT)).otherwise(F.array().cast("array<string>"))
+    both = both.withColumns({"_units": units, "_parts": parts})
+    ends = F.aggregate("_parts", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
+    both = both.withColumns({"_ends": ends, "_words": F.transform("_parts", lambda p: _words(normalised(p)))})
+    both = both.withColumn("removed", _runs(F.col("_units"), F.col("_words"), F.col("_ends"), least, kind))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     tail = F.aggregate("removed", start, lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, x["s"] - a["at"])).alias("out")), lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.lit(2_000_000_000))))
     return both.withColumn(text, F.when(F.size("removed") > 0, tail).otherwise(F.col(text))).select(*docs.columns, "removed")
 
 
 def op8_rows(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_units (lines of LEAST words or more), n_removed, removed (start:end:first doc_id, comma-joined, original offsets in code points), kept_sha256 (of the text that is kept)."""
-    slim = docs.select("doc_id", "text", F.size(F.coalesce(units(F.col("text")), F.array().cast("array<struct<pos:int,s:int,e:int,dg:binary>>"))).cast("long").alias("n_units"))
-    got = deduplicated(slim)
+    """A row for each document: doc_id, n_removed (runs), removed (start:end:first doc_id, comma-joined, original offsets in code points), kept_sha256 (of the text that is kept)."""
+    got = deduplicated(docs.select("doc_id", "text"))
     text = F.transform("removed", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"), F.coalesce(x["first_id"].cast("string"), F.lit(""))))
-    return got.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), F.array_join(text, ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return got.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join(text, ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents),
-u AS (SELECT doc_id, i - 1 AS pos, p[i] AS body, list_sum([len(x) + 1 FOR x IN p[1:i - 1]]) AS s0, len(p[i]) + CASE WHEN i < len(p) THEN 1 ELSE 0 END AS n FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)),
-v AS (SELECT doc_id, pos, coalesce(s0, 0) AS s, coalesce(s0, 0) + n AS e, trim(regexp_replace(lower(body), '[\s\x00-\x20]+', ' ', 'g')) AS norm FROM u),
-w AS (SELECT *, min((doc_id, pos)) OVER (PARTITION BY norm) AS f FROM v WHERE len(string_split(norm, ' ')) >= 16),
-r AS (SELECT doc_id, s, e, f[1] AS first_id FROM w WHERE (doc_id, pos) <> f),
-c AS (SELECT doc_id, count(*) AS n_removed, string_agg(s || ':' || e || ':' || first_id, ',' ORDER BY s) AS removed FROM r GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS n_units FROM w GROUP BY doc_id),
-k AS (SELECT v.doc_id, string_agg(substring(d.text, CAST(v.s + 1 AS BIGINT), CAST(v.e - v.s AS BIGINT)), '' ORDER BY v.pos) AS kept FROM v JOIN d ON d.doc_id = v.doc_id LEFT JOIN r ON r.doc_id = v.doc_id AND r.s = v.s WHERE r.s IS NULL GROUP BY v.doc_id)
-SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+WITH d AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '\n', chr(10) || chr(57344), 'g'), '([dgnryDGNRY])([ \t]+[aeiostAEIOST])', '\1' || chr(57344) || '\2', 'g'), chr(57344)) AS p FROM documents),
+u AS (SELECT doc_id, i - 1 AS pos, p[i] AS body, trim(regexp_replace(lower(p[i]), '[\s\x00-\x20]+', ' ', 'g')) AS norm FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)),
+v AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS words, lead(norm) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt, CAST(coalesce(sum(length(body)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM u),
+g AS (SELECT doc_id, pos, 2 AS n, md5(norm || chr(10) || nxt) AS dg FROM v WHERE nxt IS NOT NULL UNION ALL SELECT doc_id, pos, 1, md5(norm) FROM v WHERE words >= 16),
+f AS (SELECT *, min((doc_id, pos)) OVER (PARTITION BY dg) AS f FROM g),
+c AS (SELECT doc_id, pos, min(fd) AS first_id FROM (SELECT doc_id, f[1] AS fd, unnest(range(CASE WHEN doc_id = f[1] THEN greatest(pos, f[2] + n) ELSE pos END, pos + n)) AS pos FROM f WHERE (doc_id, pos) <> f) GROUP BY 1, 2),
+r AS (SELECT v.doc_id, v.pos, s, length(body) AS l, words, first_id, v.pos - row_number() OVER (PARTITION BY v.doc_id ORDER BY v.pos) AS isle FROM c JOIN v ON v.doc_id = c.doc_id AND v.pos = c.pos),
+x AS (SELECT doc_id, isle, min(s) AS s, max(s + l) AS e, arg_min(first_id, pos) AS first_id, min(pos) AS lo, max(pos) AS hi FROM r GROUP BY 1, 2 HAVING sum(words) >= 16),
+t AS (SELECT doc_id, count(*) AS n_removed, string_agg(s || ':' || e || ':' || first_id, ',' ORDER BY s) AS removed FROM x GROUP BY doc_id),
+k AS (SELECT v.doc_id, string_agg(body, '' ORDER BY v.pos) AS kept FROM v WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = v.doc_id AND v.pos BETWEEN x.lo AND x.hi) GROUP BY v.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
 """

@@ -120,22 +120,41 @@ def normalised(line):
 
 
 def line_dedup(docs, least):
-    """doc_id -> (kept text, removed spans), for distinct doc_ids in ascending order."""
-    seen, out = {}, {}
+    """doc_id -> (kept text, removed spans), for distinct doc_ids: units, digests of pairs and long units, runs."""
+    cut = re.compile(r"(?<=\n)|(?<=[dgnryDGNRY])(?=[ \t]+[aeiostAEIOST])")
+    first, units, found = {}, {}, {}
+    count = lambda n: len(n.split(" ")) if n else 0
     for d, t in sorted(docs, key=lambda x: x[0]):
-        parts = re.findall(r"[^\n]*\n|[^\n]+$", t or "")
-        at, kept, gone = 0, [], []
+        parts = cut.split(t) if t is not None else []
+        norm = [normalised(p) for p in parts]
+        units[d] = (parts, [count(n) for n in norm])
+        keys = [(i, 2, (norm[i], norm[i + 1])) for i in range(len(norm) - 1)] + [(i, 1, n) for i, n in enumerate(norm) if count(n) >= least]
+        found[d] = keys
+        for i, _, k in sorted(keys):
+            first.setdefault(k, (d, i))
+    out = {}
+    for d, t in docs:
+        cover = {}
+        for i, n, k in found[d]:
+            if first[k] != (d, i):
+                low = max(i, first[k][1] + n) if first[k][0] == d else i
+                for p in range(low, i + n):
+                    cover[p] = min(cover.get(p, first[k][0]), first[k][0])
+        parts, words = units[d]
+        at = [0]
         for p in parts:
-            norm = normalised(p)
-            end = at + len(p)
-            if len(norm.split(" ")) >= least and norm in seen:
-                gone.append((at, end, seen[norm]))
-            else:
-                kept.append(p)
-                if len(norm.split(" ")) >= least:
-                    seen[norm] = d
-            at = end
-        out[d] = ("".join(kept), gone)
+            at.append(at[-1] + len(p))
+        spans, run = [], []
+        for p in [*sorted(cover), None]:
+            if run and (p is None or p != run[-1] + 1):
+                if sum(words[q] for q in run) >= least:
+                    spans.append((at[run[0]], at[run[-1] + 1], cover[run[0]]))
+                run = []
+            run.append(p)
+        kept, pos = "", 0
+        for s, e, _ in spans:
+            kept, pos = kept + t[pos:s], e
+        out[d] = (kept + (t or "")[pos:], spans)
     return out
 
 

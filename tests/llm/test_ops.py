@@ -310,12 +310,18 @@ def test_line_hashing(spark, rows):
     rng = random.Random(6)
     lines = [prose(rng, n) for n in (20, 30, 3, 16, 15, 40)]
     docs = [(i, "\n".join(rng.choice(lines + [prose(rng, 20)]) for _ in range(rng.randrange(1, 7))) + rng.choice(["", "\n", "\n\n"])) for i in range(40)]
-    docs += [(50, lines[0].upper() + "  \n tail"), (51, None), (52, ""), (53, "\n\n"), (54, lines[1] + "\n" + lines[1])]
+    docs += [(50, lines[0].upper() + "  \n tail"), (51, None), (52, ""), (53, "\n\n"), (54, lines[1] + "\n" + lines[1]), (55, "x " * 100), (56, "y " + "x " * 100)]
+    passage = " ".join(rng.choice(["bend", "toan", "sier", "ofan", "esti", "onar", "king", "ably", "thex", "must"]) + rng.choice(["", "a", "d", "r"]) for _ in range(60))
+    docs += [(60 + i, prose(rng, 30) + " " + passage + " " + prose(rng, 30)) for i in range(3)] + [(70, prose(rng, 400))]
     got = {r.doc_id: r for r in linehash.deduplicated(table(spark, docs)).collect()}
     want = brute.line_dedup(docs, linehash.LEAST)
     for d, t in docs:
         assert (got[d].text or "") == want[d][0], d
         assert [tuple(x) for x in got[d].removed] == want[d][1]
+    for d in (61, 62):
+        ((s, e, first),) = want[d][1]
+        assert first == 60 and len(dict(docs)[d][s:e].split()) > 40 and dict(docs)[d][s:e].strip() in passage
+    assert not want[60][1] and not want[70][1]
     twins = linehash.deduplicated(table(spark, [(1, lines[0]), (1, lines[0]), (2, lines[0])])).collect()
     assert sorted(r.text for r in twins) == ["", "", lines[0]]
     assert linehash.op8_rows(table(spark, [])).count() == 0
