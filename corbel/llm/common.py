@@ -92,6 +92,11 @@ def hashed(text: Column, digits: int = 15) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where `body` uses it within the lambdas of array functions, which compute a nested expression again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, hashed, skew_lookup, staged
+from .common import broadcast_if, hashed, let, skew_lookup, staged
 
 LEAST = 16
 #: Letters that end the word before a cut, and that begin the word after it.
@@ -43,11 +43,14 @@ def _words(norm: Column) -> Column:
 
 def digests(text: Column, least: int = LEAST) -> Column:
     """array<struct<pos, n, dg>>: digests of pairs of units (n = 2) and of long units (n = 1), by position."""
-    norm = F.transform(F.split(text, CUT), lambda p: normalised(p))
-    size = F.size(norm)
-    pairs = F.transform(F.when(size > 1, F.sequence(F.lit(0), size - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("pos"), F.lit(2).alias("n"), hashed(F.concat(F.get(norm, i), F.lit("\n"), F.get(norm, i + 1))).alias("dg")))
-    long = F.filter(F.transform(norm, lambda x, i: F.struct(i.alias("pos"), F.lit(1).alias("n"), F.when(_words(x) >= least, hashed(x)).alias("dg"))), lambda x: x["dg"].isNotNull())
-    return F.concat(pairs, long)
+
+    def of(norm: Column) -> Column:
+        size = F.size(norm)
+        pairs = F.transform(F.when(size > 1, F.sequence(F.lit(0), size - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("pos"), F.lit(2).alias("n"), hashed(F.concat(F.get(norm, i), F.lit("\n"), F.get(norm, i + 1))).alias("dg")))
+        long = F.filter(F.transform(norm, lambda x, i: F.struct(i.alias("pos"), F.lit(1).alias("n"), F.when(_words(x) >= least, hashed(x)).alias("dg"))), lambda x: x["dg"].isNotNull())
+        return F.concat(pairs, long)
+
+    return let(F.transform(F.split(text, CUT), lambda p: normalised(p)), of)
 
 
 def repeated_units(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,9 +79,9 @@ def _runs(units: Column, words: Column, ends: Column, least: int, kind: str) ->
         more = F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last["lo"].alias("lo"), x["pos"].alias("hi"), last["first_id"].alias("first_id"))))
         return F.when(joins, more).otherwise(F.concat(a, F.array(F.struct(x["pos"].alias("lo"), x["pos"].alias("hi"), x["first_id"].alias("first_id")))))
 
-    runs = F.aggregate(units, none, step)
-    total = lambda r: F.aggregate(F.slice(words, r["lo"] + 1, r["hi"] - r["lo"] + 1), F.lit(0), lambda a, v: a + v)
-    return F.transform(F.filter(runs, lambda r: total(r) >= least), lambda r: F.struct(F.get(ends, r["lo"]).alias("s"), F.get(ends, r["hi"] + 1).alias("e"), r["first_id"].alias("first_id")))
+    total = lambda w, r: F.aggregate(F.slice(w, r["lo"] + 1, r["hi"] - r["lo"] + 1), F.lit(0), lambda a, v: a + v)
+    runs = let(words, lambda w: F.filter(F.aggregate(units, none, step), lambda r: total(w, r) >= least))
+    return let(ends, lambda e: F.transform(runs, lambda r: F.struct(F.get(e, r["lo"]).alias("s"), F.get(e, r["hi"] + 1).alias("e"), r["first_id"].alias("first_id"))))
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import let, staged
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = 4
@@ -96,10 +96,10 @@ def _pieces(text: Column, pattern: str, need: str) -> Column:
 def _spans(kind: str, pieces: Column, exact: bool) -> Column:
     """array<struct<s, e, f>> of the valid matches among `pieces`; f packs the votes, base 3: 0 abstains, 1 yes, 2 no."""
     n = F.size(pieces)
-    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
+    ends_of = F.aggregate(pieces, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
     odd = F.when(n > 1, F.sequence(F.lit(1), n - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
 
-    def one(i):
+    def one(i, ends):
         span, before = F.get(pieces, i), F.right(F.get(pieces, i - 1), F.lit(24))
         after = F.left(F.get(pieces, i + 1), F.lit(1))
         digits = F.regexp_replace(span, _DIGITS, "")
@@ -110,7 +110,7 @@ def _spans(kind: str, pieces: Column, exact: bool) -> Column:
         votes = form + 3 * known + 9 * near + 27 * alone
         return F.struct(F.get(ends, i).alias("s"), F.get(ends, i + 1).alias("e"), votes.cast("int").alias("f"), _valid(kind, span).alias("ok") if exact else F.lit(True).alias("ok"))
 
-    return F.filter(F.transform(odd, one), lambda x: x["ok"])
+    return let(ends_of, lambda ends: F.filter(F.transform(odd, lambda i: one(i, ends)), lambda x: x["ok"]))
 
 
 def proposals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, hashed, skew_lookup, staged
+from .common import broadcast_if, hashed, let, skew_lookup, staged
 from .linehash import normalised
 
 K, W = 3, 2
@@ -39,10 +39,9 @@ def line_hashes(text: Column) -> Column:
 
 def fingerprints(lines: Column, k: int = K, w: int = W) -> Column:
     """array<struct<at, g, left, right>>: selected grams with the hashes of up to k + w - 2 lines on both sides, nearest first."""
-    hs = F.transform(lines, lambda x: x["h"])
-    n = F.size(lines)
     reach = k + w - 2
-    grams = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda p: hashed(F.array_join(F.transform(F.slice(hs, p + 1, F.lit(k)), lambda h: h.cast("string")), ",")))).otherwise(F.array().cast("array<bigint>"))
+    gram = lambda hs, p: hashed(F.array_join(F.transform(F.slice(hs, p + 1, F.lit(k)), lambda h: h.cast("string")), ","))
+    grams = lambda hs: F.when(F.size(hs) >= k, F.transform(F.sequence(F.lit(0), F.size(hs) - k), lambda p: gram(hs, p))).otherwise(F.array().cast("array<bigint>"))
     near = lambda g, p: F.slice(g, F.greatest(p - w + 2, F.lit(1)), F.least(p + 1, F.lit(w)))  # noqa: E731  the window that ends at p
 
     def picked(g: Column) -> Column:
@@ -50,9 +49,12 @@ def fingerprints(lines: Column, k: int = K, w: int = W) -> Column:
         ends = F.when(F.size(g) > 0, F.sequence(F.least(F.size(g), F.lit(w)) - 1, F.size(g) - 1)).otherwise(F.array().cast("array<int>"))
         return F.array_distinct(F.transform(ends, lambda p: p - F.array_position(F.reverse(near(g, p)), F.array_min(near(g, p))).cast("int") + 1))
 
-    before = lambda p: F.reverse(F.slice(hs, F.greatest(p + 1 - reach, F.lit(1)), F.least(p, F.lit(reach))))
-    after = lambda p: F.slice(hs, p + k + 1, F.lit(reach))
-    return F.transform(picked(grams), lambda p: F.struct(p.alias("at"), F.get(grams, p).alias("g"), before(p).alias("left"), after(p).alias("right")))
+    def of(hs: Column) -> Column:
+        before = lambda p: F.reverse(F.slice(hs, F.greatest(p + 1 - reach, F.lit(1)), F.least(p, F.lit(reach))))
+        after = lambda p: F.slice(hs, p + k + 1, F.lit(reach))
+        return let(grams(hs), lambda g: F.transform(picked(g), lambda p: F.struct(p.alias("at"), F.get(g, p).alias("g"), before(p).alias("left"), after(p).alias("right"))))
+
+    return let(F.transform(lines, lambda x: x["h"]), of)
 
 
 def _common(a: Column, b: Column) -> Column:
