@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, hashed, let, skew_lookup, staged
+from .common import broadcast_if, let, skew_lookup, staged
 
 LEAST = 16
 #: Letters that end the word before a cut, and that begin the word after it.
@@ -41,54 +41,86 @@ def _words(norm: Column) -> Column:
     return F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "))) + 1)
 
 
+def units(text: Column) -> Column:
+    """array<struct<norm, n, w>> of a text's units: normalised, with their length in the text and their words."""
+    # Where a text has only single blanks, and line ends as units have them, trimming does the same at less cost.
+    plain = ~text.rlike(r"[\x00-\x09\x0B-\x1F\x7F-\x9F]|[ \n]{2}| \n|\n ")
+    unit = lambda norm: lambda p: let(norm(p), lambda x: F.struct(x.alias("norm"), F.length(p).alias("n"), _words(x).alias("w")))
+    parts = F.split(text, CUT)
+    return F.when(plain, F.transform(parts, unit(lambda p: F.trim(F.lower(p), F.lit(" \n"))))).otherwise(F.transform(parts, unit(normalised)))
+
+
 def digests(text: Column, least: int = LEAST) -> Column:
-    """array<struct<pos, n, dg>>: digests of pairs of units (n = 2) and of long units (n = 1), by position."""
+    """array<struct<pos, dg, check, s, m, e, v, w>>: digests of pairs of units, and of long units (m and v are null), by position: offsets of the units and their words."""
+
+    def of(u: Column) -> Column:
+        step = lambda a, x: F.struct((a["s"] + x["n"]).alias("s"), F.concat(a["all"], F.array(a["s"] + x["n"])).alias("all"))
+        ends = F.aggregate(u, F.struct(F.lit(0).alias("s"), F.array(F.lit(0)).alias("all")), step, lambda a: a["all"])
+        size = F.size(u)
+
+        def rows(at: Column) -> Column:
+            def pair(i: Column) -> Column:
+                x, y = F.get(u, i), F.get(u, i + 1)
+                return F.struct(i.alias("pos"), F.xxhash64(x["norm"], y["norm"]).alias("dg"), F.hash(x["norm"], y["norm"]).alias("check"), F.get(at, i).alias("s"), F.get(at, i + 1).alias("m"), F.get(at, i + 2).alias("e"), x["w"].alias("v"), y["w"].alias("w"))
 
-    def of(norm: Column) -> Column:
-        size = F.size(norm)
-        pairs = F.transform(F.when(size > 1, F.sequence(F.lit(0), size - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("pos"), F.lit(2).alias("n"), hashed(F.concat(F.get(norm, i), F.lit("\n"), F.get(norm, i + 1))).alias("dg")))
-        long = F.filter(F.transform(norm, lambda x, i: F.struct(i.alias("pos"), F.lit(1).alias("n"), F.when(_words(x) >= least, hashed(x)).alias("dg"))), lambda x: x["dg"].isNotNull())
-        return F.concat(pairs, long)
+            def single(x: Column, i: Column) -> Column:
+                none = F.lit(None).cast("int")
+                return F.struct(i.alias("pos"), F.when(x["w"] >= least, F.xxhash64(x["norm"])).alias("dg"), F.hash(x["norm"]).alias("check"), F.get(at, i).alias("s"), none.alias("m"), F.get(at, i + 1).alias("e"), none.alias("v"), x["w"].alias("w"))
 
-    return let(F.transform(F.split(text, CUT), lambda p: normalised(p)), of)
+            pairs = F.transform(F.when(size > 1, F.sequence(F.lit(0), size - 2)).otherwise(F.array().cast("array<int>")), pair)
+            return F.concat(pairs, F.filter(F.transform(u, single), lambda x: x["dg"].isNotNull()))
+
+        return let(ends, rows)
+
+    return let(units(text), of)
 
 
 def repeated_units(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _hash, later, kept): for each text with digests that others share, array<struct<pos, first_id>> of its units in later occurrences, and in first ones."""
+    """(_id, _hash, later, kept): for each text with digests that others share, array<struct<pos, first_id, s, e, w>> of its units in later occurrences, and in first ones."""
     rows = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_hash"), F.explode(digests(F.col(text), least)).alias("u")).select("_id", "_hash", "u.*")
     rows = staged(rows, "units")
-    rank = F.struct(F.col("_id").isNull().alias("last"), F.col("_id"), F.col("_hash"), F.col("pos"))
+    rank = F.struct(F.col("_id").isNull().alias("last"), F.col("_id"), F.col("_hash"), F.col("pos"), F.col("check"))
     firsts = staged(rows.groupBy("dg").agg(F.min(rank).alias("first"), F.count("*").alias("cnt")).filter("cnt > 1"), "firsts")
-    found = skew_lookup(rows, firsts, "dg", "cnt", rows.count(), ["first"], F.xxhash64(F.lit("none"), "_id", "_hash", "pos")).filter("first IS NOT NULL")
+    found = skew_lookup(rows, firsts, "dg", "cnt", rows.count(), ["first"], F.xxhash64(F.lit("none"), "_id", "_hash", "pos"))
+    found = found.filter(F.col("first").isNotNull() & (F.col("check") == F.col("first.check")))  # a second hash: 96 bits in all
     own = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_hash") == F.col("first._hash"))
     found = found.withColumn("is_first", own & (F.col("pos") == F.col("first.pos")))
-    low = F.when(own & ~F.col("is_first"), F.greatest("pos", F.col("first.pos") + F.col("n"))).otherwise(F.col("pos"))
-    at = F.when(low < F.col("pos") + F.col("n"), F.sequence(low, F.col("pos") + F.col("n") - 1))
-    units = found.select("_id", "_hash", "is_first", F.col("first._id").alias("first_id"), F.explode(at).alias("pos"))
-    some = lambda test: F.array_sort(F.collect_set(F.when(test, F.struct("pos", "first_id"))))
-    return units.groupBy("_id", "_hash").agg(some(~F.col("is_first")).alias("later"), some(F.col("is_first")).alias("kept"))
+    n = F.when(F.col("m").isNull(), 1).otherwise(2)
+    low = F.when(own & ~F.col("is_first"), F.greatest("pos", F.col("first.pos") + n)).otherwise(F.col("pos"))
+    first_id = F.col("first._id").alias("first_id")
+    one = F.struct(F.col("pos").alias("pos"), first_id, F.col("s").alias("s"), F.coalesce("m", "e").alias("e"), F.coalesce("v", "w").alias("w"))
+    two = F.when(F.col("m").isNotNull(), F.struct((F.col("pos") + 1).alias("pos"), first_id, F.col("m").alias("s"), F.col("e").alias("e"), F.col("w").alias("w")))
+    found = found.withColumn("low", low).select("_id", "_hash", "is_first", "low", F.explode(F.array(one, two)).alias("x")).filter("x IS NOT NULL AND x.pos >= low")
+    some = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("x"))))
+    return found.groupBy("_id", "_hash").agg(some(~F.col("is_first")).alias("later"), some(F.col("is_first")).alias("kept"))
 
 
-def _runs(units: Column, words: Column, ends: Column, least: int, kind: str) -> Column:
+def _runs(units: Column, least: int, kind: str) -> Column:
     """Neighbouring units as runs of `least` words or more: array<struct<s, e, first_id>>."""
-    none = F.array().cast(f"array<struct<lo:int,hi:int,first_id:{kind}>>")
+    none = F.array().cast(f"array<struct<s:int,e:int,first_id:{kind},hi:int,w:int>>")
 
     def step(a, x):
-        last = F.element_at(a, -1)
-        joins = (F.size(a) > 0) & (last["hi"] + 1 >= x["pos"])
-        more = F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last["lo"].alias("lo"), x["pos"].alias("hi"), last["first_id"].alias("first_id"))))
-        return F.when(joins, more).otherwise(F.concat(a, F.array(F.struct(x["pos"].alias("lo"), x["pos"].alias("hi"), x["first_id"].alias("first_id")))))
+        new = F.struct(x["s"].alias("s"), x["e"].alias("e"), x["first_id"].alias("first_id"), x["pos"].alias("hi"), x["w"].alias("w"))
+
+        def grown(last):
+            more = F.struct(last["s"].alias("s"), x["e"].alias("e"), last["first_id"].alias("first_id"), x["pos"].alias("hi"), (last["w"] + F.when(last["hi"] < x["pos"], x["w"]).otherwise(0)).alias("w"))
+            joins = F.coalesce(last["hi"] + 1 >= x["pos"], F.lit(False))
+            return F.when(joins, F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(a, F.array(new)))
+
+        return F.when(F.size(a) == 0, F.array(new)).otherwise(let(F.try_element_at(a, F.lit(-1)), grown))
 
-    total = lambda w, r: F.aggregate(F.slice(w, r["lo"] + 1, r["hi"] - r["lo"] + 1), F.lit(0), lambda a, v: a + v)
-    runs = let(words, lambda w: F.filter(F.aggregate(units, none, step), lambda r: total(w, r) >= least))
-    return let(ends, lambda e: F.transform(runs, lambda r: F.struct(F.get(e, r["lo"]).alias("s"), F.get(e, r["hi"] + 1).alias("e"), r["first_id"].alias("first_id"))))
+    return F.transform(F.filter(F.aggregate(units, none, step), lambda r: r["w"] >= least), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), r["first_id"].alias("first_id")))
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: its columns with the text that is kept, and `removed`: array<struct<s, e, first_id>> with offsets in the original text."""
     kind = dict(docs.dtypes)[doc_id]
-    per = staged(repeated_units(docs, least, doc_id, text).withColumnsRenamed({"_id": "_i", "_hash": "_h"}), "repeats")
-    n = per.agg(F.coalesce(F.sum(1 + F.size("later") + F.size("kept")), F.lit(0))).first()[0]  # rows and units
+    per = repeated_units(docs, least, doc_id, text).withColumnsRenamed({"_id": "_i", "_hash": "_h"})
+    empty = F.array().cast(f"array<struct<pos:int,first_id:{kind},s:int,e:int,w:int>>")
+    # Runs of a row that is the first of its kind, and of a further row that equals it.
+    per = per.withColumns({"_runs": _runs(F.col("later"), least, kind), "_all": _runs(F.array_sort(F.concat(F.coalesce("later", empty), F.coalesce("kept", empty))), least, kind)})
+    per = staged(per.select("_i", "_h", "_runs", "_all").filter(F.size("_all") > 0), "runs")
+    n = per.agg(F.coalesce(F.sum(1 + F.size("_runs") + F.size("_all")), F.lit(0))).first()[0]  # rows and runs
     per = broadcast_if(per, n)
     base = docs.withColumns({"_id": F.col(doc_id), "_hash": F.hash(text)})
     twice = staged(base.groupBy("_id", "_hash").count().filter("count > 1").select(F.col("_id").alias("_i2"), F.col("_hash").alias("_h2")), "twins")
@@ -101,13 +133,8 @@ def deduplicated(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", te
         both = twin.withColumn("_nth", F.when(F.col("_h2").isNull(), 1).otherwise(nth))
     else:
         both = both.withColumn("_nth", F.lit(1))
-    none = F.array().cast(f"array<struct<pos:int,first_id:{kind}>>")
-    units = F.array_sort(F.concat(F.coalesce("later", none), F.when(F.col("_nth") > 1, F.coalesce("kept", none)).otherwise(none)))
-    parts = F.when(F.size(units) > 0, F.split(text, CUT)).otherwise(F.array().cast("array<string>"))
-    both = both.withColumns({"_units": units, "_parts": parts})
-    ends = F.aggregate("_parts", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
-    both = both.withColumns({"_ends": ends, "_words": F.transform("_parts", lambda p: _words(normalised(p)))})
-    both = both.withColumn("removed", _runs(F.col("_units"), F.col("_words"), F.col("_ends"), least, kind))
+    removed = F.coalesce(F.when(F.col("_nth") > 1, F.col("_all")).otherwise(F.col("_runs")), F.array().cast(f"array<struct<s:int,e:int,first_id:{kind}>>"))
+    both = both.withColumn("removed", removed)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     tail = F.aggregate("removed", start, lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, x["s"] - a["at"])).alias("out")), lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.lit(2_000_000_000))))
     return both.withColumn(text, F.when(F.size("removed") > 0, tail).otherwise(F.col(text))).select(*docs.columns, "removed")
