@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, hashed, let, skew_lookup, staged
+from .common import hashed, let, skew_lookup, staged
 from .linehash import normalised
 
 K, W = 3, 2
@@ -89,7 +89,7 @@ def repeated_runs(docs: DataFrame, k: int = K, w: int = W, doc_id: str = "doc_id
 def deduplicated(docs: DataFrame, k: int = K, w: int = W, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: its columns with the lines that stay, and `gone`: numbers of the deleted lines."""
     per = staged(repeated_runs(docs, k, w, doc_id, text).withColumnsRenamed({"_id": "_i", "_hash": "_h"}), "runs")
-    per = broadcast_if(per, per.agg(F.coalesce(F.sum(1 + F.size("gone")), F.lit(0))).first()[0])  # rows and line numbers
+    per = per.hint("shuffle_hash")  # texts meet their runs by key, the same way at every size
     base = docs.withColumns({"_id": F.col(doc_id), "_hash": F.xxhash64(text)})
     both = base.join(per, base["_id"].eqNullSafe(per["_i"]) & base["_hash"].eqNullSafe(per["_h"]), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
