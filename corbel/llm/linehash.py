@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, let, skew_lookup, staged
+from .common import let, skew_lookup, staged
 
 LEAST = 16
 #: Letters that end the word before a cut, and that begin the word after it.
@@ -120,8 +120,7 @@ def deduplicated(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", te
     # Runs of a row that is the first of its kind, and of a further row that equals it.
     per = per.withColumns({"_runs": _runs(F.col("later"), least, kind), "_all": _runs(F.array_sort(F.concat(F.coalesce("later", empty), F.coalesce("kept", empty))), least, kind)})
     per = staged(per.select("_i", "_h", "_runs", "_all").filter(F.size("_all") > 0), "runs")
-    n = per.agg(F.coalesce(F.sum(1 + F.size("_runs") + F.size("_all")), F.lit(0))).first()[0]  # rows and runs
-    per = broadcast_if(per, n)
+    per = per.hint("shuffle_hash")  # texts meet their runs by key, the same way at every size
     base = docs.withColumns({"_id": F.col(doc_id), "_hash": F.hash(text)})
     twice = staged(base.groupBy("_id", "_hash").count().filter("count > 1").select(F.col("_id").alias("_i2"), F.col("_hash").alias("_h2")), "twins")
     both = base.join(per, base["_id"].eqNullSafe(per["_i"]) & (base["_hash"] == per["_h"]), "left")
