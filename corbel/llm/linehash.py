@@ -22,71 +22,84 @@ empty table gives an empty result; further columns are kept.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, skew_lookup, staged
+from .common import let, skew_lookup, small_batches, staged
 
 LEAST = 16
 #: Letters that end the word before a cut, and that begin the word after it.
-BEFORE, AFTER = "dgnryDGNRY", "aeiostAEIOST"
+BEFORE, AFTER = "dgryDGRY", "aeiostAEIOST"
 CUT = rf"(?<=\n)|(?<=[{BEFORE}])(?=[ \t]+[{AFTER}])"
 
 
-def normalised(unit: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(unit), r"[\s\x00-\x20]+", " "))
-
-
-def _words(norm: Column) -> Column:
-    return F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "))) + 1)
-
-
-def units(text: Column) -> Column:
-    """array<struct<norm, n, w>> of a text's units: normalised, with their length in the text and their words."""
-    # Where a text has only single blanks, and line ends as units have them, trimming does the same at less cost.
-    plain = ~text.rlike(r"[\x00-\x09\x0B-\x1F\x7F-\x9F]|[ \n]{2}| \n|\n ")
-    unit = lambda norm: lambda p: let(norm(p), lambda x: F.struct(x.alias("norm"), F.length(p).alias("n"), _words(x).alias("w")))
-    parts = F.split(text, CUT)
-    return F.when(plain, F.transform(parts, unit(lambda p: F.trim(F.lower(p), F.lit(" \n"))))).otherwise(F.transform(parts, unit(normalised)))
+_CUT, _BLANK = re.compile(CUT), re.compile(r"[\s\x00-\x20]+", re.A)
 
 
-def digests(text: Column, least: int = LEAST) -> Column:
-    """array<struct<pos, dg, check, s, m, e, v, w>>: digests of pairs of units, and of long units (m and v are null), by position: offsets of the units and their words."""
-
-    def of(u: Column) -> Column:
-        step = lambda a, x: F.struct((a["s"] + x["n"]).alias("s"), F.concat(a["all"], F.array(a["s"] + x["n"])).alias("all"))
-        ends = F.aggregate(u, F.struct(F.lit(0).alias("s"), F.array(F.lit(0)).alias("all")), step, lambda a: a["all"])
-        size = F.size(u)
-
-        def rows(at: Column) -> Column:
-            def pair(i: Column) -> Column:
-                x, y = F.get(u, i), F.get(u, i + 1)
-                return F.struct(i.alias("pos"), F.xxhash64(x["norm"], y["norm"]).alias("dg"), F.hash(x["norm"], y["norm"]).alias("check"), F.get(at, i).alias("s"), F.get(at, i + 1).alias("m"), F.get(at, i + 2).alias("e"), x["w"].alias("v"), y["w"].alias("w"))
-
-            def single(x: Column, i: Column) -> Column:
-                none = F.lit(None).cast("int")
-                return F.struct(i.alias("pos"), F.when(x["w"] >= least, F.xxhash64(x["norm"])).alias("dg"), F.hash(x["norm"]).alias("check"), F.get(at, i).alias("s"), none.alias("m"), F.get(at, i + 1).alias("e"), none.alias("v"), x["w"].alias("w"))
-
-            pairs = F.transform(F.when(size > 1, F.sequence(F.lit(0), size - 2)).otherwise(F.array().cast("array<int>")), pair)
-            return F.concat(pairs, F.filter(F.transform(u, single), lambda x: x["dg"].isNotNull()))
+def normalised(unit: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(unit), r"[\s\x00-\x20]+", " "))
 
-        return let(ends, rows)
 
-    return let(units(text), of)
+def digests(text: str, least: int = LEAST) -> Iterator[tuple]:
+    """(dg, place, s, m, e, v, w): digests of pairs of units, and of long units (m and v are None): offsets of the units and their words. `place` has the position, and below it 32 more bits of the digest."""
+    parts = _CUT.split(text)
+    norm = [_BLANK.sub(" ", p.lower()).strip(" ") for p in parts]
+    ends = [0, *accumulate(map(len, parts))]
+    words = [n.count(" ") + 1 if n else 0 for n in norm]
+    for i in range(len(parts) - 1):
+        yield *_digest(i, f"{norm[i]}\n{norm[i + 1]}"), ends[i], ends[i + 1], ends[i + 2], words[i], words[i + 1]
+    for i, w in enumerate(words):
+        if w >= least:
+            yield *_digest(i, norm[i]), ends[i], None, ends[i + 1], None, w
+
+
+def _digest(pos: int, norm: str) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "replace"))
+    high = d >> 64
+    return high - (high >> 63 << 64), pos << 32 | d & 0xFFFFFFFF
+
+
+def _reader(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["dg", "place", "s", "m", "e", "v", "w"]
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
+        for batch in batches:
+            doc, hash_ = batch.column("_id"), batch.column("_hash")
+            rows: list[tuple] = []
+            at: list[int] = []
+            for k, text in enumerate(batch.column("_t").to_pylist()):
+                if text is not None:
+                    rows += digests(text, least)
+                    at += [k] * (len(rows) - len(at))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            take = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([doc.take(take), hash_.take(take), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["_id", "_hash", *names])
+
+    return run
 
 
 def repeated_units(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _hash, later, kept): for each text with digests that others share, array<struct<pos, first_id, s, e, w>> of its units in later occurrences, and in first ones."""
-    rows = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_hash"), F.explode(digests(F.col(text), least)).alias("u")).select("_id", "_hash", "u.*")
+    small_batches(docs.sparkSession, 256, 8)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_hash"), F.col(text).alias("_t"))
+    rows = rows.mapInArrow(_reader(least), f"_id {dict(docs.dtypes)[doc_id]}, _hash int, dg long, place long, s int, m int, e int, v int, w int")
     rows = staged(rows, "units")
-    rank = F.struct(F.col("_id").isNull().alias("last"), F.col("_id"), F.col("_hash"), F.col("pos"), F.col("check"))
+    rank = F.struct(F.col("_id").isNull().alias("last"), F.col("_id"), F.col("_hash"), F.col("place"))
     firsts = staged(rows.groupBy("dg").agg(F.min(rank).alias("first"), F.count("*").alias("cnt")).filter("cnt > 1"), "firsts")
-    found = skew_lookup(rows, firsts, "dg", "cnt", rows.count(), ["first"], F.xxhash64(F.lit("none"), "_id", "_hash", "pos"))
-    found = found.filter(F.col("first").isNotNull() & (F.col("check") == F.col("first.check")))  # a second hash: 96 bits in all
+    found = skew_lookup(rows, firsts, "dg", "cnt", rows.count(), ["first"], F.xxhash64(F.lit("none"), "_id", "_hash", "place"))
+    half = lambda c: c.bitwiseAND(0xFFFFFFFF)
+    found = found.filter(F.col("first").isNotNull() & (half(F.col("place")) == half(F.col("first.place"))))  # 96 bits in all
+    found = found.withColumns({"pos": F.shiftright("place", 32).cast("int"), "first_pos": F.shiftright("first.place", 32).cast("int")})
     own = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_hash") == F.col("first._hash"))
-    found = found.withColumn("is_first", own & (F.col("pos") == F.col("first.pos")))
+    found = found.withColumn("is_first", own & (F.col("pos") == F.col("first_pos")))
     n = F.when(F.col("m").isNull(), 1).otherwise(2)
-    low = F.when(own & ~F.col("is_first"), F.greatest("pos", F.col("first.pos") + n)).otherwise(F.col("pos"))
+    low = F.when(own & ~F.col("is_first"), F.greatest("pos", F.col("first_pos") + n)).otherwise(F.col("pos"))
     first_id = F.col("first._id").alias("first_id")
     one = F.struct(F.col("pos").alias("pos"), first_id, F.col("s").alias("s"), F.coalesce("m", "e").alias("e"), F.coalesce("v", "w").alias("w"))
     two = F.when(F.col("m").isNotNull(), F.struct((F.col("pos") + 1).alias("pos"), first_id, F.col("m").alias("s"), F.col("e").alias("e"), F.col("w").alias("w")))
@@ -147,7 +160,7 @@ def op8_rows(docs: DataFrame) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '\n', chr(10) || chr(57344), 'g'), '([dgnryDGNRY])([ \t]+[aeiostAEIOST])', '\1' || chr(57344) || '\2', 'g'), chr(57344)) AS p FROM documents),
+WITH d AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '\n', chr(10) || chr(57344), 'g'), '([dgryDGRY])([ \t]+[aeiostAEIOST])', '\1' || chr(57344) || '\2', 'g'), chr(57344)) AS p FROM documents),
 u AS (SELECT doc_id, i - 1 AS pos, p[i] AS body, trim(regexp_replace(lower(p[i]), '[\s\x00-\x20]+', ' ', 'g')) AS norm FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)),
 v AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS words, lead(norm) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt, CAST(coalesce(sum(length(body)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM u),
 g AS (SELECT doc_id, pos, 2 AS n, md5(norm || chr(10) || nxt) AS dg FROM v WHERE nxt IS NOT NULL UNION ALL SELECT doc_id, pos, 1, md5(norm) FROM v WHERE words >= 16),

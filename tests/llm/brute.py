@@ -121,7 +121,7 @@ def normalised(line):
 
 def line_dedup(docs, least):
     """doc_id -> (kept text, removed spans), for distinct doc_ids: units, digests of pairs and long units, runs."""
-    cut = re.compile(r"(?<=\n)|(?<=[dgnryDGNRY])(?=[ \t]+[aeiostAEIOST])")
+    cut = re.compile(r"(?<=\n)|(?<=[dgryDGRY])(?=[ \t]+[aeiostAEIOST])")
     first, units, found = {}, {}, {}
     count = lambda n: len(n.split(" ")) if n else 0
     for d, t in sorted(docs, key=lambda x: x[0]):
