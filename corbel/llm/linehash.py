@@ -1,9 +1,8 @@
 """Substring dedup by hashing lines, cut where their content says.
 
 Whole lines miss a passage that stands within longer ones, so lines are cut
-further, at places that only the words beside them decide: where a word ends and
-the next one begins with certain letters. A passage is cut alike wherever it
-stands. Each two neighbouring units are normalised (lower case, runs of white
+further, after words that a sum over their length, first and last letter picks,
+one in eight in any language. A passage is cut alike wherever it stands. Each two neighbouring units are normalised (lower case, runs of white
 space as one blank, ends trimmed) and digested, and so is each unit of `least`
 words or more by itself. Digests are grouped over the whole corpus and the
 occurrence that ranks first (by document id, then position) is kept. Units of
@@ -34,21 +33,33 @@ from pyspark.sql import functions as F
 from .common import let, skew_lookup, small_batches, staged
 
 LEAST = 16
-#: Letters that end the word before a cut, and that begin the word after it.
-BEFORE, AFTER = "dgryDGRY", "aeiostAEIOST"
-CUT = rf"(?<=\n)|(?<=[{BEFORE}])(?=[ \t]+[{AFTER}])"
-
-
-_CUT, _BLANK = re.compile(CUT), re.compile(r"[\s\x00-\x20]+", re.A)
+#: A unit ends after one in so many words.
+CUT = 8
+_TOKEN, _BLANK = re.compile(r"^[\x00-\x20]+|[^\x00-\x20]+[\x00-\x20]*"), re.compile(r"[\x00-\x20]+")
 
 
 def normalised(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[\s\x00-\x20]+", " "))
 
 
+def units(text: str) -> list[str]:
+    """The text in units: ends of lines, and words whose sum is divisible by CUT, end one, with the white space after them."""
+    out, begin, at = [], 0, 0
+    for token in _TOKEN.findall(text):
+        at += len(token)
+        word = token.rstrip(_BLANKS).lower()
+        if "\n" in token or (word and (7 * len(word) + 3 * ord(word[0]) + 5 * ord(word[-1])) % CUT == 0):
+            out.append(text[begin:at])
+            begin = at
+    return [*out, text[begin:]] if begin < at or not out else out
+
+
+_BLANKS = "".join(map(chr, range(0x21)))
+
+
 def digests(text: str, least: int = LEAST) -> Iterator[tuple]:
     """(dg, place, s, m, e, v, w): digests of pairs of units, and of long units (m and v are None): offsets of the units and their words. `place` has the position, and below it 32 more bits of the digest."""
-    parts = _CUT.split(text)
+    parts = units(text)
     norm = [_BLANK.sub(" ", p.lower()).strip(" ") for p in parts]
     ends = [0, *accumulate(map(len, parts))]
     words = [n.count(" ") + 1 if n else 0 for n in norm]
@@ -160,8 +171,11 @@ def op8_rows(docs: DataFrame) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '\n', chr(10) || chr(57344), 'g'), '([dgryDGRY])([ \t]+[aeiostAEIOST])', '\1' || chr(57344) || '\2', 'g'), chr(57344)) AS p FROM documents),
-u AS (SELECT doc_id, i - 1 AS pos, p[i] AS body, trim(regexp_replace(lower(p[i]), '[\s\x00-\x20]+', ' ', 'g')) AS norm FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM d)),
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '^[\x00-\x20]+|[^\x00-\x20]+[\x00-\x20]*') AS t FROM documents),
+k0 AS (SELECT doc_id, i, t[i] AS tok, lower(regexp_replace(t[i], '[\x00-\x20]+$', '')) AS word FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d)),
+k1 AS (SELECT *, CASE WHEN contains(tok, chr(10)) OR (word <> '' AND (7 * length(word) + 3 * unicode(word) + 5 * unicode(right(word, 1))) % 8 = 0) THEN 1 ELSE 0 END AS fin FROM k0),
+k2 AS (SELECT *, coalesce(sum(fin) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM k1),
+u AS (SELECT doc_id, CAST(g AS BIGINT) AS pos, string_agg(tok, '' ORDER BY i) AS body, trim(regexp_replace(lower(string_agg(tok, '' ORDER BY i)), '[\x00-\x20]+', ' ', 'g')) AS norm FROM k2 GROUP BY doc_id, g),
 v AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS words, lead(norm) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt, CAST(coalesce(sum(length(body)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM u),
 g AS (SELECT doc_id, pos, 2 AS n, md5(norm || chr(10) || nxt) AS dg FROM v WHERE nxt IS NOT NULL UNION ALL SELECT doc_id, pos, 1, md5(norm) FROM v WHERE words >= 16),
 f AS (SELECT *, min((doc_id, pos)) OVER (PARTITION BY dg) AS f FROM g),

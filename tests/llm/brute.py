@@ -121,11 +121,28 @@ def normalised(line):
 
 def line_dedup(docs, least):
     """doc_id -> (kept text, removed spans), for distinct doc_ids: units, digests of pairs and long units, runs."""
-    cut = re.compile(r"(?<=\n)|(?<=[dgryDGRY])(?=[ \t]+[aeiostAEIOST])")
+    blanks = "".join(map(chr, range(33)))
+
+    def cut(t):
+        """Character by character: a unit ends before a word, after a line end or a picked word."""
+        out, unit = [], ""
+        for i, c in enumerate(t):
+            if unit and c not in blanks and t[i - 1] in blanks and unit.strip(blanks):
+                tail = unit[len(unit.rstrip(blanks)) :]
+                w = re.split("[\\x00-\\x20]+", unit.rstrip(blanks))[-1].lower()
+                if "\n" in tail or (7 * len(w) + 3 * ord(w[0]) + 5 * ord(w[-1])) % 8 == 0:
+                    out.append(unit)
+                    unit = ""
+            elif unit and c not in blanks and t[i - 1] in blanks and "\n" in unit:
+                out.append(unit)
+                unit = ""
+            unit += c
+        return [*out, unit] if unit or not out else out
+
     first, units, found = {}, {}, {}
     count = lambda n: len(n.split(" ")) if n else 0
     for d, t in sorted(docs, key=lambda x: x[0]):
-        parts = cut.split(t) if t is not None else []
+        parts = cut(t) if t is not None else []
         norm = [normalised(p) for p in parts]
         units[d] = (parts, [count(n) for n in norm])
         keys = [(i, 2, (norm[i], norm[i + 1])) for i in range(len(norm) - 1)] + [(i, 1, n) for i, n in enumerate(norm) if count(n) >= least]
