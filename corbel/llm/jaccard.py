@@ -105,7 +105,7 @@ def _signer(bands: int, rows: int, n: int):
                 sig[some] = sign(h[off[some[0]] : off[some[-1] + 1]], off[some] - off[some[0]])
                 at = to
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * bands), pa.array(sig.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("rid"), pa.array(count.astype(np.int64)), lists], ["_id", "rid", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), batch.column("rid"), pa.array(count.astype(np.int64)), lists], ["_id", "_hash", "rid", "n", "bands"])
 
     return run
 
@@ -201,16 +201,17 @@ def _verifier(n: int, threshold: float):
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: _id, rid (word sequence), first_id (the smallest id of equal word sequences), n_links (other documents at or above the threshold), class_id (the smallest id that links lead to)."""
+    """A row for each document: _id, rid (word sequence), first_id (the smallest id of equal word sequences), n_links (other documents at or above the threshold), class_id (the smallest id that links lead to); _hash (of the text) and class_hash (of a text with class_id in the class, the smallest)."""
     spark = docs.sparkSession
     small_batches(spark)
     bands, rows = bands_for(threshold, recall)
     base = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
-    made = base.select("_id", _rid(F.col("_t")).alias("rid"), F.coalesce(word_hashes(F.col("_t")), F.array().cast("array<bigint>")).alias("w"))
+    made = base.select("_id", F.xxhash64("_t").alias("_hash"), _rid(F.col("_t")).alias("rid"), F.coalesce(word_hashes(F.col("_t")), F.array().cast("array<bigint>")).alias("w"))
     kind = dict(docs.dtypes)[doc_id]
-    sig = staged(made.mapInArrow(_signer(bands, rows, n), f"_id {kind}, rid binary, n bigint, bands array<bigint>"), "signatures")
-    reps = sig.filter("rid IS NOT NULL").groupBy("rid").agg(F.min("_id").alias("first_id"), F.count("*").alias("cnt"), F.max("n").alias("n"), F.max("bands").alias("bands"))
-    reps = staged(reps, "classes")
+    sig = staged(made.mapInArrow(_signer(bands, rows, n), f"_id {kind}, _hash bigint, rid binary, n bigint, bands array<bigint>"), "signatures")
+    place = F.struct(F.col("_id").isNull().alias("last"), "_id", "_hash")
+    reps = sig.filter("rid IS NOT NULL").groupBy("rid").agg(F.min(place).alias("first"), F.count("*").alias("cnt"), F.max("n").alias("n"), F.max("bands").alias("bands"))
+    reps = staged(reps.withColumn("first_id", F.col("first._id")), "classes")
 
     # Representatives that meet in a bucket, each with the smallest one there.
     cells = reps.filter(F.col("n") > 1).select("rid", F.posexplode("bands").alias("band", "h")).select("rid", F.xxhash64("band", "h").alias("bucket"))
@@ -241,23 +242,33 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     over = components(wide)
     got = seen.groupBy("rid").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
     got = got.join(over, got["rid"] == over["node"], "left").select("rid", "links", F.coalesce(over["label"], got["label"]).alias("label"))
-    every = reps.select("rid", "first_id", "cnt").join(got, "rid", "left").select("rid", "first_id", "cnt", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "rid").alias("label"))
+    every = reps.select("rid", "first", "first_id", "cnt").join(got, "rid", "left").select("rid", "first", "first_id", "cnt", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "rid").alias("label"))
     every = staged(every, "linked")
-    low = every.groupBy(F.col("label").alias("_l")).agg(F.min("first_id").alias("class_id"))
-    every = staged(every.join(low, F.col("label") == F.col("_l")).drop("_l", "label"), "labelled")
+    low = every.groupBy(F.col("label").alias("_l")).agg(F.min("first").alias("_f")).select("_l", F.col("_f._id").alias("class_id"), F.col("_f._hash").alias("class_hash"))
+    every = staged(every.join(low, F.col("label") == F.col("_l")).drop("_l", "label", "first"), "labelled")
     total = sig.count()
-    out = skew_lookup(sig.select("_id", "rid"), every, "rid", "cnt", total, ["first_id", "n_links", "class_id"], F.unhex(F.md5(F.concat(F.lit("none"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))))
-    return out.select("_id", "rid", F.coalesce("first_id", "_id").alias("first_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "_id").alias("class_id"))
+    out = skew_lookup(sig.select("_id", "_hash", "rid"), every, "rid", "cnt", total, ["first_id", "n_links", "class_id", "class_hash"], F.unhex(F.md5(F.concat(F.lit("none"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))))
+    return out.select("_id", "_hash", "rid", F.coalesce("first_id", "_id").alias("first_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("class_hash", "_hash").alias("class_hash"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest id; rows without id stay."""
-    got = staged(classes(docs, threshold, n, doc_id=doc_id, text=text).select("_id", "class_id"), "near")
-    gone = got.filter("_id <> class_id").select(F.col("_id").alias("_gone")).distinct()
-    twice = got.filter("_id = class_id").groupBy("_id").count().filter("count > 1").limit(1).count()
-    gone = staged(gone, "gone")
-    out = docs.join(broadcast_if(gone, gone.count()), F.col(doc_id) == F.col("_gone"), "left_anti")
-    return out.dropDuplicates([doc_id]) if twice else out
+    """One document of each class, the one with the smallest id; rows without id stay. Of texts that share this id in a class, and of repeated rows, one stays."""
+    got = staged(classes(docs, threshold, n, doc_id=doc_id, text=text).filter("_id IS NOT NULL").select("_id", "_hash", "class_id", "class_hash"), "near")
+    own = "_id = class_id AND _hash = class_hash"
+    pairs = lambda df: df.select(F.col("_id").alias("_gone"), F.col("_hash").alias("_gone_hash"))
+    met = lambda a, b: (a[doc_id] == b["_gone"]) & (a["_text_hash"] == b["_gone_hash"])
+    gone = staged(pairs(got.filter(f"NOT ({own})")).distinct(), "gone")
+    base = docs.withColumn("_text_hash", F.xxhash64(text))
+    out = base.join(broadcast_if(gone, gone.count()), met(base, gone), "left_anti")
+    twins = staged(pairs(got.filter(own).groupBy("_id", "_hash").count().filter("count > 1")), "twins")
+    k = twins.count()
+    if not k:
+        return out.select(*docs.columns)
+    # Of rows with the same id and text one stays; what stands once, or has no id, isn't touched.
+    twins = broadcast_if(twins, k)
+    once = out.join(twins, met(out, twins), "left_anti").select(*docs.columns)
+    again = out.join(twins, met(out, twins), "left_semi")
+    return once.unionByName(again.dropDuplicates([doc_id, "_text_hash"]).select(*docs.columns))
 
 
 def op7_rows(docs: DataFrame) -> DataFrame:

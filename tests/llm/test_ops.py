@@ -286,6 +286,18 @@ def test_jaccard(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c, _ in want.values()})
 
 
+def test_keep_one_with_repeated_rows_and_ids(spark):
+    rng = random.Random(31)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    near = lambda t: t + " one more"
+    docs = [(1, a), (1, a), (None, b), (None, c), (None, None), (2, d), (3, e), (3, near(d)), (4, prose(rng, 60)), (4, prose(rng, 60)), (5, None), (5, None)]
+    docs += [(6, f := prose(rng, 60)), (6, near(f)), (7, f)]
+    kept = Counter((r.doc_id, r.text) for r in jaccard.keep_one(table(spark, docs)).collect())
+    six = [x for x in kept if x[0] == 6]
+    assert len(six) == 1 and kept[six[0]] == 1
+    assert {k: v for k, v in kept.items() if k[0] != 6} == dict.fromkeys([x for x in docs if x[0] not in (6, 7) and x != (3, near(d))], 1)
+
+
 def test_jaccard_of_a_group_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     rng = random.Random(11)
