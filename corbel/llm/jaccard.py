@@ -15,7 +15,7 @@ A text of fewer than five words has one n-gram, all its words.
 
 Defined results: a null text is linked with nothing; texts without words are
 linked if they are equal; repeated rows are copies of each other; class_id is the
-smallest doc_id of the class that is not null; further columns don't matter; an
+smallest doc_id of the class that is not null; documents without id are linked like others; further columns don't matter; an
 empty table gives an empty result.
 """
 
@@ -220,13 +220,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     linked = components(met)
     size = linked.groupBy(F.col("label").alias("comp")).agg(F.count("*").alias("g"))
     near = linked.join(size, linked["label"] == size["comp"]).select("node", "comp", "g")
-    near = staged(near.join(reps, near["node"] == reps["rid"]).select("rid", "comp", "g", "first_id", "cnt"), "candidates")
+    near = staged(near.join(reps, near["node"] == reps["rid"]).select("rid", "comp", "g", "first", "cnt"), "candidates")
     m = near.count()
 
-    # Each representative's words, from one of the documents that have them.
-    ids = broadcast_if(near.withColumnRenamed("first_id", "_f"), m)
-    full = base.join(ids, base["_id"] == ids["_f"]).filter(_rid(F.col("_t")) == F.col("rid"))
-    full = full.select("rid", "comp", "cnt", "g", word_hashes(F.col("_t")).alias("w"))
+    # Each representative's words once, from one of the documents that have them; it may have no id, or be repeated.
+    ids = broadcast_if(near.select("rid", "comp", "g", "cnt", F.col("first._id").alias("_f"), F.col("first._hash").alias("_h")), m)
+    texts = base.withColumn("_hash", F.xxhash64("_t"))
+    full = texts.join(ids, texts["_id"].eqNullSafe(ids["_f"]) & (texts["_hash"] == ids["_h"])).filter(_rid(F.col("_t")) == F.col("rid"))
+    full = full.select("rid", "comp", "cnt", "g", word_hashes(F.col("_t")).alias("w")).dropDuplicates(["rid"])
     chunks = F.ceil(F.col("g") / BLOCK).cast("int")
     full = full.withColumn("side", F.pmod(F.xxhash64("rid"), chunks).cast("int"))
     full = full.withColumn("x", F.explode(F.sequence(F.lit(0), chunks - 1)))
@@ -247,7 +248,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     low = every.groupBy(F.col("label").alias("_l")).agg(F.min("first").alias("_f")).select("_l", F.col("_f._id").alias("class_id"), F.col("_f._hash").alias("class_hash"))
     every = staged(every.join(low, F.col("label") == F.col("_l")).drop("_l", "label", "first"), "labelled")
     total = sig.count()
-    out = skew_lookup(sig.select("_id", "_hash", "rid"), every, "rid", "cnt", total, ["first_id", "n_links", "class_id", "class_hash"], F.unhex(F.md5(F.concat(F.lit("none"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))))
+    out = skew_lookup(sig.select("_id", "_hash", "rid"), every, "rid", "cnt", total, ["first_id", "n_links", "class_id", "class_hash"], F.unhex(F.md5(F.concat(F.lit("none"), F.coalesce(F.col("_id").cast("string"), F.monotonically_increasing_id().cast("string"))))))
     return out.select("_id", "_hash", "rid", F.coalesce("first_id", "_id").alias("first_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("class_hash", "_hash").alias("class_hash"))
 
 

@@ -286,6 +286,16 @@ def test_jaccard(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c, _ in want.values()})
 
 
+def test_jaccard_with_null_ids_and_repeated_rows(spark):
+    rng = random.Random(41)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    docs = [(1, a), (1, a), (2, a + " end"), (None, b), (3, b + " end"), (4, "start " + b), (None, c), (None, c), (None, c + " end")]
+    got = sorted((tuple(r) for r in jaccard.op7_rows(table(spark, docs)).select("doc_id", "class_id", "n_links").collect()), key=str)
+    want = brute.jaccard_classes([(i, t) for i, (_, t) in enumerate(docs)])
+    smallest = {k: min((docs[i][0] for i in want if want[i][0] == k and docs[i][0] is not None), default=None) for k, _ in want.values()}
+    assert got == sorted(((d, smallest[want[i][0]], want[i][1]) for i, (d, _) in enumerate(docs)), key=str)
+
+
 def test_keep_one_with_repeated_rows_and_ids(spark):
     rng = random.Random(31)
     a, b, c, d, e = (prose(rng, 60) for _ in range(5))
