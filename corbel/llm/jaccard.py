@@ -214,7 +214,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: f
     reps = staged(reps.withColumn("first_id", F.col("first._id")), "classes")
 
     # Representatives that meet in a bucket, each with the smallest one there.
-    cells = reps.filter(F.col("n") > 1).select("rid", F.posexplode("bands").alias("band", "h")).select("rid", F.xxhash64("band", "h").alias("bucket"))
+    cells = reps.filter(F.col("n") > 0).select("rid", F.posexplode("bands").alias("band", "h")).select("rid", F.xxhash64("band", "h").alias("bucket"))
     many = staged(cells.groupBy("bucket").agg(F.min("rid").alias("low"), F.count("*").alias("k")).filter("k > 1").select("bucket", "low"), "buckets")
     met = cells.join(broadcast_if(many, many.count()), "bucket").filter("rid <> low").select(F.col("rid").alias("a"), F.col("low").alias("b"))
     linked = components(met)

@@ -296,6 +296,12 @@ def test_jaccard_with_null_ids_and_repeated_rows(spark):
     assert got == sorted(((d, smallest[want[i][0]], want[i][1]) for i, (d, _) in enumerate(docs)), key=str)
 
 
+def test_jaccard_of_texts_with_one_gram(spark):
+    docs = [(1, "a a a a a"), (2, "a a a a a a"), (3, "a a a a a a a"), (4, "b b b b b"), (5, "one two"), (6, "")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.op7_rows(table(spark, docs)).collect()}
+    assert got == brute.jaccard_classes(docs)
+
+
 def test_keep_one_with_repeated_rows_and_ids(spark):
     rng = random.Random(31)
     a, b, c, d, e = (prose(rng, 60) for _ in range(5))
