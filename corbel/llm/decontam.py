@@ -64,13 +64,13 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, doc_id: str =
     plans = [(m, (m + 1) // 2, m - (m + 1) // 2 + 1) for m in sizes]
     base = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
 
-    # lower() also folds letters beyond A-Z: it never loses a match here, and the exact comparison follows.
-    low = base.select(*KEY, words(F.lower("_text")).alias("w"))
+    # Cased as in the exact comparison: lower() of a letter may depend on what follows its word.
+    low = base.select(*KEY, words(ascii_lower(F.col("_text"))).alias("w"))
     probes = F.concat(F.array().cast("array<bigint>"), *[_runs(F.col("w"), size, step) for _, size, step in plans])
     seen = low.select(*KEY, F.size("w").cast("long").alias("n_words"), F.posexplode_outer(probes).alias("pos", "probe"))
     anchors = spark.createDataFrame([], "anchor bigint")
     for m, size, _ in plans:
-        w = win.filter(F.col("m") == m).select(F.split(F.lower("win"), " ").alias("w"))
+        w = win.filter(F.col("m") == m).select(F.split("win", " ").alias("w"))
         anchors = anchors.union(w.select(F.explode(_runs(F.col("w"), size, 1))))
     anchors = staged(anchors.distinct(), "anchors")
     hit = broadcast_if(anchors, anchors.count(), 2_000_000)

@@ -240,6 +240,14 @@ def test_letters_beyond_ascii_keep_their_case(spark):
     assert {r.doc_id: r.contaminated for r in decontam.op5_rows(d, b).collect()} == {1: False, 2: True}
 
 
+def test_probes_match_whatever_follows_a_word(spark):
+    # The lower case of a capital sigma is another one at the end of a word.
+    text = ".".join(f"{a}{b}Σ" for a in "ΑΒ" for b in "ΓΔΕΖΗ")
+    d = spark.createDataFrame([(1, text), (2, text.replace(".", " "))], "doc_id long, text string")
+    b = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontam.op5_rows(d, b).collect()} == {1: 10, 2: 10}
+
+
 def test_personal_data(spark, rows):
     extra = [
         "mail a.b@c.de, x@y and a@b.c_d@e.f.g or a@b.c.", "192.168.0.1 256.1.1.1 1.2.3.4.5.6.7.8 007.0.0.255 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 or 378282246310005",
