@@ -7,9 +7,12 @@ and the driver can reach, so a lost executor costs a re-read and not a recompute
 
 from __future__ import annotations
 
+import atexit
 import getpass
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,48 +22,129 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows up to which a counted table of short rows may be broadcast.
-BROADCAST_ROWS = 300_000
+#: The folders that staged tables go to, the innermost scope last.
+_SCOPES: list[str] = ["tables"]
+_AT_EXIT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine only where none is set (tests, local mode)."""
+    """The cluster's shared folder; a folder of this machine only where none is set in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or f"file://{tempfile.gettempdir()}/corbel-{getpass.getuser()}"
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/corbel-{getpass.getuser()}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: computed once, lineage cut, safe against lost executors."""
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/corbel/{spark.sparkContext.applicationId}"
+
+
+def staged(df: DataFrame, name: str, batch: tuple[int, int] | None = None, scope: str | None = None) -> DataFrame:
+    """Writes `df` to the shared folder and reads it back: computed once, lineage cut, safe against lost executors.
+
+    `batch` bounds the rows and megabytes of the Arrow batches that Python workers get meanwhile;
+    `scope` names an outer scope for what is to outlive the innermost one.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/corbel/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    home = _home(spark)
+    if home not in _AT_EXIT:
+        _AT_EXIT.add(home)
+        atexit.register(_released_at_exit, spark, home)
+    path = f"{home}/{scope or _SCOPES[-1]}/{name}-{uuid.uuid4().hex}"
+    with _batches(spark, batch):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what this application has staged; call it once no staged result is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/corbel/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def _batches(spark: SparkSession, batch: tuple[int, int] | None) -> Iterator[None]:
+    """Arrow bounds that hold for one write; the session's own come back."""
+    if batch is None:
+        yield
+        return
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch[0]), "spark.sql.execution.arrow.maxBytesPerBatch": str(batch[1] << 20)}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, rows: int = 256, mb: int = 32) -> None:
-    """Bounds the Arrow batches that Python workers get, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that are staged within are deleted at the end; gives the name of the outer scope, for those that are to stay."""
+    outer, inner = _SCOPES[-1], f"scope-{uuid.uuid4().hex}"
+    _SCOPES.append(inner)
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
-    except Exception:  # noqa: BLE001  older sessions know the bound by rows only
-        return
+        yield outer
+    finally:
+        _SCOPES.remove(inner)
+        _delete(spark, f"{_home(spark)}/{inner}")
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that this application has staged; it happens by itself at the end of the driver's process."""
+    _delete(spark, _home(spark))
+
+
+def _released_at_exit(spark: SparkSession, home: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, home)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names of columns that `docs` has not, whatever its case."""
+    have, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The rows with two further columns (of fresh names) that tell each row from all others, repeated ones too: its file and its place there.
+
+    Rows of a table that is read as it stands have them already; others are staged first.
+    """
+    file, row = fresh(docs, "_file", "_row")
 
+    def marked(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(meta["file_path"]).alias(file), meta["row_index"].alias(row))
 
-def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of all keys."""
-    return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return marked(docs), file, row
+        except Exception as e:  # noqa: BLE001  a source without places of rows
+            if "FIELD_NOT_FOUND" not in str(e) and "UNRESOLVED" not in str(e):
+                raise
+    return marked(staged(docs, "rows")), file, row
 
 
-def broadcast_if(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints a broadcast only where the counted rows stay below the bound; else Spark shuffles and splits skewed keys."""
-    return F.broadcast(df) if rows <= most else df
+def shuffled(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], how: str = "left") -> DataFrame:
+    """An equi-join by shuffle at every size, `right` the smaller side and its keys unique; adaptive execution splits keys that many rows of `left` have."""
+    on = reduce(lambda x, y: x & y, (left[a] == right[b] for a, b in zip(left_keys, right_keys, strict=True)))
+    return left.join(right.hint("shuffle_hash"), on, how)
 
 
 def skew_lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int, cols: list[str], salt: Column, share: int = 1000) -> DataFrame:
@@ -124,6 +208,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         new = staged(step.join(jump, step["label"] == jump["via"], "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
         moved = new.filter("old <> label").limit(1).count()
+        dropped(labels)
         labels = new.select("node", "label")
         if not moved:
+            dropped(few)
             return labels

@@ -3,20 +3,29 @@
 Texts that share their word sequence are one class, which goes on as one
 representative. Each representative's set of n-grams (five words) gets MinHash
 bands; bands and rows are chosen so that a pair at the threshold is missed with
-a probability below 1 - recall. Band hashes are shuffled, representatives that
-meet in a bucket are connected, and each connected set is verified: exact
-Jaccard on the full n-gram sets of all its pairs, as sparse products in blocks of
-256 representatives by 256, so that no pair is ever a row. A set of any size is
-split over as many tasks as it has pairs of blocks. What comes back is, for each
-representative, its number of links and the links of a spanning forest.
+a probability below 1 - recall. Band hashes are shuffled, and representatives that
+meet in a bucket are verified: exact Jaccard on the full n-gram sets, as sparse
+products of blocks, so that no pair is ever a row. A block has at most BLOCK texts
+and about WORDS words, whatever the length of texts is.
+
+Buckets that share members overlap, so a connected set of buckets is verified in
+the cheaper of two exact ways, told by counts for each set: as one (all pairs of
+its blocks), or, where that is more pairs than its buckets have (chains of texts,
+boilerplate that ties unlike texts together), bucket by bucket, a pair counting in
+the first band that it shares. So never more pairs are verified than share a band.
+A bucket of any size is split over as many tasks as it has pairs of blocks. What
+comes back is, for each representative, its number of links and the links of a
+spanning forest.
 
 Words are lower-cased, and are runs of letters, digits and whatever is not ASCII.
 A text of fewer than five words has one n-gram, all its words.
 
-Defined results: a null text is linked with nothing; texts without words are
-linked if they are equal; repeated rows are copies of each other; class_id is the
-smallest doc_id of the class that is not null; documents without id are linked like others; further columns don't matter; an
-empty table gives an empty result.
+Rows are told apart by their place in the table, so repeated rows, repeated ids
+and rows without id need no rule of their own. Defined results: a null text is
+linked with nothing; texts without words are linked if they are equal; repeated
+rows are copies of each other; class_id is the smallest doc_id of the class that
+is not null, and null if all are; further columns don't matter, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, components, skew_lookup, small_batches, staged, words
+from .common import components, keyed, shuffled, skew_lookup, staged, words
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.99999
-BLOCK = 256
+BLOCK, WORDS = 256, 1 << 21
+BATCH = (256, 32)
+#: Columns that a row of signatures begins with: its number among them, its place in the table, its id and its word sequence.
+ROW = ("no", "f", "r", "_id", "rid")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,7 +117,7 @@ def _signer(bands: int, rows: int, n: int):
                 sig[some] = sign(h[off[some[0]] : off[some[-1] + 1]], off[some] - off[some[0]])
                 at = to
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * bands), pa.array(sig.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), batch.column("rid"), pa.array(count.astype(np.int64)), lists], ["_id", "_hash", "rid", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ROW), pa.array(count.astype(np.int64)), lists], [*ROW, "n", "bands"])
 
     return run
 
@@ -147,6 +159,31 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None,
     return both * (limit.numerator + limit.denominator) >= limit.numerator * size
 
 
+def _meet_first(bands: np.ndarray, left: np.ndarray, right: np.ndarray, bucket: int) -> np.ndarray:
+    """Pairs whose first band in common is the one of this bucket."""
+    out = np.zeros((len(left), len(right)), bool)
+    open_ = np.ones_like(out)
+    for k in range(bands.shape[1]):
+        same = bands[left, k][:, None] == bands[right, k][None, :]
+        out |= open_ & same & (bands[left, k] == bucket)[:, None]
+        open_ &= ~same
+    return out
+
+
+def _labels(near: np.ndarray, left: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """Labels by minima along links until none changes."""
+    label = np.arange(n)
+    while True:
+        old = label.copy()
+        some = near.any(1)
+        label[left[some]] = np.minimum(label[left[some]], np.where(near[some], label[to][None, :], n).min(1))
+        some = near.any(0)
+        label[to[some]] = np.minimum(label[to[some]], np.where(near[:, some], label[left][:, None], n).min(0))
+        label = np.minimum(label, label[label])
+        if (label == old).all():
+            return label
+
+
 def _verifier(n: int, threshold: float):
     limit = Fraction(str(threshold))
 
@@ -155,121 +192,129 @@ def _verifier(n: int, threshold: float):
         w = table.column("w")
         w = w.chunk(0) if w.num_chunks else pa.array([], pa.list_(pa.int64()))
         h, off = grams(*_lists(w), n)
-        rid, comp = table.column("rid").to_pylist(), table.column("comp").to_pylist()
-        cnt = table.column("cnt").to_numpy()
-        i, j, side = (table.column(k).to_numpy() for k in ("i", "j", "side"))
+        no, cnt, group, i, j, side = (table.column(k).to_numpy() for k in ("no", "cnt", "grp", "i", "j", "side"))
+        bucket, bands = table.column("is_bucket").to_pylist(), table.column("bands")
         groups: dict = {}
-        for k, key in enumerate(zip(comp, i.tolist(), j.tolist(), strict=True)):
+        for k, key in enumerate(zip(group.tolist(), bucket, i.tolist(), j.tolist(), strict=True)):
             groups.setdefault(key, []).append(k)
-        out_rid, out_comp, out_links, out_label, out_open = [], [], [], [], []
-        for (c, a, b), members in groups.items():
-            members.sort(key=lambda k: rid[k])
-            idx = np.array(members)
-            sets = [np.unique(h[off[k] : off[k + 1]]) for k in members]
+        out: list[tuple] = []
+        for (g, by_bucket, a, b), members in groups.items():
+            idx = np.array(sorted(members, key=lambda k: no[k]))
             cross = a != b
             left = np.flatnonzero(side[idx] == a) if cross else np.arange(len(idx))
             right = np.flatnonzero(side[idx] == b) if cross else None
+            to = left if right is None else right
             links, label = np.zeros(len(idx), np.int64), np.arange(len(idx))
-            if len(left) and (not cross or len(right)):
-                near = _linked(sets, left, right, limit)
+            if len(left) and len(to):
+                near = _linked([np.unique(h[off[k] : off[k + 1]]) for k in idx], left, right, limit)
+                if by_bucket:
+                    near &= _meet_first(np.array(bands.take(pa.array(idx)).to_pylist(), np.int64), left, to, g)
                 if not cross:
                     np.fill_diagonal(near, False)
                 own = cnt[idx]
-                links[left] += near @ own[left if right is None else right]
+                links[left] += near @ own[to]
                 if cross:
                     links[right] += near.T @ own[left]
-                # Labels by minima along links until none changes.
-                to = left if right is None else right
-                while True:
-                    old = label.copy()
-                    some = near.any(1)
-                    label[left[some]] = np.minimum(label[left[some]], np.where(near[some], label[to][None, :], len(idx)).min(1))
-                    some = near.any(0)
-                    label[to[some]] = np.minimum(label[to[some]], np.where(near[:, some], label[left][:, None], len(idx)).min(0))
-                    label = np.minimum(label, label[label])
-                    if (label == old).all():
-                        break
-            for k, m in enumerate(members):
-                out_rid.append(rid[m])
-                out_comp.append(c)
-                out_links.append(int(links[k]))
-                out_label.append(rid[members[label[k]]])
-            out_open += [b > 0] * len(members)
-        return pa.table({"rid": pa.array(out_rid, pa.binary()), "comp": pa.array(out_comp, pa.binary()), "links": pa.array(out_links, pa.int64()), "label": pa.array(out_label, pa.binary()), "open": pa.array(out_open, pa.bool_())})
+                label = _labels(near, left, to, len(idx))
+            out += zip(no[idx].tolist(), links.tolist(), no[idx[label]].tolist(), [by_bucket or b > 0] * len(idx), strict=True)
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("no", "links", "label", "open"), columns, kinds, strict=True)})
 
     return run
 
 
+def _unit_rows(grp: Column, is_bucket: bool, chunks: Column, bins: int) -> Column:
+    """array<struct<unit, grp, is_bucket, i, j, side>>: the blocks that a member of a group of so many chunks takes part in; small groups share a unit."""
+    side = F.pmod(F.xxhash64("no"), chunks).cast("int")
+    kind = F.lit(is_bucket)
+
+    def one(x: Column) -> Column:
+        i, j = F.least(side, x), F.greatest(side, x)
+        unit = F.when(chunks == 1, F.xxhash64(kind, F.pmod(F.xxhash64(grp), F.lit(bins)))).otherwise(F.xxhash64(kind, grp, i, j))
+        return F.struct(unit.alias("unit"), grp.alias("grp"), kind.alias("is_bucket"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    return F.transform(F.sequence(F.lit(0), chunks - 1), one)
+
+
+def _chunks(members: str, size: str) -> Column:
+    return F.greatest(F.ceil(F.col(members) / BLOCK), F.ceil(F.col(size) / WORDS)).cast("int")
+
+
+def _links(sig: DataFrame, reps: DataFrame, base: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(no, links, label): for each representative that meets another one, the documents linked with it and the smallest representative that links lead to."""
+    reps = shuffled(sig.select("no", "f", "r", "bands"), reps.select(F.col("no").alias("rep"), "cnt", "n"), ["no"], ["rep"], "inner").filter("n > 0").drop("rep")
+    reps = staged(reps, "representatives")
+    cells = reps.select("no", "n", F.explode("bands").alias("bucket"))
+    many = cells.groupBy("bucket").agg(F.min("no").alias("low"), F.count("*").alias("k")).filter("k > 1")
+    many = staged(many.withColumnRenamed("bucket", "b"), "buckets")
+    met = staged(shuffled(cells, many, ["bucket"], ["b"], "inner").drop("b"), "met")
+    linked = components(met.filter("no <> low").select(F.col("no").alias("a"), F.col("low").alias("b")))
+    linked = staged(linked.select("node", F.col("label").alias("comp")), "linked")
+
+    # How each connected set is verified: as one, or bucket by bucket where that is fewer pairs.
+    inside = met.join(linked, met["no"] == linked["node"])
+    pairs = inside.groupBy("comp").agg(F.sum("k").alias("band_pairs"))
+    own = reps.select("no", "f", "r", "cnt", "n", "bands").join(linked, F.col("no") == F.col("node")).drop("node")
+    size = own.groupBy("comp").agg(F.count("*").alias("g"), F.sum("n").alias("size")).join(pairs, "comp")
+    size = size.select("comp", "g", "size", _chunks("g", "size").alias("chunks"), "band_pairs")
+    size = size.withColumn("by_bucket", (F.col("chunks") > 1) & (F.col("band_pairs") < F.col("g") * F.col("g")))
+    own = staged(own.join(size, "comp"), "candidates")
+    total = own.agg(F.sum("n")).first()[0] or 0
+    bins = max(64, total // WORDS)
+    whole = own.filter("NOT by_bucket").select("no", "f", "r", "cnt", F.lit(None).cast("array<bigint>").alias("bands"), _unit_rows(F.col("comp"), False, F.col("chunks"), bins).alias("units"))
+    split = own.filter("by_bucket").select(F.col("no").alias("rep"))
+    split = met.join(split, met["no"] == split["rep"]).select("no", "bucket", "n")
+    load = split.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("g"), F.sum("n").alias("size")).select("b", _chunks("g", "size").alias("chunks"))
+    units = shuffled(split, load, ["bucket"], ["b"], "inner").groupBy("no").agg(F.flatten(F.collect_list(_unit_rows(F.col("bucket"), True, F.col("chunks"), bins))).alias("units"))  # a list for each band at most
+    parts = own.filter("by_bucket").select("no", "f", "r", "cnt", "bands").join(units, "no")
+    work = whole.unionByName(parts.select(*whole.columns)).withColumnsRenamed({"f": "f_", "r": "r_"})
+
+    # Each representative's words, once, to the blocks that it takes part in.
+    full = shuffled(base, work, ["f", "r"], ["f_", "r_"], "inner").select("no", "cnt", "bands", word_hashes(F.col("_t")).alias("w"), F.explode("units").alias("u"))
+    full = full.select("no", "cnt", "bands", "w", "u.*")
+    seen = full.groupBy("unit").applyInArrow(_verifier(n, threshold), "no bigint, links bigint, label bigint, open boolean")
+    seen = staged(seen, "verified", BATCH)
+
+    # Sets within one block are done; the others' forests are joined over their blocks.
+    over = components(seen.filter("open AND label <> no").select(F.col("no").alias("a"), F.col("label").alias("b")))
+    got = seen.groupBy("no").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
+    return got.join(over.withColumnRenamed("label", "far"), got["no"] == F.col("node"), "left").select("no", "links", F.coalesce("far", "label").alias("label"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: _id, rid (word sequence), first_id (the smallest id of equal word sequences), n_links (other documents at or above the threshold), class_id (the smallest id that links lead to); _hash (of the text) and class_hash (of a text with class_id in the class, the smallest)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """A row for each document: f and r (its place in the table), _id, rid (word sequence), label (of its class), first_id (the smallest id of equal word sequences), n_links (other documents at or above the threshold), class_id (the smallest id that links lead to)."""
+    return _classes(*keyed(docs), threshold, n, recall, doc_id, text)
+
+
+def _classes(docs: DataFrame, file: str, row: str, threshold: float, n: int, recall: float, doc_id: str, text: str) -> DataFrame:
     bands, rows = bands_for(threshold, recall)
-    base = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
-    made = base.select("_id", F.xxhash64("_t").alias("_hash"), _rid(F.col("_t")).alias("rid"), F.coalesce(word_hashes(F.col("_t")), F.array().cast("array<bigint>")).alias("w"))
+    base = docs.select(F.col(file).alias("f"), F.col(row).alias("r"), F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
+    made = base.select(F.monotonically_increasing_id().alias("no"), "f", "r", "_id", _rid(F.col("_t")).alias("rid"), F.coalesce(word_hashes(F.col("_t")), F.array().cast("array<bigint>")).alias("w"))
     kind = dict(docs.dtypes)[doc_id]
-    sig = staged(made.mapInArrow(_signer(bands, rows, n), f"_id {kind}, _hash bigint, rid binary, n bigint, bands array<bigint>"), "signatures")
-    place = F.struct(F.col("_id").isNull().alias("last"), "_id", "_hash")
-    reps = sig.filter("rid IS NOT NULL").groupBy("rid").agg(F.min(place).alias("first"), F.count("*").alias("cnt"), F.max("n").alias("n"), F.max("bands").alias("bands"))
-    reps = staged(reps.withColumn("first_id", F.col("first._id")), "classes")
-
-    # Representatives that meet in a bucket, each with the smallest one there.
-    cells = reps.filter(F.col("n") > 0).select("rid", F.posexplode("bands").alias("band", "h")).select("rid", F.xxhash64("band", "h").alias("bucket"))
-    many = staged(cells.groupBy("bucket").agg(F.min("rid").alias("low"), F.count("*").alias("k")).filter("k > 1").select("bucket", "low"), "buckets")
-    met = cells.join(broadcast_if(many, many.count()), "bucket").filter("rid <> low").select(F.col("rid").alias("a"), F.col("low").alias("b"))
-    linked = components(met)
-    size = linked.groupBy(F.col("label").alias("comp")).agg(F.count("*").alias("g"))
-    near = linked.join(size, linked["label"] == size["comp"]).select("node", "comp", "g")
-    near = staged(near.join(reps, near["node"] == reps["rid"]).select("rid", "comp", "g", "first", "cnt"), "candidates")
-    m = near.count()
-
-    # Each representative's words once, from one of the documents that have them; it may have no id, or be repeated.
-    ids = broadcast_if(near.select("rid", "comp", "g", "cnt", F.col("first._id").alias("_f"), F.col("first._hash").alias("_h")), m)
-    texts = base.withColumn("_hash", F.xxhash64("_t"))
-    full = texts.join(ids, texts["_id"].eqNullSafe(ids["_f"]) & (texts["_hash"] == ids["_h"])).filter(_rid(F.col("_t")) == F.col("rid"))
-    full = full.select("rid", "comp", "cnt", "g", word_hashes(F.col("_t")).alias("w")).dropDuplicates(["rid"])
-    chunks = F.ceil(F.col("g") / BLOCK).cast("int")
-    full = full.withColumn("side", F.pmod(F.xxhash64("rid"), chunks).cast("int"))
-    full = full.withColumn("x", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    full = full.withColumn("i", F.least("side", "x")).withColumn("j", F.greatest("side", "x"))
-    bins = max(64, m // 400)
-    unit = F.when(F.col("g") <= BLOCK, F.pmod(F.xxhash64("comp"), F.lit(bins))).otherwise(F.xxhash64("comp", "i", "j"))
-    work = full.select(unit.alias("unit"), "rid", "comp", "cnt", "i", "j", "side", "w", "g")
-    seen = work.groupBy("unit").applyInArrow(_verifier(n, threshold), "rid binary, comp binary, links bigint, label binary, open boolean")
-    seen = staged(seen, "verified")
-
-    # Sets within one block are done; the others' forests are joined over their blocks.
-    wide = seen.join(near.filter(F.col("g") > BLOCK).select("rid"), "rid", "left_semi").filter("label <> rid").select(F.col("rid").alias("a"), F.col("label").alias("b"))
-    over = components(wide)
-    got = seen.groupBy("rid").agg(F.sum("links").alias("links"), F.min("label").alias("label"))
-    got = got.join(over, got["rid"] == over["node"], "left").select("rid", "links", F.coalesce(over["label"], got["label"]).alias("label"))
-    every = reps.select("rid", "first", "first_id", "cnt").join(got, "rid", "left").select("rid", "first", "first_id", "cnt", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "rid").alias("label"))
+    sig = staged(made.mapInArrow(_signer(bands, rows, n), f"no bigint, f bigint, r bigint, _id {kind}, rid binary, n bigint, bands array<bigint>"), "signatures", BATCH)
+    reps = sig.filter("rid IS NOT NULL").groupBy("rid").agg(F.min("no").alias("no"), F.count("*").alias("cnt"), F.max("n").alias("n"), F.min("_id").alias("first_id"))
+    reps = staged(reps, "classes")
+    got = staged(_links(sig, reps, base.select("f", "r", "_t"), n, threshold).withColumnRenamed("no", "rep"), "links")
+    # Sequences with a copy or a link; all others stand alone.
+    every = reps.join(got, reps["no"] == got["rep"], "left").filter("cnt > 1 OR rep IS NOT NULL")
+    every = every.select("rid", "first_id", "cnt", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "no").alias("label"))
     every = staged(every, "linked")
-    low = every.groupBy(F.col("label").alias("_l")).agg(F.min("first").alias("_f")).select("_l", F.col("_f._id").alias("class_id"), F.col("_f._hash").alias("class_hash"))
-    every = staged(every.join(low, F.col("label") == F.col("_l")).drop("_l", "label", "first"), "labelled")
-    total = sig.count()
-    out = skew_lookup(sig.select("_id", "_hash", "rid"), every, "rid", "cnt", total, ["first_id", "n_links", "class_id", "class_hash"], F.unhex(F.md5(F.concat(F.lit("none"), F.coalesce(F.col("_id").cast("string"), F.monotonically_increasing_id().cast("string"))))))
-    return out.select("_id", "_hash", "rid", F.coalesce("first_id", "_id").alias("first_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("class_hash", "_hash").alias("class_hash"))
+    low = every.groupBy(F.col("label").alias("l")).agg(F.min("first_id").alias("class_id"))
+    every = staged(every.join(low, F.col("label") == F.col("l")).drop("l"), "labelled")
+    out = skew_lookup(sig.select("no", "f", "r", "_id", "rid"), every, "rid", "cnt", sig.count(), ["first_id", "n_links", "class_id", "label"], F.unhex(F.md5(F.concat(F.lit("none"), F.col("no").cast("string")))))
+    alone = F.col("label").isNull()
+    return out.select("f", "r", "_id", "rid", F.coalesce("label", "no").alias("label"), F.when(alone, F.col("_id")).otherwise(F.col("first_id")).alias("first_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(alone, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest id; rows without id stay. Of texts that share this id in a class, and of repeated rows, one stays."""
-    got = staged(classes(docs, threshold, n, doc_id=doc_id, text=text).filter("_id IS NOT NULL").select("_id", "_hash", "class_id", "class_hash"), "near")
-    own = "_id = class_id AND _hash = class_hash"
-    pairs = lambda df: df.select(F.col("_id").alias("_gone"), F.col("_hash").alias("_gone_hash"))
-    met = lambda a, b: (a[doc_id] == b["_gone"]) & (a["_text_hash"] == b["_gone_hash"])
-    gone = staged(pairs(got.filter(f"NOT ({own})")).distinct(), "gone")
-    base = docs.withColumn("_text_hash", F.xxhash64(text))
-    out = base.join(broadcast_if(gone, gone.count()), met(base, gone), "left_anti")
-    twins = staged(pairs(got.filter(own).groupBy("_id", "_hash").count().filter("count > 1")), "twins")
-    k = twins.count()
-    if not k:
-        return out.select(*docs.columns)
-    # Of rows with the same id and text one stays; what stands once, or has no id, isn't touched.
-    twins = broadcast_if(twins, k)
-    once = out.join(twins, met(out, twins), "left_anti").select(*docs.columns)
-    again = out.join(twins, met(out, twins), "left_semi")
-    return once.unionByName(again.dropDuplicates([doc_id, "_text_hash"]).select(*docs.columns))
+    """One document of each class, the one with the smallest id (rows without id rank last; ties go by word sequence, and one of equal rows stays); null texts stay."""
+    src, file, row = keyed(docs)
+    got = _classes(src, file, row, threshold, n, RECALL, doc_id, text).filter("n_links > 0").select(F.col("f").alias("gone_f"), F.col("r").alias("gone_r"), "_id", "class_id", "rid", "label")
+    got = staged(got, "near")
+    stay = got.filter("_id <=> class_id").groupBy("label").agg(F.min(F.struct("rid", "gone_f", "gone_r")).alias("x")).select(F.col("x.gone_f").alias("f"), F.col("x.gone_r").alias("r"))
+    gone = shuffled(got.select("gone_f", "gone_r"), stay, ["gone_f", "gone_r"], ["f", "r"], "left_anti")
+    return shuffled(src, staged(gone, "gone"), [file, row], ["gone_f", "gone_r"], "left_anti").select(*docs.columns)
 
 
 def op7_rows(docs: DataFrame) -> DataFrame:
