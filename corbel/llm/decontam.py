@@ -1,19 +1,23 @@
 """Benchmark decontamination with DataFrame operations only.
 
-A hash set of normalised test n-grams is broadcast (behind a check of its size),
-token windows of the training texts probe it, hits are verified word by word,
-and spans or documents are removed.
+A hash set of normalised test n-grams is broadcast (behind a check of its size,
+which the benchmark alone decides; beyond it Spark chooses the join), token
+windows of the training texts probe it, hits are verified word by word, and spans
+or documents are removed.
 
 A window of m words is found without probing at each position: of any m
 neighbouring words of a text, one run of L = ceil(m / 2) words starts at a
 multiple of k = m - L + 1. So every k-th run of L words of a text probes the set
-of all runs of L words of the items. Only texts with a probe that matches are
-read again and compared exactly at every position.
-
-Defined results: a null text has no words, a null or wordless item has no
-window, an item without id marks words but isn't listed, items that share an id
-count once, repeated rows of documents give repeated rows, and further columns
-of either table don't matter. Empty tables give empty results or no hits.
+of all runs of L words of the items. Texts are cut into pieces of PIECE words that
+overlap by a window; a piece with a probe that matches is compared exactly at
+every position right there, so no text is shuffled, and a very long text costs no
+more a word than a short one.
+
+Rows are told apart by their place in the table. Defined results: a null text has
+no words, a null or wordless item has no window, an item without id marks words
+but isn't listed, items that share an id count once, repeated rows of documents
+give repeated rows, and further columns of either table don't matter, whatever
+their names. Empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -21,13 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if, same, staged, words
+from .common import WORD_GAP, ascii_lower, fresh, keyed, let, shuffled, staged, words
 
 #: Runs of word characters and of others, as they stand in a text.
 _IS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _EDGE = r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])|(?<=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
 
-KEY = ["_id", "_hash"]
+#: Words of a piece, without its overlap; hashes of the benchmark up to which their set is broadcast.
+PIECE, BROADCAST_HASHES = 128, 2_000_000
 
 
 def _run(array: Column, at: Column, size: int) -> Column:
@@ -56,66 +61,82 @@ def benchmark_windows(bench: DataFrame, n: int, item_id: str, text: str) -> Data
     return rows.groupBy("win", "m").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """A row for each document: _id, _hash (of the text), n_words, spans array<struct<s, m>> (in words), n_hit, items array<string>."""
-    spark = docs.sparkSession
+def _cover(spans: Column) -> Column:
+    """Number of words under sorted spans."""
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(spans, start, lambda a, x: F.struct(F.greatest(a["end"], x["s"] + x["m"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["s"] + x["m"] - F.greatest(a["end"], x["s"]))).alias("n")), lambda a: a["n"])
+
+
+def _marks(base: DataFrame, bench: DataFrame, n: int, item_id: str, text: str) -> DataFrame:
+    """(f, r, spans, n_hit, items) of the documents with a hit; spans are array<struct<s, m>> in words."""
+    spark = base.sparkSession
     win = staged(benchmark_windows(bench, n, item_id, text if text in bench.columns else "text"), "windows")
     sizes = sorted(r["m"] for r in win.select("m").distinct().collect())  # n values at most
     plans = [(m, (m + 1) // 2, m - (m + 1) // 2 + 1) for m in sizes]
-    base = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-
-    # Cased as in the exact comparison: lower() of a letter may depend on what follows its word.
-    low = base.select(*KEY, words(ascii_lower(F.col("_text"))).alias("w"))
-    probes = F.concat(F.array().cast("array<bigint>"), *[_runs(F.col("w"), size, step) for _, size, step in plans])
-    seen = low.select(*KEY, F.size("w").cast("long").alias("n_words"), F.posexplode_outer(probes).alias("pos", "probe"))
     anchors = spark.createDataFrame([], "anchor bigint")
     for m, size, _ in plans:
         w = win.filter(F.col("m") == m).select(F.split("win", " ").alias("w"))
         anchors = anchors.union(w.select(F.explode(_runs(F.col("w"), size, 1))))
     anchors = staged(anchors.distinct(), "anchors")
-    hit = broadcast_if(anchors, anchors.count(), 2_000_000)
-    seen = seen.join(hit, seen["probe"] == hit["anchor"], "left")
-    slim = staged(seen.groupBy(*KEY).agg(F.max("n_words").alias("n_words"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"), F.max(F.col("anchor").isNotNull()).alias("maybe")), "scanned")
+    small = anchors.count() <= BROADCAST_HASHES
+    known = lambda df: F.broadcast(df) if small else df
 
-    maybe = slim.filter("maybe").select(F.col("_id").alias("_id"), F.col("_hash").alias("_hash"))
-    found = broadcast_if(maybe, maybe.count())
-    again = base.join(found, same(base, found, KEY), "left_semi").select(*KEY, words(ascii_lower(F.col("_text"))).alias("w"))
+    # Cased as in the exact comparison: lower() of a letter may depend on what follows its word.
+    low = base.select("f", "r", words(ascii_lower(F.col("t"))).alias("w")).filter(F.size("w") > 0)
+    # A piece has PIECE starts of windows, and the words that the last of them needs. Steps of probes divide no piece, so each has its own.
+    piece = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(PIECE)), lambda p: F.struct(p.alias("at"), F.slice("w", p + 1, F.lit(PIECE + n - 1)).alias("w")))
+    pieces = low.select("f", "r", F.explode(piece).alias("p")).select("f", "r", "p.at", "p.w")
+    probes = F.concat(F.array().cast("array<bigint>"), *[_runs(F.col("w"), size, step) for _, size, step in plans])
+    seen = pieces.select("*", F.explode(probes).alias("probe"))
+    seen = seen.join(known(anchors), seen["probe"] == anchors["anchor"], "left_semi")
+    maybe = seen.groupBy("f", "r", "at").agg(F.any_value("w").alias("w"))
     spots = F.concat(F.array().cast("array<struct<s:int,m:int>>"), *[_spots(F.col("w"), m) for m in sizes])
-    spot = again.withColumn("spot", F.explode(spots)).select(*KEY, "spot", F.array_join(F.slice("w", F.col("spot.s") + 1, F.col("spot.m")), " ").alias("run"))
-    exact = broadcast_if(win, win.count())
-    marks = spot.join(exact, (spot["run"] == exact["win"]) & (spot["spot.m"] == exact["m"])).select(*KEY, "spot", "items")
-    marks = marks.groupBy(*KEY).agg(F.array_sort(F.collect_set("spot")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
-    cover = F.aggregate("spans", start, lambda a, x: F.struct(F.greatest(a["end"], x["s"] + x["m"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["s"] + x["m"] - F.greatest(a["end"], x["s"]))).alias("n")), lambda a: a["n"])
-    marks = marks.withColumn("n_hit", cover)
-    out = slim.join(marks, same(slim, marks, KEY), "left").select(slim["_id"], slim["_hash"], "n_words", "copies", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return out
+    spot = maybe.select("*", F.explode(spots).alias("spot")).select("f", "r", F.struct((F.col("at") + F.col("spot.s")).alias("s"), F.col("spot.m").alias("m")).alias("spot"), F.array_join(F.slice("w", F.col("spot.s") + 1, F.col("spot.m")), " ").alias("run"))
+    marks = spot.join(known(win), (spot["run"] == win["win"]) & (spot["spot.m"] == win["m"])).select("f", "r", "spot", "items")
+    marks = marks.groupBy("f", "r").agg(F.array_sort(F.collect_set("spot")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return staged(marks.withColumn("n_hit", _cover(F.col("spans"))), "hits")
+
+
+def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """A row for each document: _id, n_words, spans array<struct<s, m>> (in words), n_hit, items array<string>."""
+    src, file, row = keyed(docs)
+    base = src.select(F.col(file).alias("f"), F.col(row).alias("r"), F.col(doc_id).alias("_id"), F.col(text).alias("t"))
+    marks = _marks(base, bench, n, item_id, text).withColumnsRenamed({"f": "f_", "r": "r_"})
+    count = F.regexp_count(ascii_lower(F.coalesce("t", F.lit(""))), F.lit(f"[^{WORD_GAP[1:-2]}]+"))
+    out = shuffled(base.select("f", "r", "_id", count.cast("long").alias("n_words")), marks, ["f", "r"], ["f_", "r_"])
+    return out.select("_id", "n_words", "spans", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents", n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents", n: int = 10, text: str = "text", item_id: str = "item_id") -> DataFrame:
     """The documents without contaminated ones (mode "documents"), or without their hit words and what follows each (mode "spans")."""
-    got = contamination(docs, bench, n, doc_id, text, item_id).filter("n_hit > 0").select("_id", "_hash", "spans")
-    got = staged(got, "hits")
-    hits = broadcast_if(got, got.count())
-    base = docs.withColumns({"_id": F.col(doc_id), "_hash": F.xxhash64(text)})
-    if mode == "documents":
-        return base.join(hits, same(base, hits, KEY), "left_anti").drop(*KEY)
-    if mode != "spans":
+    if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
-    hits = hits.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "spans")
-    both = base.join(hits, base["_id"].eqNullSafe(hits["_i"]) & base["_hash"].eqNullSafe(hits["_h"]), "left")
+    src, file, row = keyed(docs)
+    hits = _marks(src.select(F.col(file).alias("f"), F.col(row).alias("r"), F.col(text).alias("t")), bench, n, item_id, text)
+    f, r, spans = fresh(src, "_hit_file", "_hit_row", "_spans")
+    hits = hits.select(F.col("f").alias(f), F.col("r").alias(r), F.col("spans").alias(spans))
+    if mode == "documents":
+        return shuffled(src, hits, [file, row], [f, r], "left_anti").select(*docs.columns)
+    both = shuffled(src, hits, [file, row], [f, r])
+    # Word w is part first + 2 w; the gap after it goes with it. What lies between runs of hit words is kept.
     parts = F.split(F.col(text), _EDGE)
     first = F.when(F.element_at(parts, 1).rlike(f"^{_IS_WORD}"), 0).otherwise(1)
-    word_of = lambda i: F.floor((i - first) / 2)  # noqa: E731  a gap goes with the word before it
-    kept = F.filter(parts, lambda x, i: ~F.exists("spans", lambda s: (word_of(i) >= s["s"]) & (word_of(i) < s["s"] + s["m"])))
-    cut = F.when(F.col("spans").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))
+    hit = F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["s"], x["s"] + x["m"] - 1)))))
+
+    def between(w: Column) -> Column:
+        starts = F.filter(w, lambda x, i: (i == 0) | (F.get(w, i - 1) < x - 1))
+        ends = F.filter(w, lambda x, i: (i == F.size(w) - 1) | (F.get(w, i + 1) > x + 1))
+        return F.transform(F.sequence(F.lit(0), F.size(starts)), lambda i: F.struct(F.coalesce(first + 2 * F.get(ends, i - 1) + 2, F.lit(0)).alias("a"), F.coalesce(first + 2 * F.get(starts, i), F.size(parts)).alias("b")))
+
+    pieces = let(parts, lambda p: F.transform(let(hit, between), lambda g: F.array_join(F.slice(p, g["a"] + 1, F.greatest(g["b"] - g["a"], F.lit(0))), "")))
+    kept = F.array_join(pieces, "")
+    cut = F.when(F.col(spans).isNull(), F.col(text)).otherwise(kept)
     return both.withColumn(text, cut).select(*docs.columns)
 
 
 def op5_rows(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The contract's columns: a row for each document."""
     got = contamination(docs, bench)
-    got = got.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return got.select(F.col("_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
