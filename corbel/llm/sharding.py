@@ -15,9 +15,11 @@ bytes, whatever the sizes of groups are. The number of items grows with the
 logarithm of the number of groups; pools are sums that are taken before the
 shuffle, and no group is collected anywhere.
 
-Defined results: a null text has size 8, no checksum, and its rows are one group;
-repeated rows stay together; an empty table gives an empty result; further
-columns are kept by `sharded`.
+Rows are told apart by their place in the table, so a group that holds a third of
+all rows is dealt out by rows, but for its one sum. Defined results: a null text
+has size 8, no checksum, and its rows are one group; repeated rows stay together;
+an empty table gives an empty result; further columns, whatever their names, are
+kept by `sharded`.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import fresh, keyed, shuffled, staged
 
 SHARDS = 24
 POOLS = 4096
@@ -82,11 +84,15 @@ def _grain(key: Column, levels: int) -> Column:
 
 
 def shards(docs: DataFrame, count: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: _id, size, text_crc32, _group, shard, slot (gapless from 0 in a shard)."""
+    """A row for each document: f and r (its place in the table), _id, size, text_crc32, shard, slot (gapless from 0 in a shard)."""
+    return _shards(*keyed(docs), count, doc_id, text)
+
+
+def _placed(docs: DataFrame, file: str, row: str, count: int, doc_id: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     group = F.coalesce(F.unhex(F.md5(text)), F.unhex(F.lit("00")))
-    slim = docs.select(F.col(doc_id).alias("_id"), size.alias("size"), F.crc32(F.encode(F.col(text), "UTF-8")).alias("text_crc32"), group.alias("_group"))
+    slim = docs.select(F.col(file).alias("f"), F.col(row).alias("r"), F.col(doc_id).alias("_id"), size.alias("size"), F.crc32(F.encode(F.col(text), "UTF-8")).alias("text_crc32"), group.alias("_group"))
     slim = staged(slim, "groups")
     groups = staged(slim.groupBy("_group").agg(F.sum("size").alias("w")), "weights")
     whole, n = groups.agg(F.sum("w"), F.count("*")).first()
@@ -98,40 +104,42 @@ def shards(docs: DataFrame, count: int = SHARDS, doc_id: str = "doc_id", text: s
     # The last level's groups are few; a pool of its own for each, but for collisions.
     level = _grain(F.col("_group"), levels)
     pool = F.when(level == levels, F.pmod(F.xxhash64("_group"), F.lit(1 << 30))).otherwise(F.pmod(F.xxhash64("_group"), F.lit(POOLS)))
-    keyed = lambda df: df.withColumns({"_level": level, "_pool": pool})
-    pools = keyed(groups.filter(F.col("w") <= heavy_bar)).groupBy("_level", "_pool").agg(F.sum("w").alias("w"))
+    keyed_ = lambda df: df.withColumns({"_level": level, "_pool": pool})
+    pools = keyed_(groups.filter(F.col("w") <= heavy_bar)).groupBy("_level", "_pool").agg(F.sum("w").alias("w"))
     items = [(bytes(r["_group"]), -1, -1, r["w"]) for r in heavy.collect()] + [(None, r["_level"], r["_pool"], r["w"]) for r in pools.collect()]
     items.sort(key=lambda x: (-x[3], x[1], x[2], x[0] or b""))
     part = differencing([x[3] for x in items], count)
     placed = [(*x[:3], s) for x, s in zip(items, part, strict=True)]
+    # Both are bounded: 64 x count groups, and POOLS for each level or so.
     heavy_at = spark.createDataFrame([(bytearray(g), s) for g, _, _, s in placed if g], "_g binary, _hs int")
     pool_at = spark.createDataFrame([(le, p, s) for g, le, p, s in placed if not g], "_l int, _p bigint, _ps int")
-    rows = keyed(slim).join(F.broadcast(heavy_at), F.col("_group") == F.col("_g"), "left")
+    rows = keyed_(slim).join(F.broadcast(heavy_at), F.col("_group") == F.col("_g"), "left")
     rows = rows.join(F.broadcast(pool_at), (F.col("_level") == F.col("_l")) & (F.col("_pool") == F.col("_p")), "left")
-    rows = rows.select("_id", "size", "text_crc32", "_group", F.coalesce("_hs", "_ps").alias("shard"))
+    return rows.select("f", "r", "_id", "size", "text_crc32", F.coalesce("_hs", "_ps").alias("shard"))
+
+
+def _shards(docs: DataFrame, file: str, row: str, count: int, doc_id: str, text: str) -> DataFrame:
+    rows = _placed(docs, file, row, count, doc_id, text)
     # Slots: rows are numbered in small buckets of a shard, and each bucket starts where those before it end.
-    docs_n = slim.count()
-    buckets = max(64, docs_n // (count * 5_000))
-    bucket = F.pmod(F.xxhash64("_id", "text_crc32"), F.lit(buckets)).cast("int")
+    buckets = max(64, docs.count() // (count * 5_000))
+    bucket = F.pmod(F.xxhash64("_id", "text_crc32", "f", "r"), F.lit(buckets)).cast("int")
     rows = staged(rows.withColumn("_bucket", bucket), "placed")
     starts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(F.col("shard").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_start"))
-    starts = F.broadcast(starts) if buckets * count <= 1_000_000 else starts
-    own = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_id", "text_crc32", "size"))
-    rows = rows.withColumn("_nth", own)
-    rows = rows.join(starts, (rows["shard"] == starts["_s"]) & (rows["_bucket"] == starts["_b"]))
-    return rows.select("_id", "size", "text_crc32", "_group", "shard", (F.col("_start") + F.col("_nth") - 1).cast("long").alias("slot"))
+    own = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_id", "text_crc32", "size", "f", "r"))
+    # The window has dealt the rows by shard and bucket already; only the starts move.
+    rows = shuffled(rows.withColumn("_nth", own), starts, ["shard", "_bucket"], ["_s", "_b"], "inner")
+    return rows.select("f", "r", "_id", "size", "text_crc32", "shard", (F.col("_start") + F.col("_nth") - 1).cast("long").alias("slot"))
 
 
 def sharded(docs: DataFrame, count: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with their shard; rows of equal text have the same one."""
-    got = shards(docs, count, doc_id, text).groupBy(F.col("_group").alias("_g")).agg(F.min("shard").alias("shard"))
-    got = staged(got, "shard-of-group")
-    n = got.count()
-    base = docs.withColumn("_group", F.coalesce(F.unhex(F.md5(text)), F.unhex(F.lit("00"))))
-    got = F.broadcast(got) if n <= 300_000 else got
-    return base.join(got, base["_group"] == got["_g"]).select(*docs.columns, "shard")
+    """The documents with their shard, in a column `shard` (a column of this name gives way); rows of equal text have the same one."""
+    src, file, row = keyed(docs)
+    f, r, s = fresh(src, "_at_file", "_at_row", "_shard")
+    at = staged(_placed(src, file, row, count, doc_id, text).select(F.col("f").alias(f), F.col("r").alias(r), F.col("shard").alias(s)), "shards")
+    kept = [c for c in docs.columns if c.lower() != "shard"]
+    return shuffled(src, at, [file, row], [f, r], "inner").select(*kept, F.col(s).alias("shard"))
 
 
 def op2_rows(docs: DataFrame) -> DataFrame:
