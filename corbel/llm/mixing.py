@@ -1,22 +1,26 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target in words. A document's intensity is target over
-source size (times its relative weight, if weights are given): the whole part
-is taken as certain copies, the fraction f is its inclusion probability for one
-copy more. Documents are ranked within their source by random odds over
-inclusion odds, (U / (1 - U)) / (f / (1 - f)), and taken in this order until
-the words that are left are filled: a sample of fixed size, in words. The last
-gap, below the size of the next document, goes to the one remaining document
-whose size is nearest to it, if that brings the source nearer to its target.
+Each source gets a target in words. A document's intensity is proportional to its
+relative weight (1 if no weights are given), at the level at which the source's
+intensities, none above the cap, add up to its target: the whole part is taken as
+certain copies, the fraction f is its inclusion probability for one copy more.
+Documents are ranked within their source by random odds over inclusion odds,
+(U / (1 - U)) / (f / (1 - f)), and taken in this order until the words that are
+left are filled: a sample of fixed size, in words. The last gap, below the size of
+the next document, goes to the one remaining document whose size is nearest to it,
+if that brings the source nearer to its target.
 
 No source is sorted: the cut is searched in the histogram of the ranks, refined
-until few documents stand at it, so a source with a third of all rows costs a
-few counts. U comes from a hash of seed, id and text, so reruns agree.
+until few documents stand at it, and then, among rows of equal rank, in that of a
+hash of their places in the table; so a source with a third of all rows, or a row
+that is repeated as often, costs a few counts. U comes from a hash of seed, id and
+text, so reruns agree. Targets are worked out in one task, over one row a source.
 
 Defined results: null texts have size 0; a null source is a source of its own,
-last in order; documents of size 0 are taken with the certain copies only; equal
-rows share their rank and differ by copies only where the cut falls among them;
-an empty table gives an empty result; further columns are kept.
+last in order; a weight that is null counts as 1, a negative one as 0; documents of
+size 0 are taken with the certain copies only; equal rows share their rank and
+differ by copies only where the cut falls among them; an empty table gives an empty
+result; further columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, hashed, staged
+from .common import fresh, hashed, keyed, shuffled, staged
 
 #: Fixed value: what a word is, for sizes.
 SIZE_WORD = r"[^\x20\x09-\x0D]+"
-BINS = 1024
+BINS, ROUNDS = 1024, 5  # 1024^5 steps are finer than the ranks are
 CROSSING_ROWS = 20_000
+#: Sources up to which a row for each is broadcast; sources don't grow with documents as a rule, and are counted.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text):
@@ -58,85 +64,118 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return per.select("source", "source_size", F.greatest(F.lit(0.0), target).alias("target"))
 
 
+def _by_source(rows: DataFrame, per: DataFrame, small: bool, how: str = "left") -> DataFrame:
+    """Rows with the columns of their source, of which there is one row; null is a source. `small`: there are counted to be few sources."""
+    source = fresh(per, "_src")[0]
+    per = per.withColumnRenamed("source", source)
+    return rows.join(F.broadcast(per) if small else per, rows["source"].eqNullSafe(F.col(source)), how).drop(source)
+
+
+def _levels(slim: DataFrame, per: DataFrame, cap: float, small: bool) -> DataFrame:
+    """(source, source_size, target, level): the factor of the weights at which the intensities, none above the cap, fill the target.
+
+    What documents at the cap can't take goes to the others, in rounds; a round
+    adds documents to those at the cap, or is the last.
+    """
+    mass = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("w")).alias("mass"), F.max("w").alias("top"))
+    per = _by_source(per, mass, small).withColumn("level", F.coalesce(F.try_divide("target", "mass"), F.lit(0.0))).drop("mass")
+    per = staged(per, "levels")
+    while per.filter((F.col("level") * F.col("top") > cap) & (F.col("level") > 0)).limit(1).count():
+        at = _by_source(slim.select("source", "size", "w"), per.select("source", "level"), small, "inner")
+        full = F.col("w") * F.col("level") >= cap
+        left = at.groupBy("source").agg(F.sum(F.when(full, F.col("size")).otherwise(0)).alias("stuck"), F.sum(F.when(full, 0.0).otherwise(F.col("size") * F.col("w"))).alias("mass"))
+        level = F.greatest("level", F.coalesce(F.try_divide(F.col("target") - cap * F.col("stuck"), F.col("mass")), F.lit(0.0)))
+        new = staged(_by_source(per.withColumnRenamed("level", "old"), left, small).withColumnRenamed("old", "level").withColumn("next", level), "levels")
+        moved = new.filter(F.col("next") > F.col("level") * (1 + 1e-12)).limit(1).count()
+        per = new.select("source", "source_size", "target", "top", F.col("next").alias("level"))
+        if not moved:
+            break
+    return per.drop("top")
+
+
+def _narrowed(rows: DataFrame, cut: DataFrame, by: str, small: bool) -> DataFrame:
+    """The cut of each source, (source, need, lo, hi, below, n), narrowed to a range of `by` with few documents: need words are met in [lo, hi), below words stand before it."""
+    for k in range(ROUNDS):
+        if k and not cut.filter(F.col("n") > CROSSING_ROWS).limit(1).count():
+            break
+        inside = _by_source(rows, cut.drop("n", "need", "below"), small, "inner").filter(f"{by} >= lo AND {by} < hi")
+        inside = inside.withColumn("bin", F.least(F.floor((F.col(by) - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).cast("int"))
+        hist = inside.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+        hist = hist.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
+        hist = hist.withColumn("last", F.col("bin") == F.max("bin").over(Window.partitionBy("source")))
+        hist = _by_source(hist, cut.drop("n"), small, "inner")
+        # the bin in which the need is met, or the last one
+        pick = hist.filter((F.col("below") + F.col("upto") >= F.col("need")) | F.col("last")).groupBy("source").agg(F.min(F.struct("bin", "upto", "words", "docs", "need", "lo", "hi", "below")).alias("x"))
+        width = (F.col("x.hi") - F.col("x.lo")) / BINS
+        cut = staged(pick.select("source", F.col("x.need").alias("need"), (F.col("x.lo") + F.col("x.bin") * width).alias("lo"), (F.col("x.lo") + (F.col("x.bin") + 1) * width).alias("hi"), (F.col("x.below") + F.col("x.upto") - F.col("x.words")).alias("below"), F.col("x.docs").alias("n")), "cut")
+    return cut
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, total: float | None = None, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight_col: str | None = None) -> DataFrame:
-    """A row for each document: _id, _hash, source, size, source_size, target, copies, taken."""
-    own = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
+    """A row for each document: f and r (its place in the table), _id, source, size, source_size, target, copies, taken."""
+    return _mix(*keyed(docs), weights, cap, total, seed, doc_id, text, source, weight_col)
+
+
+def _mix(docs: DataFrame, file: str, row: str, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0, total: float | None = None, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", weight_col: str | None = None) -> DataFrame:
+    own = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
     name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
     u = (hashed(name, 13) + 0.5) / F.lit(float(1 << 52))
-    slim = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.greatest(own, F.lit(0.0)).alias("_w"), u.alias("u"))
+    tie = (F.pmod(F.xxhash64(file, row), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    slim = docs.select(F.col(file).alias("f"), F.col(row).alias("r"), F.col(doc_id).alias("_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), own.alias("w"), u.alias("u"), tie.alias("tie"))
     slim = staged(slim, "sizes")
-    per = staged(source_targets(slim, weights, cap, total).join(slim.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("size") * F.col("_w")).alias("_mass")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "targets")
-    n_sources = per.count()
-    look = F.broadcast(per) if n_sources <= BROADCAST_ROWS else per
-    look = look.withColumnRenamed("source", "_s")
-    rate = F.least(F.lit(float(cap)), F.try_divide(F.col("target") * F.col("_w"), F.col("_mass")))
-    rows = slim.join(look, slim["source"].eqNullSafe(look["_s"]), "left").drop("_s")
-    rows = rows.withColumn("rate", F.coalesce(rate, F.lit(0.0))).withColumn("whole", F.floor("rate").cast("long"))
-    rows = rows.withColumn("f", F.col("rate") - F.col("whole"))
+    per = staged(source_targets(slim, weights, cap, total), "targets")
+    small = per.count() <= BROADCAST_SOURCES
+    per = _levels(slim, per, cap, small)
+    rows = _by_source(slim, per, small)
+    rows = rows.withColumn("rate", F.coalesce(F.least(F.lit(float(cap)), F.col("w") * F.col("level")), F.lit(0.0))).withColumn("whole", F.floor("rate").cast("long"))
+    rows = rows.withColumn("p", F.col("rate") - F.col("whole"))
     # The rank as a number below 1: q / (1 + q), q the random odds over the inclusion odds.
-    odds = F.col("u") * (1 - F.col("f"))
-    rows = rows.withColumn("rank", F.when((F.col("f") > 0) & (F.col("size") > 0), odds / (odds + (1 - F.col("u")) * F.col("f"))))
-    rows = staged(rows.drop("u", "f", "rate", "_mass", "_w"), "ranked")
+    odds = F.col("u") * (1 - F.col("p"))
+    rows = rows.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (odds + (1 - F.col("u")) * F.col("p"))))
+    rows = staged(rows.drop("u", "p", "rate", "level", "w"), "ranked")
 
     need = rows.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("whole") * F.col("size")).alias("sure"), F.count("rank").alias("n"))
-    cut = staged(need.select("source", (F.col("target") - F.col("sure")).alias("need"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(0).cast("long").alias("below"), "n"), "cut")
-    hint = (lambda df: F.broadcast(df)) if n_sources <= BROADCAST_ROWS else (lambda df: df)
-    for _ in range(5):  # 1024^5 steps are finer than the ranks are
-        if not cut.filter(F.col("n") > CROSSING_ROWS).limit(1).count() and _:
-            break
-        c = hint(cut.withColumnRenamed("source", "_s"))
-        inside = rows.join(c, rows["source"].eqNullSafe(c["_s"])).filter("rank >= lo AND rank < hi")
-        inside = inside.withColumn("bin", F.floor((F.col("rank") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS).cast("int"))
-        hist = inside.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
-        up = Window.partitionBy("source").orderBy("bin")
-        hist = hist.withColumn("upto", F.sum("words").over(up))
-        c = hint(cut.withColumnRenamed("source", "_s").withColumnRenamed("n", "_n"))
-        hist = hist.join(c, hist["source"].eqNullSafe(c["_s"]))
-        last = F.max("bin").over(Window.partitionBy("source"))
-        # the bin in which the need is met, or the last one
-        hist = hist.withColumn("met", (F.col("below") + F.col("upto") >= F.col("need")) | (F.col("bin") == last))
-        pick = hist.filter("met").groupBy("source").agg(F.min(F.struct("bin", "upto", "words", "docs", "need", "lo", "hi", "below")).alias("x"))
-        width = (F.col("x.hi") - F.col("x.lo")) / BINS
-        cut = staged(pick.select("source", F.col("x.need").alias("need"), (F.col("x.lo") + F.col("x.bin") * width).alias("lo"), (F.col("x.lo") + (F.col("x.bin") + 1) * width).alias("hi"), (F.col("x.below") + F.col("x.upto") - F.col("x.words")).alias("below"), F.col("x.docs").alias("n")), "cut")
-    c = hint(cut.select(F.col("source").alias("_s"), "need", "lo", "hi", "below"))
-    rows = rows.join(c, rows["source"].eqNullSafe(c["_s"]), "left").drop("_s")
-    at_cut = rows.filter("rank >= lo AND rank < hi")
-    upto = F.col("below") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "_id", "_hash").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = at_cut.withColumn("upto", upto).withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("rank", "_id", "_hash")))
-    fits = ranked.filter("upto <= need").groupBy("source").agg(F.max("upto").alias("filled"), F.max("nth").alias("nth"))
-    # Documents up to (rank, nth) are taken; equal rows at the cut are told apart by their number.
-    edge = cut.select("source", "need", "lo", "below", "hi").join(fits.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    edge = edge.withColumn("gap", F.col("need") - F.coalesce("filled", "below"))
-    inner = ranked.select("source", "_id", "_hash", "size", "source_size", "target", "whole", "rank", F.col("nth").alias("_nth"), "need", "lo", "hi", "below")
-    outer = rows.filter("rank IS NULL OR lo IS NULL OR rank < lo OR rank >= hi").select("source", "_id", "_hash", "size", "source_size", "target", "whole", "rank", F.lit(0).alias("_nth"), "need", "lo", "hi", "below")
-    e = hint(edge.select(F.col("source").alias("_s"), F.coalesce("nth", F.lit(0)).alias("_last"), "gap"))
-    rows = inner.unionByName(outer)
-    rows = rows.join(e, rows["source"].eqNullSafe(e["_s"]), "left").drop("_s")
-    extra = F.when(F.col("rank").isNull(), 0).when(F.col("rank") < F.col("lo"), 1).when((F.col("rank") < F.col("hi")) & (F.col("_nth") <= F.col("_last")), 1).otherwise(0)
-    rows = staged(rows.withColumn("extra", extra), "taken")
+    span = lambda lo, hi: (F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+    cut = staged(need.select("source", (F.col("target") - F.col("sure")).alias("need"), *span(0.0, 1.0), F.lit(0).cast("long").alias("below"), "n"), "cut")
+    cut = _narrowed(rows.select("source", "size", "rank"), cut, "rank", small)
+    # Rows of equal rank, as repeated ones have, are told apart by their places.
+    inside = _by_source(rows, cut.select("source", F.col("lo").alias("rank_lo"), F.col("hi").alias("rank_hi")), small).withColumn("at_cut", F.coalesce((F.col("rank") >= F.col("rank_lo")) & (F.col("rank") < F.col("rank_hi")), F.lit(False)))
+    many = cut.filter(F.col("n") > CROSSING_ROWS)
+    fine = _narrowed(inside.filter("at_cut").select("source", "size", "tie"), many.select("source", "need", *span(0.0, 1.0), "below", "n"), "tie", small) if many.limit(1).count() else many
+    fine = fine.select("source", F.col("lo").alias("tie_lo"), F.col("hi").alias("tie_hi"), F.col("below").alias("tie_below"))
+    edge = _by_source(cut.select("source", "need", "below"), fine, small).select("source", "need", F.coalesce("tie_below", "below").alias("below"), "tie_lo", "tie_hi")
+    inside = _by_source(inside, edge, small)
+    narrow = F.col("at_cut") & (F.col("tie_lo").isNull() | ((F.col("tie") >= F.col("tie_lo")) & (F.col("tie") < F.col("tie_hi"))))
+    before = F.coalesce(F.col("rank") < F.col("rank_lo"), F.lit(False)) | (F.col("at_cut") & F.coalesce(F.col("tie") < F.col("tie_lo"), F.lit(False)))
+    inside = inside.withColumns({"narrow": narrow, "before": before}).drop("rank_lo", "rank_hi", "tie_lo", "tie_hi", "at_cut")
+    inside = staged(inside, "at-the-cut")
+    # At most CROSSING_ROWS of a source, but for rows whose ranks and places can't be told apart.
+    order = Window.partitionBy("source").orderBy("rank", "_id", "tie", "f", "r").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.filter("narrow").withColumn("upto", F.col("below") + F.sum("size").over(order))
+    fits = ranked.filter("upto <= need").select("f", "r", "upto", "source")
+    filled = _by_source(edge.select("source", "need", "below"), fits.groupBy("source").agg(F.max("upto").alias("filled")), small)
+    gaps = filled.select("source", (F.col("need") - F.coalesce("filled", "below")).alias("gap"))
+    fits = fits.select(F.col("f").alias("fit_f"), F.col("r").alias("fit_r"))
+    rows = inside.join(fits, (inside["f"] == fits["fit_f"]) & (inside["r"] == fits["fit_r"]), "left")
+    rows = _by_source(rows.withColumn("extra", F.when(F.col("before") | F.col("fit_f").isNotNull(), 1).otherwise(0)).drop("fit_f", "fit_r"), gaps, small)
+    rows = staged(rows, "taken")
     # One more document where it brings the source nearer; ties by rank, then id.
     able = rows.filter((F.col("extra") == 0) & (F.col("whole") < cap) & (F.col("size") > 0) & (F.abs(F.col("size") - F.col("gap")) < F.abs("gap")))
-    close = able.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), F.coalesce("rank", F.lit(2.0)).alias("r"), "_id", "_hash", "_nth")).alias("x"))
-    close = hint(close.select(F.col("source").alias("_s"), F.col("x._id").alias("_i"), F.col("x._hash").alias("_h"), F.col("x._nth").alias("_n")).withColumn("closing", F.lit(1)))
-    rows = rows.join(close, rows["source"].eqNullSafe(close["_s"]) & rows["_id"].eqNullSafe(close["_i"]) & rows["_hash"].eqNullSafe(close["_h"]) & (rows["_nth"] == close["_n"]) & (rows["extra"] == 0), "left")
-    copies = (F.col("whole") + F.col("extra") + F.coalesce("closing", F.lit(0))).cast("long")
-    return rows.select("_id", "_hash", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    close = able.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), F.coalesce("rank", F.lit(2.0)).alias("k"), "_id", "f", "r")).alias("x"))
+    close = close.select(F.col("x.f").alias("close_f"), F.col("x.r").alias("close_r"))  # one a source
+    rows = rows.join(close, (rows["f"] == close["close_f"]) & (rows["r"] == close["close_r"]), "left")
+    copies = (F.col("whole") + F.col("extra") + F.when(F.col("close_f").isNotNull(), 1).otherwise(0)).cast("long")
+    return rows.select("f", "r", "_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: documents, each row as often as it is taken."""
-    keys = {"_id": F.col(how.get("doc_id", "doc_id")), "_hash": F.xxhash64(how.get("text", "text"))}
-    got = mix(docs, **how).groupBy("_id", "_hash", "source").agg(F.array_sort(F.collect_list("copies")).alias("_all"))
-    got = staged(got.withColumnsRenamed({"_id": "_i", "_hash": "_h", "source": "_src"}), "copies")
-    base = docs.withColumns(keys)
-    src = base[how.get("source", "source")]
-    got = F.broadcast(got) if got.count() <= BROADCAST_ROWS else got
-    both = base.join(got, base["_id"].eqNullSafe(got["_i"]) & base["_hash"].eqNullSafe(got["_h"]) & src.eqNullSafe(got["_src"]))
-    # Equal rows share an entry; each takes its part of the copies.
-    times = F.ceil(F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("_all"))
-    one = F.element_at("_all", 1)
-    times = F.when(F.size("_all") == 1, one).otherwise(times)
-    return both.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)))).select(*docs.columns)
+    src, file, row = keyed(docs)
+    f, r, times = fresh(src, "_mix_file", "_mix_row", "_times")
+    got = _mix(src, file, row, **how).filter("copies > 0").select(F.col("f").alias(f), F.col("r").alias(r), F.col("copies").alias(times))
+    got = staged(got, "copies")
+    both = shuffled(src, got, [file, row], [f, r], "inner")
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), times)).alias(times)).select(*docs.columns)
 
 
 def op1_rows(docs: DataFrame) -> DataFrame:
