@@ -1,189 +1,259 @@
-"""Substring dedup by hashing lines, cut where their content says.
-
-Whole lines miss a passage that stands within longer ones, so lines are cut
-further, after words that a sum over their length, first and last letter picks,
-one in eight in any language. A passage is cut alike wherever it stands. Each two neighbouring units are normalised (lower case, runs of white
-space as one blank, ends trimmed) and digested, and so is each unit of `least`
-words or more by itself. Digests are grouped over the whole corpus and the
-occurrence that ranks first (by document id, then position) is kept. Units of
-later occurrences are removed where they make a run of `least` words or more.
-Removed spans keep the offsets that they had in the original text, in code
-points, end exclusive.
-
-What is lost at the ends of a passage is less than a unit at each side; shorter
-repeats, as common short lines are, stay.
-
-Defined results: a null text has no units; repeated rows are further occurrences,
-so that one row keeps its units; documents without id rank last; a run that
-repeats within a text and overlaps its first place leaves that place alone; an
-empty table gives an empty result; further columns are kept.
+"""Substring dedup by hashing lines, and pieces of lines for passages within them.
+
+Lines are normalised (lower case, runs of white space as one blank, ends trimmed)
+and digested; digests are grouped over the whole corpus, the occurrence that ranks
+first (by document id, then place in the table, then position) is kept, and a line
+of `least` words or more goes wherever else it stands.
+
+A copied passage often stands within longer lines, so a second pass works on
+pieces of lines in the same way. A line is cut after the word whose value is
+smallest among any WINDOW neighbouring ones (the last of equal ones); the value
+depends on the word and the next one alone, so a passage is cut alike wherever it
+stands, and no piece is longer than WINDOW words. Pieces of later occurrences are
+removed where they make a run of `run` words or more. Of a passage of n words at
+least n - 2 * WINDOW are in pieces that all its occurrences share, so each passage
+of over 50 words is found, wherever it stands; less than WINDOW words stay at each
+of its ends. Shorter repeats, as headings, list items and common phrases are, stay.
+
+Removed spans keep the offsets that they had in the original text, in code points,
+end exclusive; white space goes with the words before it.
+
+Rows are told apart by their place in the table. Defined results: a null text has
+no units; repeated rows are further occurrences, so that one row keeps its units;
+documents without id rank last; what a text repeats of itself goes too, but for its
+first place; an empty table gives an empty result; further columns, whatever their
+names, are kept.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import let, skew_lookup, small_batches, staged
+from .common import fresh, keyed, shuffled, skew_lookup, staged
 
-LEAST = 16
-#: A unit ends after one in so many words.
-CUT = 8
-_TOKEN, _BLANK = re.compile(r"^[\x00-\x20]+|[^\x00-\x20]+[\x00-\x20]*"), re.compile(r"[\x00-\x20]+")
+#: Words from which a whole line, and a run of pieces, counts as copied; words of a window.
+LEAST, RUN, WINDOW = 10, 16, 16
+BATCH = (256, 8)
+_WORD = re.compile(r"[^\x00-\x20]+")
+_LAST = (1 << 63) - 1
+#: What a unit is: a piece, a line that is one piece, a line of several pieces.
+PIECE, LINE, WHOLE = 0, 1, 2
 
 
 def normalised(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[\s\x00-\x20]+", " "))
 
 
-def units(text: str) -> list[str]:
-    """The text in units: ends of lines, and words whose sum is divisible by CUT, end one, with the white space after them."""
-    out, begin, at = [], 0, 0
-    for token in _TOKEN.findall(text):
-        at += len(token)
-        word = token.rstrip(_BLANKS).lower()
-        if "\n" in token or (word and (7 * len(word) + 3 * ord(word[0]) + 5 * ord(word[-1])) % CUT == 0):
-            out.append(text[begin:at])
-            begin = at
-    return [*out, text[begin:]] if begin < at or not out else out
+def _words_at(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end."""
+    ink = np.concatenate([[False], points > 0x20, [False]])
+    edge = np.flatnonzero(ink[1:] != ink[:-1])
+    return edge[::2], edge[1::2]
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _cuts(value: np.ndarray, line: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the smallest value of each window within a line, the last of equal ones."""
+    out = []
+    for a in range(0, len(value) - window + 1, 1 << 18):
+        v = np.lib.stride_tricks.sliding_window_view(value[a : a + (1 << 18) + window - 1], window)
+        at = a + np.arange(len(v))
+        pick = at + window - 1 - v[:, ::-1].argmin(1)
+        out.append(np.unique(pick[line[at] == line[at + window - 1]]))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def units(texts: list[str], least: int = LEAST, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The units of some texts, in order: text, kind, words before and up to its end (in all texts), start and end in its text."""
+    low = _points("\n".join(t.lower() for t in texts))
+    start, end = _words_at(low)
+    n = len(start)
+    if not n:
+        return (np.zeros(0, np.int64),) * 6
+    at, _ = _words_at(_points("\n".join(texts)))
+    line = np.cumsum(low == 10)[start]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    base = np.cumsum(sizes + 1) - sizes - 1
+    doc = np.searchsorted(base, at, "right") - 1
+    value = 7 * (end - start) + 3 * low[start].astype(np.int64) + 5 * low[end - 1].astype(np.int64)
+    two = np.flatnonzero(line[1:] == line[:-1])
+    pair = (value[two] * 1000003 + value[two + 1]).astype(np.uint64) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)
+    last = np.append(line[1:] != line[:-1], True)
+    stop = last.copy()
+    stop[two[_cuts(pair, line[two], window)]] = True
+    b = np.flatnonzero(stop) + 1
+    a = np.append(0, b[:-1])
+    lb = np.flatnonzero(last) + 1
+    la = np.append(0, lb[:-1])
+    # Units tile their text: the first begins at 0, each ends where the next one begins.
+    head = np.append(True, doc[1:] != doc[:-1])
+    begin = np.where(head, 0, at - base[doc])
+    after = np.append(np.where(head[1:], sizes[doc[:-1]], begin[1:]), sizes[doc[-1]])
+    kind = np.where(np.isin(a, la) & np.isin(b, lb) & last[b - 1] & (np.searchsorted(la, a) == np.searchsorted(lb, b)), LINE, PIECE)
+    many = (lb - la >= least) & ~np.isin(la, a[kind == LINE])
+    a, b, kind = np.append(a, la[many]), np.append(b, lb[many]), np.append(kind, np.full(many.sum(), WHOLE))
+    turn = np.lexsort((kind, a))
+    a, b, kind = a[turn], b[turn], kind[turn]
+    return doc[a], kind, a, b, begin[a], after[b - 1]
 
 
-_BLANKS = "".join(map(chr, range(0x21)))
-
+def _reader(least: int):
+    """Rows (f, r, rank, dg, mark, span, again): a digest for each unit; mark packs 32 more bits of it, the kind and the words; again: the text has had it before."""
 
-def digests(text: str, least: int = LEAST) -> Iterator[tuple]:
-    """(dg, place, s, m, e, v, w): digests of pairs of units, and of long units (m and v are None): offsets of the units and their words. `place` has the position, and below it 32 more bits of the digest."""
-    parts = units(text)
-    norm = [_BLANK.sub(" ", p.lower()).strip(" ") for p in parts]
-    ends = [0, *accumulate(map(len, parts))]
-    words = [n.count(" ") + 1 if n else 0 for n in norm]
-    for i in range(len(parts) - 1):
-        yield *_digest(i, f"{norm[i]}\n{norm[i + 1]}"), ends[i], ends[i + 1], ends[i + 2], words[i], words[i + 1]
-    for i, w in enumerate(words):
-        if w >= least:
-            yield *_digest(i, norm[i]), ends[i], None, ends[i + 1], None, w
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("t").to_pylist()
+            full = [k for k, t in enumerate(texts) if t is not None]
+            texts = [texts[k] for k in full]
+            doc, kind, a, b, s, e = units(texts, least)
+            words = [w for t in texts for w in _WORD.findall(t.lower())]
+            digest = xxhash.xxh3_128_intdigest
+            made = [digest(("\n" if k == WHOLE else "") + " ".join(words[i:j])) for i, j, k in zip(a.tolist(), b.tolist(), kind.tolist(), strict=True)]
+            high = np.array([d >> 64 for d in made], np.uint64)
+            check = np.array([d & 0xFFFFFFFF for d in made], np.int64)
+            again = np.ones(len(made), bool)
+            again[np.unique(np.rec.fromarrays([doc, high]), return_index=True)[1]] = False
+            mark = (check << 26) | (kind.astype(np.int64) << 24) | np.minimum(b - a, (1 << 24) - 1)
+            rows = pa.array(np.array(full, np.int32)[doc] if len(doc) else np.zeros(0, np.int32))
+            columns = [*(batch.column(k).take(rows) for k in ("f", "r", "rank")), pa.array(high.view(np.int64)), pa.array(mark.astype(np.int64)), pa.array((s.astype(np.int64) << 32) | e), pa.array(again)]
+            yield pa.RecordBatch.from_arrays(columns, ["f", "r", "rank", "dg", "mark", "span", "again"])
 
+    return run
 
-def _digest(pos: int, norm: str) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "replace"))
-    high = d >> 64
-    return high - (high >> 63 << 64), pos << 32 | d & 0xFFFFFFFF
 
+def _joiner(least: int, least_run: int):
+    """Of the units of a text that others have before it: the spans that go, neighbours as one, with their words and the rank of the first one's earliest place."""
+
+    def spans(found: list[dict]) -> list[dict]:
+        found = sorted((x["span"] >> 32, x["span"] & 0xFFFFFFFF, x["mark"] >> 24 & 3, x["mark"] & 0xFFFFFF, x["first"]) for x in found)
+        go, run = [], []
+        for x in [*[x for x in found if x[2] != WHOLE], None]:
+            if run and (x is None or x[0] != run[-1][1]):
+                long = sum(y[3] for y in run) >= least_run
+                go += [y for y in run if long or (y[2] == LINE and y[3] >= least)]
+                run = []
+            run.append(x)
+        go = sorted(go + [x for x in found if x[2] == WHOLE and x[3] >= least], key=lambda x: (x[0], -x[1]))
+        out: list[dict] = []
+        for s, e, _, w, first in go:
+            if out and e <= out[-1]["e"]:
+                continue
+            if out and s == out[-1]["e"]:
+                out[-1] |= {"e": e, "w": out[-1]["w"] + w}
+            else:
+                out.append({"s": s, "e": e, "w": w, "first": first})
+        return out
 
-def _reader(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["dg", "place", "s", "m", "e", "v", "w"]
-        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
         for batch in batches:
-            doc, hash_ = batch.column("_id"), batch.column("_hash")
-            rows: list[tuple] = []
-            at: list[int] = []
-            for k, text in enumerate(batch.column("_t").to_pylist()):
-                if text is not None:
-                    rows += digests(text, least)
-                    at += [k] * (len(rows) - len(at))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            take = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([doc.take(take), hash_.take(take), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["_id", "_hash", *names])
+            kind = batch.schema.field("found").type.value_type.field("first").type
+            out_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("w", pa.int32()), ("first", kind)]))
+            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("r"), pa.array([spans(x) for x in batch.column("found").to_pylist()], out_type)], ["f", "r", "spans"])
 
     return run
 
 
-def repeated_units(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _hash, later, kept): for each text with digests that others share, array<struct<pos, first_id, s, e, w>> of its units in later occurrences, and in first ones."""
-    small_batches(docs.sparkSession, 256, 8)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_hash"), F.col(text).alias("_t"))
-    rows = rows.mapInArrow(_reader(least), f"_id {dict(docs.dtypes)[doc_id]}, _hash int, dg long, place long, s int, m int, e int, v int, w int")
-    rows = staged(rows, "units")
-    rank = F.struct(F.col("_id").isNull().alias("last"), F.col("_id"), F.col("_hash"), F.col("place"))
-    firsts = staged(rows.groupBy("dg").agg(F.min(rank).alias("first"), F.count("*").alias("cnt")).filter("cnt > 1"), "firsts")
-    found = skew_lookup(rows, firsts, "dg", "cnt", rows.count(), ["first"], F.xxhash64(F.lit("none"), "_id", "_hash", "place"))
-    half = lambda c: c.bitwiseAND(0xFFFFFFFF)
-    found = found.filter(F.col("first").isNotNull() & (half(F.col("place")) == half(F.col("first.place"))))  # 96 bits in all
-    found = found.withColumns({"pos": F.shiftright("place", 32).cast("int"), "first_pos": F.shiftright("first.place", 32).cast("int")})
-    own = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_hash") == F.col("first._hash"))
-    found = found.withColumn("is_first", own & (F.col("pos") == F.col("first_pos")))
-    n = F.when(F.col("m").isNull(), 1).otherwise(2)
-    low = F.when(own & ~F.col("is_first"), F.greatest("pos", F.col("first_pos") + n)).otherwise(F.col("pos"))
-    first_id = F.col("first._id").alias("first_id")
-    one = F.struct(F.col("pos").alias("pos"), first_id, F.col("s").alias("s"), F.coalesce("m", "e").alias("e"), F.coalesce("v", "w").alias("w"))
-    two = F.when(F.col("m").isNotNull(), F.struct((F.col("pos") + 1).alias("pos"), first_id, F.col("m").alias("s"), F.col("e").alias("e"), F.col("w").alias("w")))
-    found = found.withColumn("low", low).select("_id", "_hash", "is_first", "low", F.explode(F.array(one, two)).alias("x")).filter("x IS NOT NULL AND x.pos >= low")
-    some = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("x"))))
-    return found.groupBy("_id", "_hash").agg(some(~F.col("is_first")).alias("later"), some(F.col("is_first")).alias("kept"))
-
-
-def _runs(units: Column, least: int, kind: str) -> Column:
-    """Neighbouring units as runs of `least` words or more: array<struct<s, e, first_id>>."""
-    none = F.array().cast(f"array<struct<s:int,e:int,first_id:{kind},hi:int,w:int>>")
-
-    def step(a, x):
-        new = F.struct(x["s"].alias("s"), x["e"].alias("e"), x["first_id"].alias("first_id"), x["pos"].alias("hi"), x["w"].alias("w"))
-
-        def grown(last):
-            more = F.struct(last["s"].alias("s"), x["e"].alias("e"), last["first_id"].alias("first_id"), x["pos"].alias("hi"), (last["w"] + F.when(last["hi"] < x["pos"], x["w"]).otherwise(0)).alias("w"))
-            joins = F.coalesce(last["hi"] + 1 >= x["pos"], F.lit(False))
-            return F.when(joins, F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(a, F.array(new)))
-
-        return F.when(F.size(a) == 0, F.array(new)).otherwise(let(F.try_element_at(a, F.lit(-1)), grown))
-
-    return F.transform(F.filter(F.aggregate(units, none, step), lambda r: r["w"] >= least), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), r["first_id"].alias("first_id")))
-
-
-def deduplicated(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: its columns with the text that is kept, and `removed`: array<struct<s, e, first_id>> with offsets in the original text."""
-    kind = dict(docs.dtypes)[doc_id]
-    per = repeated_units(docs, least, doc_id, text).withColumnsRenamed({"_id": "_i", "_hash": "_h"})
-    empty = F.array().cast(f"array<struct<pos:int,first_id:{kind},s:int,e:int,w:int>>")
-    # Runs of a row that is the first of its kind, and of a further row that equals it.
-    per = per.withColumns({"_runs": _runs(F.col("later"), least, kind), "_all": _runs(F.array_sort(F.concat(F.coalesce("later", empty), F.coalesce("kept", empty))), least, kind)})
-    per = staged(per.select("_i", "_h", "_runs", "_all").filter(F.size("_all") > 0), "runs")
-    per = per.hint("shuffle_hash")  # texts meet their runs by key, the same way at every size
-    base = docs.withColumns({"_id": F.col(doc_id), "_hash": F.hash(text)})
-    twice = staged(base.groupBy("_id", "_hash").count().filter("count > 1").select(F.col("_id").alias("_i2"), F.col("_hash").alias("_h2")), "twins")
-    both = base.join(per, base["_id"].eqNullSafe(per["_i"]) & (base["_hash"] == per["_h"]), "left")
-    if twice.limit(1).count():
-        # Of equal rows only the first keeps the units that rank first.
-        twin = both.join(twice, both["_id"].eqNullSafe(twice["_i2"]) & (both["_hash"] == twice["_h2"]), "left")
-        salt = F.when(twin["_h2"].isNull(), F.monotonically_increasing_id())
-        nth = F.row_number().over(Window.partitionBy("_id", "_hash", salt).orderBy(F.lit(0)))
-        both = twin.withColumn("_nth", F.when(F.col("_h2").isNull(), 1).otherwise(nth))
+def _removed(docs: DataFrame, file: str, row: str, least: int, least_run: int, doc_id: str, text: str) -> DataFrame:
+    """(f, r, removed): for each text that loses something, array<struct<s, e, w, first_id>>, ascending."""
+    id_type = dict(docs.dtypes)[doc_id]
+    whole = id_type in ("bigint", "int", "smallint", "tinyint")
+    # A number ranks as it is, anything else with a mark for null.
+    rank = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)) if whole else F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"))
+    rank_type = "bigint" if whole else f"struct<last:boolean,id:{id_type}>"
+    back = lambda c: F.when(c != _LAST, c).cast(id_type) if whole else c["id"]
+    rows = docs.select(F.col(file).alias("f"), F.col(row).alias("r"), rank.alias("rank"), F.col(text).alias("t")).filter("t IS NOT NULL")
+    twins = rows.groupBy("rank").count().filter("count > 1").limit(1)
+    rows = rows.mapInArrow(_reader(least), f"f bigint, r bigint, rank {rank_type}, dg bigint, mark bigint, span bigint, again boolean")
+    rows = staged(rows, "units", BATCH)
+    once = rows.filter("NOT again").drop("again")
+    check = F.shiftrightunsigned("mark", 26)
+    firsts = once.groupBy("dg").agg(F.min("rank").alias("first"), F.count("*").alias("cnt"), F.min(check).alias("c1"), F.max(check).alias("c2"))
+    firsts = staged(firsts.filter("cnt > 1 AND c1 = c2").select("dg", "first", "cnt"), "firsts")  # 96 bits are equal
+    total = once.count()
+    salt = F.xxhash64(F.lit("none"), "f", "r", "span")
+    found = skew_lookup(once, firsts, "dg", "cnt", total, ["first"], salt).filter("first IS NOT NULL")
+    if not twins.count():
+        later = found.filter("rank <> first")
     else:
-        both = both.withColumn("_nth", F.lit(1))
-    removed = F.coalesce(F.when(F.col("_nth") > 1, F.col("_all")).otherwise(F.col("_runs")), F.array().cast(f"array<struct<s:int,e:int,first_id:{kind}>>"))
-    both = both.withColumn("removed", removed)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    tail = F.aggregate("removed", start, lambda a, x: F.struct(x["e"].alias("at"), F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, x["s"] - a["at"])).alias("out")), lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.lit(2_000_000_000))))
-    return both.withColumn(text, F.when(F.size("removed") > 0, tail).otherwise(F.col(text))).select(*docs.columns, "removed")
+        # Rows of one rank (without id, or with the same) go by their places.
+        found = staged(found, "found")
+        tied = found.filter("rank = first")
+        low = tied.groupBy("dg").agg(F.min(F.struct("f", "r")).alias("low"), F.count("*").alias("cnt")).filter("cnt > 1")
+        tied = skew_lookup(tied, staged(low, "ties"), "dg", "cnt", total, ["low"], salt).filter("low IS NOT NULL AND struct(f, r) <> low").drop("low")
+        later = found.filter("rank <> first").unionByName(tied)
+    later = later.select("f", "r", "mark", "span", "first").unionByName(rows.filter("again").select("f", "r", "mark", "span", F.col("rank").alias("first")))
+    per = later.groupBy("f", "r").agg(F.collect_list(F.struct("mark", "span", "first")).alias("found"))
+    got = staged(per.mapInArrow(_joiner(least, least_run), f"f bigint, r bigint, spans array<struct<s:int,e:int,w:int,first:{rank_type}>>"), "spans", BATCH)
+    spans = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["w"].alias("w"), back(x["first"]).alias("first_id")))
+    return got.filter(F.size("spans") > 0).select("f", "r", spans.alias("removed"))
+
+
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    out = []
+    for t, a, b in zip(text, starts, ends, strict=True):
+        if t is None:
+            out.append(None)
+            continue
+        out.append("".join(t[i:j] for i, j in zip([0, *b], [*a, len(t)], strict=True)))
+    return pd.Series(out, dtype=object)
+
+
+def deduplicated(docs: DataFrame, least: int = LEAST, least_run: int = RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each document: its columns with the text that is kept, and `removed`: array<struct<s, e, w, first_id>> with offsets in the original text (a column of this name gives way)."""
+    src, file, row = keyed(docs)
+    f, r, cut = fresh(src, "_cut_file", "_cut_row", "_cut")
+    per = _removed(src, file, row, least, least_run, doc_id, text).select(F.col("f").alias(f), F.col("r").alias(r), F.col("removed").alias(cut))
+    both = shuffled(src, staged(per, "removed"), [file, row], [f, r])
+    at = lambda name: F.transform(cut, lambda x: x[name])
+    # Only texts that lose something go to Python.
+    kept = _without(F.when(F.col(cut).isNotNull(), F.col(text)), at("s"), at("e"))
+    none = F.array().cast(per.schema[cut].dataType)
+    both = both.select(*[c for c in docs.columns if c not in (text, "removed")], F.when(F.col(cut).isNotNull(), kept).otherwise(F.col(text)).alias(text), F.coalesce(cut, none).alias("removed"))
+    return both.select(*[c for c in docs.columns if c != "removed"], "removed")
 
 
 def op8_rows(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_removed (runs), removed (start:end:first doc_id, comma-joined, original offsets in code points), kept_sha256 (of the text that is kept)."""
-    got = deduplicated(docs.select("doc_id", "text"))
+    """A row for each document: doc_id, n_removed (spans), n_passages (those of over 50 words), removed (start:end:first doc_id, comma-joined, original offsets in code points), kept_sha256 (of the text that is kept)."""
+    got = deduplicated(docs)
     text = F.transform("removed", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"), F.coalesce(x["first_id"].cast("string"), F.lit(""))))
-    return got.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join(text, ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    long = F.size(F.filter("removed", lambda x: x["w"] > 50))
+    return got.select("doc_id", F.size("removed").cast("long").alias("n_removed"), long.cast("long").alias("n_passages"), F.array_join(text, ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '^[\x00-\x20]+|[^\x00-\x20]+[\x00-\x20]*') AS t FROM documents),
-k0 AS (SELECT doc_id, i, t[i] AS tok, lower(regexp_replace(t[i], '[\x00-\x20]+$', '')) AS word FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d)),
-k1 AS (SELECT *, CASE WHEN contains(tok, chr(10)) OR (word <> '' AND (7 * length(word) + 3 * unicode(word) + 5 * unicode(right(word, 1))) % 8 = 0) THEN 1 ELSE 0 END AS fin FROM k0),
-k2 AS (SELECT *, coalesce(sum(fin) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM k1),
-u AS (SELECT doc_id, CAST(g AS BIGINT) AS pos, string_agg(tok, '' ORDER BY i) AS body, trim(regexp_replace(lower(string_agg(tok, '' ORDER BY i)), '[\x00-\x20]+', ' ', 'g')) AS norm FROM k2 GROUP BY doc_id, g),
-v AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS words, lead(norm) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt, CAST(coalesce(sum(length(body)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM u),
-g AS (SELECT doc_id, pos, 2 AS n, md5(norm || chr(10) || nxt) AS dg FROM v WHERE nxt IS NOT NULL UNION ALL SELECT doc_id, pos, 1, md5(norm) FROM v WHERE words >= 16),
-f AS (SELECT *, min((doc_id, pos)) OVER (PARTITION BY dg) AS f FROM g),
-c AS (SELECT doc_id, pos, min(fd) AS first_id FROM (SELECT doc_id, f[1] AS fd, unnest(range(CASE WHEN doc_id = f[1] THEN greatest(pos, f[2] + n) ELSE pos END, pos + n)) AS pos FROM f WHERE (doc_id, pos) <> f) GROUP BY 1, 2),
-r AS (SELECT v.doc_id, v.pos, s, length(body) AS l, words, first_id, v.pos - row_number() OVER (PARTITION BY v.doc_id ORDER BY v.pos) AS isle FROM c JOIN v ON v.doc_id = c.doc_id AND v.pos = c.pos),
-x AS (SELECT doc_id, isle, min(s) AS s, max(s + l) AS e, arg_min(first_id, pos) AS first_id, min(pos) AS lo, max(pos) AS hi FROM r GROUP BY 1, 2 HAVING sum(words) >= 16),
-t AS (SELECT doc_id, count(*) AS n_removed, string_agg(s || ':' || e || ':' || first_id, ',' ORDER BY s) AS removed FROM x GROUP BY doc_id),
-k AS (SELECT v.doc_id, string_agg(body, '' ORDER BY v.pos) AS kept FROM v WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = v.doc_id AND v.pos BETWEEN x.lo AND x.hi) GROUP BY v.doc_id)
-SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept, '')) AS kept_sha256
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '^[\x00-\x20]+|[^\x00-\x20]+[\x00-\x20]*') AS t0 FROM documents),
+d2 AS (SELECT doc_id, text, CASE WHEN len(t0) > 1 AND regexp_full_match(t0[1], '[\x00-\x20]+') THEN [t0[1] || t0[2]] || t0[3:] WHEN len(t0) = 1 AND regexp_full_match(t0[1], '[\x00-\x20]+') THEN [] ELSE t0 END AS t FROM d),
+w AS (SELECT doc_id, i, t[i] AS tok, lower(regexp_extract(t[i], '[^\x00-\x20]+')) AS word, contains(regexp_extract(t[i], '[\x00-\x20]*$'), chr(10)) AS nl, length(t[i]) AS l FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d2)),
+v AS (SELECT *, coalesce(sum(l) OVER a, 0) AS s, coalesce(sum(CAST(nl AS INTEGER)) OVER a, 0) AS line, CAST(7 * length(word) + 3 * unicode(word) + 5 * unicode(right(word, 1)) AS HUGEINT) AS val FROM w WINDOW a AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT *, (val * 1000003 + lead(val) OVER (PARTITION BY doc_id, line ORDER BY i)) * 2654435761 % 4294967296 AS pv FROM v),
+q AS (SELECT doc_id, line, i, min((pv, -i)) OVER (PARTITION BY doc_id, line ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS m, count(*) OVER (PARTITION BY doc_id, line ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS n FROM p WHERE pv IS NOT NULL),
+c AS (SELECT DISTINCT doc_id, -m[2] AS i FROM q WHERE n = 16),
+b AS (SELECT p.*, coalesce(sum(CASE WHEN c.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id, line ORDER BY p.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.i),
+u AS (SELECT doc_id, line, piece, CAST(min(s) AS BIGINT) AS s, CAST(max(s + l) AS BIGINT) AS e, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body FROM b GROUP BY 1, 2, 3),
+ln AS (SELECT doc_id, line, min(s) AS s, max(e) AS e, sum(n) AS n, count(*) AS k, string_agg(body, ' ' ORDER BY piece) AS body FROM u GROUP BY 1, 2),
+un AS (SELECT u.doc_id, u.line, u.s, u.e, u.n, CASE WHEN k = 1 THEN 1 ELSE 0 END AS kind, u.body FROM u JOIN ln ON ln.doc_id = u.doc_id AND ln.line = u.line UNION ALL SELECT doc_id, line, s, e, n, 2, chr(10) || body FROM ln WHERE k > 1 AND n >= 10),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY body) AS fd, row_number() OVER (PARTITION BY doc_id, body ORDER BY s) AS nth FROM un),
+g AS (SELECT *, CASE WHEN nth > 1 THEN doc_id ELSE fd END AS first_id FROM f WHERE nth > 1 OR fd <> doc_id),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS isle FROM (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY doc_id ORDER BY s) = s THEN 0 ELSE 1 END AS fresh FROM g WHERE kind < 2)),
+o AS (SELECT doc_id, s, e, n, first_id FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, isle) AS run FROM r) WHERE run >= 16 OR (kind = 1 AND n >= 10) UNION SELECT doc_id, s, e, n, first_id FROM g WHERE kind = 2),
+x AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.kind = 2 AND g.doc_id = o.doc_id AND g.s <= o.s AND g.e >= o.e AND g.e - g.s > o.e - o.s)),
+y AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS isle FROM (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY doc_id ORDER BY s) = s THEN 0 ELSE 1 END AS fresh FROM x)),
+z AS (SELECT doc_id, isle, min(s) AS s, max(e) AS e, sum(n) AS n, arg_min(first_id, s) AS first_id FROM y GROUP BY 1, 2),
+t AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (n > 50) AS n_passages, string_agg(s || ':' || e || ':' || first_id, ',' ORDER BY s) AS removed FROM z GROUP BY doc_id),
+k AS (SELECT v.doc_id, string_agg(tok, '' ORDER BY i) AS kept FROM v WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.doc_id = v.doc_id AND v.s >= z.s AND v.s < z.e) GROUP BY v.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages, coalesce(removed, '') AS removed, sha256(coalesce(CASE WHEN n_removed IS NULL THEN text ELSE kept END, '')) AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
 """
