@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 MOST = 20_000
 THRESHOLD = 0.3
 
@@ -184,17 +186,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     return fit_rules(x, y, names)
 
 
-def scored(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
-    """The documents with a column `score`."""
+def scored(docs: DataFrame, rules: Rules, text: str = "text", name: str = "score") -> DataFrame:
+    """The documents with a column `name` (one of this name gives way)."""
     stats = statistics(F.col(text))
-    used = sorted({name for _, terms in rules.rules for name, _, _ in terms})
-    wide = docs.select("*", *[stats[k].cast("double").alias(f"_stat_{k}") for k in used])
-    return wide.select(*docs.columns, rules.column({k: F.col(f"_stat_{k}") for k in used}).alias("score"))
+    used = sorted({k for _, terms in rules.rules for k, _, _ in terms})
+    own = dict(zip(used, fresh(docs, *(f"_stat_{k}" for k in used)), strict=True))
+    wide = docs.select("*", *[stats[k].cast("double").alias(own[k]) for k in used])
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    return wide.select(*kept, rules.column({k: F.col(own[k]) for k in used}).alias(name))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold."""
-    return scored(docs, train(docs, labels)).filter(F.col("score") >= threshold).select(*docs.columns)
+    (score,) = fresh(docs, "_score")
+    return scored(docs, train(docs, labels), name=score).filter(F.col(score) >= threshold).select(*docs.columns)
 
 
 def op9_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:

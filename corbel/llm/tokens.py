@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import staged
 
 CHUNK, OVERLAP = 32_768, 512
 #: More than any special token or look-ahead spans, in characters.
 MARGIN = 32
-_STABLE = re.compile(r"(?<=\S)\s")
+#: White space in every library's terms, after what is none in any.
+_STABLE = re.compile(r"(?<=\S)[ \t\n\r]")
 _PLAIN = re.compile("[\u0000-ɏ]*")
 
 #: ends(text): where tokens end, as code points from its start; a token that ends within a character has no entry of its own.
@@ -159,10 +160,10 @@ def counter(encoder: Encoder, chunk: int, overlap: int):
 
 def token_counts(docs: DataFrame, path: str, twin: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, n_bytes, n_tokens, widened): a row for each document. `path` is a .json file of the tokenizers library; `twin` and `pattern` name the same vocabulary as ranks."""
-    small_batches(docs.sparkSession, 512, 16)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("_id"), t.alias("_t"), F.octet_length(t).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(counter(Encoder(path, twin, pattern), chunk, overlap), f"_id {dict(docs.dtypes)[doc_id]}, n_bytes bigint, n_tokens bigint, widened int")
+    counted = rows.mapInArrow(counter(Encoder(path, twin, pattern), chunk, overlap), f"_id {dict(docs.dtypes)[doc_id]}, n_bytes bigint, n_tokens bigint, widened int")
+    return staged(counted, "tokens", (512, 16))
 
 
 def op4_rows(docs: DataFrame, path: str, twin: str | None = None, pattern: str | None = None) -> DataFrame:
