@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corbel.llm import decontam, jaccard, mixing, quality, sharding
-from corbel.llm.common import staged
+from corbel.llm.common import scratch, staged
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +47,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as outer:  # what a stage has staged for itself goes once its rows are written
+            docs = staged(stage(spark, docs, sf_dir), f"stage-{name}", scope=outer)
     return docs
