@@ -131,16 +131,82 @@ def unknown_policy(name: Column, have: Column | None = None) -> Column:
     return policy if have is None else F.coalesce(have, policy)
 
 
+#: Starts, ends and whole names that tell a scalar's type.
+BOOLEAN_STARTS = ("is_", "has_", "can_", "should_", "allow_", "are_", "was_", "did_", "fetch_", "include_", "enable", "disable")
+BOOLEAN_ENDS = ("_enabled", "_disabled", "_allowed", "_required")
+NUMBER_ENDS = ("_count", "_time", "_timestamp", "_ts", "_at", "_secs", "_seconds", "_ms", "_index", "_size", "_width", "_height", "_duration", "_revision", "_version", "_number")
+NUMBER_NAMES = ("count", "index", "size", "width", "height", "duration", "timestamp", "limit", "offset", "version")
+
+
 def heuristic_type(name: Column) -> Column:
-    """A scalar type from a variable's name: flags, counts, times, identifiers (and lists of them), else text."""
-    return (
-        F.when(name.rlike("^(?:is|has|should|can|include|enable)(?:[A-Z_]|$)"), "boolean")
-        .when(name.rlike("(?i)(?:count|limit|size|offset|first|last|total|index)$"), "integer")
-        .when(name.rlike("(?i)(?:timestamp|time|_at|_ts)$") | name.rlike("[a-z]At$"), "timestamp")
-        .when(name.rlike("(?:[iI]ds|[jJ]ids)$"), "id_list")
-        .when(name.rlike("(?:^id|_id|[a-z]Id|[jJ]id)$"), "id")
-        .otherwise("string")
-    )
+    """A scalar's type from its name: boolean, number, or string by default."""
+    boolean = name.rlike(f"^(?:{'|'.join(BOOLEAN_STARTS)})") | name.rlike(f"(?:{'|'.join(BOOLEAN_ENDS)})$") | (name == "enabled")
+    number = name.rlike(f"(?:{'|'.join(NUMBER_ENDS)})$") | name.isin(*NUMBER_NAMES)
+    return F.when(boolean, "boolean").when(number, "number").otherwise("string")
+
+
+def variable_type(name: Column) -> Column:
+    """The type of an input variable of which nothing else is known: names in _ids and _jids are lists of text."""
+    return F.when(name.rlike("_j?ids$"), "[string]").otherwise(heuristic_type(name))
+
+
+#: Words that an identifier may not be, and those of them that can't be marked as raw.
+RESERVED = (
+    "as", "break", "const", "continue", "crate", "else", "enum", "extern", "false", "fn", "for", "if", "impl", "in", "let", "loop", "match", "mod", "move", "mut", "pub", "ref", "return",
+    "self", "Self", "static", "struct", "super", "trait", "true", "type", "unsafe", "use", "where", "while", "async", "await", "dyn", "abstract", "become", "box", "do", "final", "macro",
+    "override", "priv", "typeof", "unsized", "virtual", "yield",
+)
+NEVER_RAW = ("self", "Self", "crate", "super")
+
+
+def identifier(name: Column) -> Column:
+    """A name that can be an identifier: not empty, no digit first, and marked where it is a reserved word."""
+    base = F.when(name == "", "_").when(name.rlike("^[0-9]"), F.concat(F.lit("_"), name)).otherwise(name)
+    return F.when(base.isin(*NEVER_RAW), F.concat(base, F.lit("_"))).when(base.isin(*RESERVED), F.concat(F.lit("r#"), base)).otherwise(base)
+
+
+def snake_identifier(name: Column) -> Column:
+    return identifier(snake_case(name))
+
+
+def telemetry_pascal(name: Column) -> Column:
+    """Words between other characters than letters and digits, and where a capital follows a small letter; each begins with a capital and goes on in small letters."""
+    parts = F.filter(F.split(F.regexp_replace(name, "([a-z])(?=[A-Z])", "$1_"), "[^A-Za-z0-9]+"), lambda p: p != "")
+    return identifier(F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30)))), ""))
+
+
+def quoted(text: Column) -> Column:
+    """A text as a literal of generated code, between double quotes."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for char, name in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\0", "0")):
+        out = F.replace(out, F.lit(char), F.lit(f"\\{name}"))
+    other = F.transform(F.split(out, ""), lambda c: F.when(c.rlike(r"^[\x01-\x1F\x7F]$"), F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(c))), F.lit("}"))).otherwise(c))
+    return F.concat(F.lit('"'), F.when(out.rlike(r"[\x01-\x1F\x7F]"), F.array_join(other, "")).otherwise(out), F.lit('"'))
+
+
+def percent_encoded(text: Column) -> Column:
+    """UTF-8 bytes as %XX, but for letters, digits and - _ . ~ and the comma."""
+    out = F.url_encode(text)
+    for code, char in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2C", ",")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def integer_text(value: Column) -> Column:
+    """A whole number as scripts write it, without fraction and sign of zero; null for other numbers, and from 1e21 on, where they write exponents."""
+    return F.when((value == F.floor(value)) & (F.abs(value) < 1e21), F.when(value == 0, "0").otherwise(value.cast("decimal(38,0)").cast("string")))
+
+
+def default_text(value: Column) -> Column:
+    """A numeric default: whole numbers below 2^53 without fraction, others in plain decimals."""
+    plain = F.rtrim(value.cast("decimal(38,18)").cast("string"), F.lit("0"))
+    text = value.cast("string")
+    return F.when((value == F.floor(value)) & (F.abs(value) < 9007199254740992.0), value.cast("long").cast("string")).when(F.contains(text, F.lit("E")), plain).otherwise(text)
+
+
+def hex_bytes(text: Column) -> Column:
+    """The bytes of an even number of hex digits; null for anything else."""
+    return F.when(text.rlike("^(?:[0-9A-Fa-f]{2})*$"), F.unhex(text))
 
 
 def proto_nested_name(name: Column) -> Column:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _staged(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop by a table in the folder that the session names in spark.checkpoint.dir."""
+    """Cuts the lineage of a loop by a table in the folder that the session names in spark.checkpoint.dir; a folder of this machine only where none is set in local mode."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/corbel-loops"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or f"file://{tempfile.gettempdir()}/corbel-loops"
     path = f"{base.rstrip('/')}/corbel/{spark.sparkContext.applicationId}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -55,17 +61,23 @@ def multiset_report(left: DataFrame, right: DataFrame, key: str, samples: int =
 def closure(edges: DataFrame, src: str, dst: str, most_steps: int | None = None) -> DataFrame:
     """(src, dst): all pairs that edges lead to, safe against cycles.
 
-    Each round joins the pairs that are new with the edges and keeps what is new
-    again, until nothing is, or after `most_steps` edges.
+    Each round joins the pairs that are new with the pairs of the rounds before
+    (with the edges alone, where steps are bounded) and keeps what is new again,
+    until nothing is. So a path of n edges takes about log2 n rounds; only new
+    pairs are written, and what is known is the union of those parts.
     """
     e = _staged(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
-    known, fresh, step = e, e, 1
+    parts, fresh, step = [e], e, 1
     while (most_steps is None or step < most_steps) and fresh.limit(1).count():
-        hop = fresh.join(e.withColumnsRenamed({"a": "m", "b": "c"}), F.col("b") == F.col("m")).select("a", F.col("c").alias("b")).distinct()
-        fresh = _staged(hop.join(known, ["a", "b"], "left_anti"))
-        known = _staged(known.unionByName(fresh))
+        known = reduce(DataFrame.unionByName, parts)
+        via = e if most_steps is not None else known
+        hop = fresh.join(via.withColumnsRenamed({"a": "m", "b": "c"}), F.col("b") == F.col("m")).select("a", F.col("c").alias("b"))
+        if most_steps is None:  # what is new may also be the second half of a path
+            hop = hop.unionByName(known.join(fresh.withColumnsRenamed({"a": "m", "b": "c"}), F.col("b") == F.col("m")).select("a", F.col("c").alias("b")))
+        fresh = _staged(hop.distinct().join(known, ["a", "b"], "left_anti"))
+        parts.append(fresh)
         step += 1
-    return known.select(F.col("a").alias(src), F.col("b").alias(dst))
+    return reduce(DataFrame.unionByName, parts).select(F.col("a").alias(src), F.col("b").alias(dst))
 
 
 def closure_with_paths(edges: DataFrame, src: str, dst: str, path: str) -> DataFrame:

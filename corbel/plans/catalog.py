@@ -116,7 +116,12 @@ def unmatched_sites(sites: DataFrame) -> DataFrame:
 
 #: Prefixes and endings of operation names, and parts of names of other products.
 PREFIXES, ENDINGS = ("WAWebMex", "WAWeb"), (("JobMutation", "JobQuery"), ("Mutation", "Query"))
-NOISE = ("bizad", "bizai", "bizcatalog", "bizpay", "bizbroadcast", "comet", "lwi", "mwchat")
+NOISE = (
+    "bizad", "bizai", "bizcatalog", "bizpay", "bizbroadcast", "comet", "lwi", "mwchat", "mmlite", "bizmeta", "bizcommerce", "bizaccount", "bizdeli", "bizmass", "bizmcomm", "bizmessagetemplate",
+    "bizorder", "bizplatform", "bizpostpaid", "bizsendoptin", "bizsetting", "bizshipping", "bizquickreplies", "bizlabel", "bizaway", "bizgreeting", "bizonboarding", "bizgroup", "bizhub", "bizinstall",
+    "bizinterop", "bizlogin", "bizpnh", "bizqrcode", "bizquote", "bizrecurring", "bizrequest", "bizsubscribed", "bizupsell", "bizverify", "bizwa", "bizwam", "bizwelcome", "bizyou",
+    "metaai", "metatransp", "saved", "telemetry", "subscribe", "galaxy", "hatch", "linkedaccounts", "provisioning", "rtcring", "xplatgen", "wallet", "transaction", "boost",
+)
 
 
 def operation_name(name):

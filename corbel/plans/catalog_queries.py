@@ -76,17 +76,17 @@ def lattice_max_status(t):
     return aggregate.lattice_max(o, "o_custkey", "o_orderpriority", "site", "l")
 
 
-@_query("""WITH l AS (SELECT l_suppkey AS op, l_returnflag AS path, max(CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END) AS lev FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY 1, 2),
-d AS (SELECT DISTINCT s_suppkey AS op, f AS path FROM supplier, (VALUES ('A'), ('N'), ('R'), ('X')) AS v(f)), k AS (SELECT DISTINCT op FROM l)
-SELECT d.op, d.path, CAST(CASE WHEN d.op % 5 = 0 OR k.op IS NULL THEN 2 WHEN lev IS NULL THEN CASE WHEN d.op % 7 = 0 THEN 2 ELSE 1 END ELSE lev END AS INTEGER) AS level
+@_query("""WITH l AS (SELECT o_custkey AS op, o_orderstatus AS path, max(CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 0 END) AS lev FROM orders GROUP BY 1, 2),
+d AS (SELECT DISTINCT c_custkey AS op, f AS path, c_acctbal < 0 AS unread, c_mktsegment = 'BUILDING' AS opaque FROM customer, (VALUES ('F'), ('O'), ('P'), ('X')) AS v(f)), k AS (SELECT DISTINCT op FROM l)
+SELECT d.op, d.path, CAST(CASE WHEN unread OR k.op IS NULL THEN 2 WHEN lev IS NULL THEN CASE WHEN opaque THEN 2 ELSE 1 END ELSE lev END AS INTEGER) AS level
 FROM d LEFT JOIN l ON l.op = d.op AND l.path = d.path LEFT JOIN k ON k.op = d.op""")
 def presence_rules(t):
     """Final presence levels: unreadable sites, undeclared writes, opaque spreads."""
-    level = F.max(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("level")
-    levels = t("lineitem").filter("l_suppkey % 3 > 0").groupBy(F.col("l_suppkey").alias("op"), F.col("l_returnflag").alias("path")).agg(level)
-    ops = t("supplier").select(F.col("s_suppkey").alias("op"))
-    declared = ops.withColumn("path", F.explode(F.array(*map(F.lit, "ANRX"))))
-    return aggregate.withdrawn(levels, "op", "path", ops.filter("op % 5 = 0"), declared, ops.filter("op % 7 = 0"))
+    level = F.max(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)).alias("level")
+    levels = t("orders").groupBy(F.col("o_custkey").alias("op"), F.col("o_orderstatus").alias("path")).agg(level)
+    c = t("customer").withColumnRenamed("c_custkey", "op")
+    declared = c.select("op", F.explode(F.array(*map(F.lit, "FOPX"))).alias("path"))
+    return aggregate.withdrawn(levels, "op", "path", c.filter("c_acctbal < 0").select("op"), declared, c.filter("c_mktsegment = 'BUILDING'").select("op"))
 
 
 @_query("""WITH e AS (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events), v AS (SELECT user_id, event_type, CASE WHEN k % 3 > 0 THEN k // 50 END AS v FROM e)
@@ -400,11 +400,13 @@ def set_except_intersect(t):
     return c.intersect(o).withColumn("side", F.lit("both")).unionByName(c.subtract(o).withColumn("side", F.lit("no order")))
 
 
-_EDGES = "SELECT DISTINCT s_suppkey AS a, (s_suppkey * 7 + 3) % 101 AS b FROM supplier WHERE s_suppkey % 3 > 0 AND s_suppkey < 101"
+_EDGES = "SELECT DISTINCT s_suppkey AS a, s_suppkey // 3 AS b FROM supplier UNION SELECT -1 - n_nationkey, -1 - (n_nationkey * 7 + 3) % 25 FROM nation"
 
 
 def _edges(t) -> DataFrame:
-    return t("supplier").filter("s_suppkey % 3 > 0 AND s_suppkey < 101").select(F.col("s_suppkey").alias("a"), ((F.col("s_suppkey") * 7 + 3) % 101).alias("b")).distinct()
+    """A tree of all suppliers, and cycles of all nations."""
+    tree = t("supplier").select(F.col("s_suppkey").alias("a"), F.expr("s_suppkey div 3").alias("b"))
+    return tree.union(t("nation").select((-1 - F.col("n_nationkey")).cast("long"), (-1 - (F.col("n_nationkey") * 7 + 3) % 25).cast("long"))).distinct()
 
 
 @_query(f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a, b FROM r")
@@ -417,9 +419,11 @@ def bounded_closure(t):
     return sets.closure(_edges(t), "a", "b", 3)
 
 
-@_query(f"""WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, a AS b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY 1""")
+@_query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey - CASE WHEN c_custkey % 10 > 0 THEN 1 ELSE 0 END AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, a AS b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY 1""")
 def connected_components(t):
-    return sets.components(_edges(t), "a", "b")
+    """Chains of ten over all customers."""
+    c = F.col("c_custkey")
+    return sets.components(t("customer").select(c.alias("a"), (c - F.when(c % 10 > 0, 1).otherwise(0)).alias("b")), "a", "b")
 
 
 @_query("SELECT 0 AS part, count(*) AS n FROM customer UNION ALL SELECT 1, count(*) FROM supplier")
@@ -506,12 +510,31 @@ def artifact_states(t):
 b AS (SELECT c_custkey AS k, c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, CAST(c_nationkey + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS c_nationkey FROM customer WHERE c_custkey % 13 > 0),
 j AS (SELECT coalesce(a.k, b.k) AS c_custkey, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS kind, a.c_name AS n0, b.c_name AS n1, a.c_mktsegment AS m0, b.c_mktsegment AS m1, a.c_nationkey AS t0, b.c_nationkey AS t1 FROM a FULL JOIN b ON a.k = b.k)
 SELECT c_custkey, kind, 'c_name' AS field, n0 AS before, n1 AS after FROM j WHERE n0 IS DISTINCT FROM n1 UNION ALL SELECT c_custkey, kind, 'c_mktsegment', m0, m1 FROM j WHERE m0 IS DISTINCT FROM m1 UNION ALL SELECT c_custkey, kind, 'c_nationkey', t0, t1 FROM j WHERE t0 IS DISTINCT FROM t1""")
-def keyed_diff(t):
+def field_changes(t):
     c = t("customer")
     new = c.filter("c_custkey % 13 > 0").withColumns({"c_mktsegment": F.expr("CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END"), "c_nationkey": F.expr("c_nationkey + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END")})
     return diff.field_changes(c.filter("c_custkey % 11 > 0"), new, "c_custkey", ["c_name", "c_mktsegment", "c_nationkey"])
 
 
+@_query("""WITH a AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS m, c_nationkey AS t FROM customer),
+b AS (SELECT c_custkey AS k, c_name AS n, CASE WHEN c_acctbal > 500 THEN c_mktsegment END AS m, c_nationkey + CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS t FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 1000000000 + s_suppkey, s_name, NULL, s_nationkey FROM supplier),
+j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, a.n AS an, a.m AS am, a.t AS t0, b.n AS bn, b.m AS bm, b.t AS t1 FROM a FULL JOIN b ON a.k = b.k),
+x AS (SELECT k, '' AS pointer, 'removed' AS kind, '{"k":' || k || ',"m":' || to_json(am) || ',"n":' || to_json(an) || ',"t":' || t0 || '}' AS before, NULL AS after FROM j WHERE bk IS NULL
+UNION ALL SELECT k, '', 'added', NULL, '{"k":' || k || ',"n":' || to_json(bn) || ',"t":' || t1 || '}' FROM j WHERE ak IS NULL UNION ALL SELECT k, '/m', 'removed', to_json(am), NULL FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND bm IS NULL
+UNION ALL SELECT k, '/t', 'changed', CAST(t0 AS VARCHAR), CAST(t1 AS VARCHAR) FROM j WHERE t0 <> t1)
+SELECT 'catalog' AS domain, 'customers' AS collection, CAST(k AS VARCHAR) AS identity, pointer, kind, CAST(before AS VARCHAR) AS before, CAST(after AS VARCHAR) AS after,
+sha256('{"after":' || coalesce(CAST(to_json(CAST(after AS VARCHAR)) AS VARCHAR), 'null') || ',"before":' || coalesce(CAST(to_json(CAST(before AS VARCHAR)) AS VARCHAR), 'null') || ',"collection":"customers","domain":"catalog","identity":"' || k || '","kind":"' || kind || '","pointer":"' || pointer || '"}') AS id FROM x""")
+def keyed_diff(t):
+    """JSON items of two snapshots by identity, walked key by key, with change ids: customers before, and some of them after, with suppliers."""
+    row = lambda df, k, n, m, at: df.select(k.alias("k"), n.alias("n"), m.cast("string").alias("m"), at.alias("t"))
+    item = lambda df: df.select(F.lit("catalog").alias("domain"), F.lit("customers").alias("collection"), F.col("k").alias("idx"), F.to_json(F.struct("k", "n", "m", "t")).alias("item"))
+    c, s = t("customer"), t("supplier")
+    old = row(c, F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey"))
+    new = row(c.filter("c_acctbal > 0"), F.col("c_custkey"), F.col("c_name"), F.expr("CASE WHEN c_acctbal > 500 THEN c_mktsegment END"), F.expr("c_nationkey + CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END"))
+    more = row(s, 1000000000 + F.col("s_suppkey"), F.col("s_name"), F.lit(None), F.col("s_nationkey"))
+    return diff.keyed_diff(item(old), item(new.unionByName(more)), F.get_json_object("item", "$.k"))
+
+
 @_query()
 def snapshot_diff(t):
     """JSON items by identity, walked key by key, with change ids."""
@@ -543,11 +566,16 @@ def pascal_case(t):
     return t("part").select("p_partkey", scalars.pascal_case(F.col("p_name")).alias("name"))
 
 
-@_query("""SELECT event_id, n AS name, CASE WHEN regexp_matches(n, '^(is|has|should|can|include|enable)([A-Z_]|$)') THEN 'boolean' WHEN regexp_matches(n, '(?i)(count|limit|size|offset|first|last|total|index)$') THEN 'integer' WHEN regexp_matches(n, '(?i)(timestamp|time|_at|_ts)$') OR regexp_matches(n, '[a-z]At$') THEN 'timestamp'
-WHEN regexp_matches(n, '([iI]ds|[jJ]ids)$') THEN 'id_list' WHEN regexp_matches(n, '(^id|_id|[a-z]Id|[jJ]id)$') THEN 'id' ELSE 'string' END AS type FROM (SELECT event_id, event_type || ['Count', 'Id', 'At', 'Ids', '_ts', 'Name'][event_id % 6 + 1] AS n FROM events)""")
+_NAMES = ("is_{}", "{}_count", "{}_enabled", "{}_jids", "enabled", "{}", "timestamp", "disable{}", "{}_ids", "{}_at")
+
+
+@_query("""SELECT event_id, n AS name, CASE WHEN regexp_matches(n, '^(is_|disable)') OR ends_with(n, '_enabled') OR n = 'enabled' THEN 'boolean' WHEN ends_with(n, '_count') OR ends_with(n, '_at') OR n = 'timestamp' THEN 'number' ELSE 'string' END AS type,
+CASE WHEN regexp_matches(n, '(_jids|_ids)$') THEN '[string]' WHEN regexp_matches(n, '^(is_|disable)') OR ends_with(n, '_enabled') OR n = 'enabled' THEN 'boolean' WHEN ends_with(n, '_count') OR ends_with(n, '_at') OR n = 'timestamp' THEN 'number' ELSE 'string' END AS variable
+FROM (SELECT event_id, replace(['is_{}', '{}_count', '{}_enabled', '{}_jids', 'enabled', '{}', 'timestamp', 'disable{}', '{}_ids', '{}_at'][event_id % 10 + 1], '{}', event_type) AS n FROM events)""")
 def heuristic_type(t):
-    end = F.element_at(F.array(*map(F.lit, ("Count", "Id", "At", "Ids", "_ts", "Name"))), (F.col("event_id") % 6 + 1).cast("int"))
-    return t("events").select("event_id", F.concat("event_type", end).alias("name")).withColumn("type", scalars.heuristic_type(F.col("name")))
+    form = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 10 + 1).cast("int"))
+    e = t("events").select("event_id", F.replace(form, F.lit("{}"), F.col("event_type")).alias("name"))
+    return e.withColumns({"type": scalars.heuristic_type(F.col("name")), "variable": scalars.variable_type(F.col("name"))})
 
 
 @_query("""SELECT event_id, '/' || replace(replace('k~' || event_type || '/x', '~', '~0'), '/', '~1') AS pointer, json_extract_string(props, '$.k') AS value FROM events""")

@@ -214,8 +214,11 @@ def discover(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
     return pages.select(key, html).mapInPandas(run, f"{key} {dict(pages.dtypes)[key]}, kind string, value string")
 
 
-def fetched(urls: DataFrame, get, workers: int = 16, most: int = 256 << 20) -> tuple[DataFrame, DataFrame]:
-    """(obtained (url, content, sha256, size), failed (url, why)) of get(url) -> bytes over `workers` tasks; a failure is a row, not an exception. `get` is the caller's client."""
+def fetched(urls: DataFrame, get, folder: str, workers: int = 16, most: int = 256 << 20) -> tuple[DataFrame, DataFrame]:
+    """(obtained (url, content, sha256, size), failed (url, why)) of get(url) -> bytes over `workers` tasks; a failure is a row, not an exception. `get` is the caller's client.
+
+    What is fetched is written to `folder`, which all executors reach, so that a lost executor fetches nothing twice.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -230,6 +233,35 @@ def fetched(urls: DataFrame, get, workers: int = 16, most: int = 256 << 20) -> t
                     rows.append((url, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["url", "content", "why"])
 
-    every = urls.select("url").distinct().repartition(workers, "url").mapInPandas(run, "url string, content binary, why string").persist()
+    schema = "url string, content binary, why string"
+    urls.select("url").distinct().repartition(workers, "url").mapInPandas(run, schema).write.mode("overwrite").parquet(folder)
+    every = urls.sparkSession.read.schema(schema).parquet(folder)
     good = every.filter("why IS NULL").select("url", "content", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size"))
     return good, every.filter("why IS NOT NULL").select("url", "why")
+
+
+def from_folder_or_client(spark: SparkSession, folder: str | None, urls: DataFrame | None = None, get=None, store: str | None = None) -> tuple[DataFrame, bool]:
+    """(bundles, authoritative): a folder is read as it stands and never says what the current set is; a client's downloads do, if every address was obtained."""
+    if folder is not None:
+        return require_files(scan(spark, folder)), False
+    good, failed = fetched(urls, get, store)
+    lost = failed.orderBy("url").limit(3).collect()
+    if lost:
+        raise ValueError("incomplete: " + "; ".join(f"{r.url}: {r.why}" for r in lost))
+    order = good.select("url").withColumn("_k", F.lit(0)).groupBy("_k").agg(F.array_sort(F.collect_list("url")).alias("all")).select(F.posexplode("all").alias("bundle_ord", "_url"))
+    named = good.join(F.broadcast(order), F.col("url") == F.col("_url"))  # addresses only
+    return named.select(F.col("bundle_ord").cast("long").alias("bundle_ord"), F.col("url").alias("path"), "size", "sha256", "content"), True
+
+
+def restored(archives: DataFrame, lock: DataFrame, samples: int = 3) -> DataFrame:
+    """The files of archives, verified against a lock: the same hashes and sizes, as often; an error names up to `samples` missing and extra ones. Nothing comes back of a set that differs."""
+    from ..operators.sets import multiset_diff
+
+    files = unpack(archives)
+    key = ["sha256", "size"]
+    sizes = lambda df: df.select("sha256", F.col("size").cast("long").alias("size"))
+    odd = multiset_diff(sizes(lock), sizes(files), key).withColumn("what", F.when(F.col("n_left") > F.col("n_right"), "missing").otherwise("extra"))
+    shown = odd.groupBy("what").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("sha256")), 1, samples).alias("some")).orderBy("what").collect()
+    if shown:
+        raise ValueError("; ".join(f"{r['n']} {r['what']}: {', '.join(r['some'])}" for r in shown))
+    return files

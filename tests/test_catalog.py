@@ -202,7 +202,7 @@ def test_archives_locks_and_cache(spark, tmp_path):
     assert src.cached(spark, str(tmp_path / "cache"), "v1", lock.limit(1)) is None
 
 
-def test_discovery_and_fetching(spark):
+def test_discovery_and_fetching(spark, tmp_path):
     page = '<script src="/a.js?x=1&amp;y"></script><SCRIPT data-sjs>{"bx":{"77":{"uri":"https://s/x.wasm"}},"l":["https://s/b.js#z","no"]}</SCRIPT><script>"client_revision": 1234, </script><script type="application/json">{bad</script>'
     got = {(r.kind, r.value) for r in src.discover(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).collect()}
     assert got == {("js", "/a.js?x=1&y"), ("bx", "77 https://s/x.wasm"), ("wasm", "https://s/x.wasm"), ("js", "https://s/b.js#z"), ("version", "2.3000.1234")}
@@ -212,8 +212,29 @@ def test_discovery_and_fetching(spark):
             raise OSError("gone")
         return url.encode()
 
-    good, bad = src.fetched(spark.createDataFrame([("u1",), ("bad",), ("u1",)], "url string"), get, 2)
+    good, bad = src.fetched(spark.createDataFrame([("u1",), ("bad",), ("u1",)], "url string"), get, str(tmp_path / "f"), 2)
     assert [r.url for r in good.collect()] == ["u1"] and [r.why for r in bad.collect()] == ["OSError: gone"]
+    got, current = src.from_folder_or_client(spark, None, spark.createDataFrame([("b",), ("a",)], "url string"), get, str(tmp_path / "g"))
+    assert current and [(r.bundle_ord, r.path, bytes(r.content)) for r in got.orderBy("bundle_ord").collect()] == [(0, "a", b"a"), (1, "b", b"b")]
+    with pytest.raises(ValueError, match="incomplete: bad"):
+        src.from_folder_or_client(spark, None, spark.createDataFrame([("b",), ("bad",)], "url string"), get, str(tmp_path / "h"))
+    (tmp_path / "dir").mkdir()
+    (tmp_path / "dir" / "x.js").write_text("1")
+    assert src.from_folder_or_client(spark, str(tmp_path / "dir"))[1] is False
+
+
+def test_restored_archives_equal_their_lock(spark, tmp_path):
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
+        for name, body in (("x.js", b"one"), ("y.js", b"two"), ("z.js", b"one")):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+    archives = spark.read.format("binaryFile").load(str(tmp_path / "a.tar.gz"))
+    lock = src.unpack(archives).select("sha256", "size")
+    assert src.restored(archives, lock).count() == 3
+    for bad in (lock.distinct(), lock.unionAll(lock.limit(1))):
+        with pytest.raises(ValueError, match="1 (extra|missing)"):
+            src.restored(archives, bad)
 
 
 def test_closure_with_paths(spark):

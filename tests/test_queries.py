@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from corbel.plans import catalog_queries
+from corbel.plans import catalog_queries, contract_queries, reader_queries  # noqa: F401  the latter two add to the first
 
 ROOT = Path(__file__).resolve().parent.parent
 
