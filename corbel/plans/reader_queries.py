@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import bundles as sources
-from . import catalog, programs
+from . import catalog, programs, responses
 from .catalog_queries import _query
 
 
@@ -141,3 +141,34 @@ def decision_rows(t):
     o = t("orders").select("o_orderkey", F.expr("CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS s"), F.expr("CASE WHEN o_orderpriority < '3' THEN o_orderpriority END AS p"))
     table = o.sparkSession.createDataFrame([("F", "1-URGENT", "accept"), ("O", None, "ask"), (None, "2-HIGH", "drop"), (None, None, "none")], "s string, p string, r string")
     return programs.decided(o, table, ["s", "p"], ["r"], {"r": "default"}).select("o_orderkey", "r")
+
+
+@_query("""WITH s AS (SELECT s_suppkey, 'Op' || s_suppkey AS operation, s_acctbal > 0 AS called, s_nationkey AS c FROM supplier)
+SELECT operation, 0 AS ord, operation || 'ResponseError' AS tag, CASE WHEN c BETWEEN 4 AND 4 THEN 'client_error' WHEN c = 5 THEN 'server_error' ELSE 'error' END AS kind, false AS primary, c * 100 + s_suppkey % 100 AS code FROM s WHERE called
+UNION ALL SELECT operation, CASE WHEN called THEN 1 ELSE 0 END, operation || 'ResponseSuccess', 'success', true, NULL FROM s""")
+def response_outcomes(t):
+    """Outcomes of calls, with the sides at fault and codes of their errors; operations without a call have their success."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey")
+    op = F.concat(F.lit("Op"), k)
+    util = 'o("WASmaxParseUtils")'
+    success = F.concat(F.lit(f'function e(e,t){{var s={util}.literal({util}.attrString,e,"type","result");return o("R").makeResult({{type:s.value}})}}l.parse'), op, F.lit("ResponseSuccess=e;"))
+    error = F.concat(F.lit(f'function e(e,t){{var q={util}.assertAttr(e,"type","error"),x={util}.flattenedChildWithTag(e,"error"),c={util}.literal({util}.attrInt,x.value,"code",'), (n * 100 + F.col("s_suppkey") % 100).cast("string"), F.lit(');return o("R").makeResult({code:c.value})}l.parse'), op, F.lit("ResponseError=e;"))
+    arm = lambda v, kind: F.concat(F.lit(f'var {v}=o("WASmaxIn'), op, F.lit(f'Response{kind}").parse'), op, F.lit(f'Response{kind}(r,n);if({v}.success)return{{name:"'), op, F.lit(f'Response{kind}",value:{v}.value}};'))
+    s = t("supplier")
+    one = lambda prefix, suffix, body, where: s.filter(where).select(F.expr("s_suppkey div 50").alias("bundle"), F.concat(F.lit(suffix), k).alias("ord"), _define(F.concat(F.lit(prefix), op, F.lit(suffix)), F.lit(""), body, F.col("s_suppkey")).alias("text"))
+    m = one("WASmaxIn", "ResponseSuccess", success, F.lit(True)).unionByName(one("WASmaxIn", "ResponseError", error, F.col("s_acctbal") > 0)).unionByName(one("WASmax", "RPC", F.concat(F.lit("function e(){"), arm("a", "Error"), arm("i", "Success"), F.lit("}l.send=e;")), F.col("s_acctbal") > 0))
+    out, arms = responses.response_index(_split(m))
+    return out.join(arms.select("operation", "tag", "code"), ["operation", "tag"], "left").select("operation", "ord", "tag", "kind", "primary", "code")
+
+
+@_query("""SELECT 'Q' || n_nationkey || '.graphql' AS module, 'n' || n_regionkey || '_count' AS path, 'leaf' AS kind, 'number' AS type FROM nation
+UNION ALL SELECT 'Q' || n_nationkey || '.graphql', 'list', CASE WHEN n_nationkey % 2 = 0 THEN 'array' ELSE 'object' END, CASE WHEN n_nationkey % 2 = 0 THEN 'array' ELSE 'object' END FROM nation UNION ALL SELECT 'Q' || n_nationkey || '.graphql', 'list/is_' || lower(replace(n_name, ' ', '_')), 'leaf', 'boolean' FROM nation""")
+def response_shapes(t):
+    """The shapes that persisted operations select; what a fragment adds as a leaf gives way to the container."""
+    k = F.col("n_nationkey").cast("string")
+    body = F.concat(
+        F.lit('var s={kind:"ScalarField",name:"is_'), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit('"};var n={fragment:{kind:"Fragment",name:"Q",selections:[{kind:"ScalarField",name:"n'), F.col("n_regionkey").cast("string"),
+        F.lit('_count"},{kind:"LinkedField",alias:"list",name:"x",plural:'), F.when(F.col("n_nationkey") % 2 == 0, "!0").otherwise("!1"), F.lit(',selections:[s]},{kind:"InlineFragment",selections:[{kind:"ScalarField",name:"list"}]}]}};'),
+    )
+    m = t("nation").select(F.lit(0).alias("bundle"), F.col("n_nationkey").alias("ord"), _define(F.concat(F.lit("Q"), k, F.lit(".graphql")), F.lit(""), body, F.col("n_nationkey")).alias("text"))
+    return responses.response_shapes(_split(m))
