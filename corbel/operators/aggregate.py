@@ -21,9 +21,10 @@ def unanimous_rollup(df: DataFrame, parent: str, tag: str, value: str, source: s
     return out.filter("value = _hi").drop("_hi")
 
 
-def unanimous_with_veto(df: DataFrame, keys: Sequence[str], value: str, veto: Column) -> DataFrame:
-    """(keys, value): one distinct value, and no row that vetoes."""
-    out = df.withColumn("_veto", veto).groupBy(*keys).agg(F.count_distinct(value).alias("_n"), F.min(value).alias("value"), F.coalesce(F.bool_or("_veto"), F.lit(False)).alias("_v"))
+def unanimous_with_veto(df: DataFrame, keys: Sequence[str], value: str, veto: Column, source: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """(keys, value, and source if one is named): one distinct value, and no row that vetoes; the source is that of the first row, in `order`, that has a value."""
+    first = [F.min_by(source, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("source")] if source else []
+    out = df.withColumn("_veto", veto).groupBy(*keys).agg(F.count_distinct(value).alias("_n"), F.min(value).alias("value"), F.coalesce(F.bool_or("_veto"), F.lit(False)).alias("_v"), *first)
     return out.filter("_n = 1 AND NOT _v").drop("_n", "_v")
 
 

@@ -120,6 +120,28 @@ def call_site_totals(sites: DataFrame) -> DataFrame:
     return kept.groupBy("event").agg(total(F.lit(1), "call_sites"), total(F.col("partial").cast("int"), "partial"), total(F.size("fields"), "fields"), total(values, "field_values"), F.sum(F.col("_again").cast("int")).cast("long").alias("duplicates"))
 
 
+def constraint_counts(fields: DataFrame, assertions: DataFrame, outcomes: DataFrame, arms: DataFrame) -> DataFrame:
+    """What responses constrain, as (key, value).
+
+    fields(owner, of_outcome, has_outcomes, literal, reference_path, enum_ref, n_keys): those of an owner that has outcomes count
+    where they are an outcome's, as its own repeat the first one's; assertions(owner, kind), outcomes(owner, tag, kind),
+    arms(owner, tag, name, text, envelope): texts count once for each place that fixes them, envelopes are no arms.
+    """
+    f = fields.filter(~F.coalesce("has_outcomes", F.lit(False)) | F.coalesce("of_outcome", F.lit(False)))
+    enum = F.col("enum_ref").isNotNull() | (F.coalesce("n_keys", F.lit(0)) > 0)
+    parts = [
+        _counted(f.select(F.col("reference_path").isNotNull().alias("x")).unionByName(assertions.select((F.col("kind") == "reference").alias("x"))), {"references": F.col("x")}),
+        _counted(f, {"literals": F.col("literal").isNotNull(), "enums": enum}),
+        _counted(outcomes, {"typed errors": F.col("kind").isin("client_error", "server_error")}),
+        arms.filter("text IS NOT NULL").agg(F.count_distinct(F.struct("owner", "tag", F.coalesce("name", F.lit("")), "text")).alias("value")).select(F.lit("error texts").alias("key"), "value"),
+        _counted(arms, {"error arms": ~F.coalesce("envelope", F.lit(False))}),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def namespaces(df: DataFrame, namespace: str) -> DataFrame:
     """How many namespaces there are, as (key, value)."""
     return df.agg(F.count_distinct(namespace).alias("value")).select(F.lit("namespaces").alias("key"), "value")
@@ -282,6 +304,21 @@ def inlined(nodes: DataFrame, helpers: DataFrame, most: int = 16) -> DataFrame:
     return done.unionByName(todo).select(*nodes.columns)
 
 
+def contributions(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """What each module inherits from all fragments that it reaches: edges(module, callee, path), facts(callee, xmlns, type, target, target_path) give (module, xmlns, type, target, target_path).
+
+    Paths compose along edges; a fragment that two paths lead to has none. Different namespaces or types leave none,
+    different addressees are Unknown, and a path counts only where one addressee has one.
+    """
+    from .aggregate import conflict_merge
+    from .sets import closure_with_paths
+
+    reach = closure_with_paths(edges, "module", "callee", "path").filter("module <> callee")
+    got = reach.join(facts, "callee")
+    whole = F.when(F.col("path").isNotNull() & F.col("target_path").isNotNull(), F.concat_ws("/", F.when(F.col("path") != "", F.col("path")), F.col("target_path")))
+    return conflict_merge(got.withColumn("target_path", whole), ["module"], ["xmlns", "type"], "target", "target_path")
+
+
 def appended(table: DataFrame, extra: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The table, and those of the further rows whose key it has not, the first of each key."""
     from .dedup import first_wins

@@ -135,3 +135,14 @@ def implied(earlier: DataFrame, later: DataFrame, owner: str, key: str, value: s
     e = earlier.select(F.col(owner).alias("_o"), F.col(key).alias("_k"), F.col(value).alias("_v"))
     open_ = e.join(later, (e["_o"] == later[owner]) & (e["_k"] == later[key]) & (e["_v"].isNull() | (e["_v"] == later[value])), "left_anti")
     return later.select(owner).distinct().join(open_.select(F.col("_o").alias(owner)).distinct(), owner, "left_anti")
+
+
+def begins_with(left: DataFrame, start: str, right: DataFrame, name: str) -> DataFrame:
+    """All pairs of a left row and a right row whose name begins with the left one's text, and goes on: every start of a name is a key, so that it stays an equi-join."""
+    r = right.withColumn("_start", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda k: F.substring(F.col(name), F.lit(1), k)))).filter(F.length("_start") < F.length(name))
+    return left.join(r, F.col(start) == F.col("_start")).drop("_start")
+
+
+def drop_counts(resolved: DataFrame, key: Sequence[str], reason: str = "drop_reason") -> DataFrame:
+    """(reason, n): how many different places lost their link, for each reason."""
+    return resolved.filter(F.col(reason).isNotNull()).select(*key, F.col(reason).alias("reason")).distinct().groupBy("reason").agg(F.count("*").alias("n"))

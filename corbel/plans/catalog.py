@@ -8,11 +8,12 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars
-from ..operators import aggregate, checks, dedup, lookup
+from ..operators import aggregate, checks, contracts, dedup, lookup
 from . import extract
 
 ORDER = ["bundle_ord", "module_ord"]
@@ -206,8 +207,11 @@ def json_document(df: DataFrame, order: list[str], name: str, version: str) -> D
     return df.agg(F.to_json(F.struct(F.lit(version).alias("version"), records.alias(name))).alias("document"))
 
 
-def write_documents(spark: SparkSession, path: str, version: str, catalogs: Mapping[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Writes each catalog under path/<name> and returns the manifest (name, records, sha256); nothing is written if a catalog is empty."""
+def write_documents(spark: SparkSession, path: str, version: str, catalogs: Mapping[str, tuple[DataFrame, list[str]]], diagnostics: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Writes each catalog under path/<name> and returns the manifest (name, records, sha256, file, schema, diagnostics); nothing is written if a catalog is empty.
+
+    `diagnostics` are counts (key, value) of a catalog: what it has, and what was dropped and why.
+    """
     docs = {n: json_document(df, order, n, version).persist() for n, (df, order) in catalogs.items()}
     counts = None
     for n, d in docs.items():
@@ -218,11 +222,46 @@ def write_documents(spark: SparkSession, path: str, version: str, catalogs: Mapp
     checks.admit(spark, [checks.zero_counts(counts)])
     for n, d in docs.items():
         d.coalesce(1).write.mode("overwrite").text(f"{path}/{n}")
-    manifest = counts.select(F.col("key").alias("name"), F.col("value").alias("records"), "sha256")
+    told = spark.createDataFrame([], "_n string, diagnostics map<string, bigint>")
+    for n, d in (diagnostics or {}).items():
+        entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.col("value").cast("long")))))
+        told = told.unionByName(d.agg(entries.alias("diagnostics")).select(F.lit(n).alias("_n"), "diagnostics"))
+    schemas = schema_documents({n: df for n, (df, _) in catalogs.items()})
+    named = F.create_map(*[x for n, doc in schemas.items() for x in (F.lit(n), F.sha2(F.lit(doc), 256))])
+    manifest = counts.select(F.col("key").alias("name"), F.col("value").alias("records"), "sha256", F.col("key").alias("file"), named[F.col("key")].alias("schema"))
+    manifest = manifest.join(told, F.col("name") == F.col("_n"), "left").drop("_n")
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return manifest
 
 
+def _json_schema(kind: T.DataType) -> dict:
+    if isinstance(kind, T.StructType):
+        return {"type": "object", "properties": {f.name: _json_schema(f.dataType) for f in kind}, "required": [f.name for f in kind if not f.nullable], "additionalProperties": False}
+    if isinstance(kind, T.ArrayType):
+        return {"type": "array", "items": _json_schema(kind.elementType)}
+    if isinstance(kind, T.MapType):
+        return {"type": "object", "additionalProperties": _json_schema(kind.valueType)}
+    if isinstance(kind, T.BooleanType):
+        return {"type": "boolean"}
+    if isinstance(kind, T.IntegralType):
+        return {"type": "integer"}
+    return {"type": "number"} if isinstance(kind, T.NumericType) else {"type": "string"}
+
+
 def schema_documents(catalogs: Mapping[str, DataFrame]) -> dict[str, str]:
-    """The schema of each catalog as JSON."""
-    return {n: json.dumps(json.loads(df.schema.json()), indent=2, sort_keys=True) for n, df in catalogs.items()}
+    """The JSON Schema of each catalog's records; nulls are left out of documents, so what may be null isn't required."""
+    head = {"$schema": "https://json-schema.org/draft/2020-12/schema"}
+    return {n: json.dumps(head | {"title": n} | _json_schema(df.schema), indent=2, sort_keys=True) for n, df in catalogs.items()}
+
+
+def diff_report(changes: DataFrame, group: str, name: str, side: str = "side", most: int = 40) -> DataFrame:
+    """(ord, line): names that were added (+) and removed (-), by group, the first `most` of each, and how many more there are."""
+    keys = [group, side]
+    top, left = contracts.capped_fan_out(changes.select(*keys, name), keys, [name], most)
+    mark = F.when(F.col(side) == "added", "+ ").otherwise("- ")
+    lines = top.select(*keys, F.lit(0).alias("_last"), F.col(name).cast("string").alias("_x"), F.concat(mark, F.col(name).cast("string")).alias("line"))
+    more = left.select(*keys, F.lit(1).alias("_last"), F.lit("").alias("_x"), F.concat(mark, F.lit("and "), F.col("n_left").cast("string"), F.lit(" more")).alias("line"))
+    heads = changes.select(group).distinct().select(group, F.lit(None).cast("string").alias(side), F.lit(-1).alias("_last"), F.lit("").alias("_x"), F.concat(F.col(group).cast("string"), F.lit(":")).alias("line"))
+    every = lines.unionByName(more).unionByName(heads)
+    order = F.row_number().over(Window.orderBy(group, F.col(side).asc_nulls_first(), "_last", "_x"))  # a bounded number of lines a group
+    return every.select(order.alias("ord"), "line")

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import checks, contracts
+from ..operators import aggregate, checks, contracts, lookup
+from . import catalog
 from .catalog_queries import _query, _says
 
 # Trees, as columns alike in both languages.
@@ -304,3 +305,60 @@ def encodings(t):
 def numeric_defaults(t):
     value = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("double")).otherwise(F.col("p_size") + 0.25)
     return t("part").select("p_partkey", scalars.default_text(value).alias("text"))
+
+
+# Further aggregations and lookups.
+
+
+@_query("""SELECT o_custkey, min(o_orderstatus) AS value, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) FILTER (o_orderstatus <> 'P') AS source FROM (SELECT *, nullif(o_orderstatus, 'P') AS s FROM orders) GROUP BY 1 HAVING count(DISTINCT s) = 1 AND NOT bool_or(o_totalprice > 300000)""".replace("min(o_orderstatus) AS value", "min(s) AS value"))
+def veto_with_source(t):
+    """One status of a customer's orders, unless a large one vetoes; the source is the first order that has a status."""
+    o = t("orders").withColumn("s", F.expr("nullif(o_orderstatus, 'P')"))
+    return aggregate.unanimous_with_veto(o, ["o_custkey"], "s", F.col("o_totalprice") > 300000, "o_orderpriority", ["o_orderdate", "o_orderkey"])
+
+
+@_query("""WITH f AS (SELECT l_linenumber > 3 AS of_outcome, l_returnflag = 'A' AS has, CASE WHEN l_quantity > 40 THEN 'x' END AS lit, CASE WHEN l_tax > 0.06 THEN 'p' END AS ref, CASE WHEN l_discount > 0.08 THEN 'e' END AS en, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS k FROM lineitem), g AS (SELECT * FROM f WHERE NOT has OR of_outcome),
+a AS (SELECT o_custkey, o_orderstatus AS tag, CASE WHEN o_totalprice > 100000 THEN o_orderpriority END AS text, o_totalprice > 300000 AS env FROM orders)
+SELECT 'references' AS key, (SELECT count(*) FROM g WHERE ref IS NOT NULL) + (SELECT count(*) FROM events WHERE event_type = 'click') AS value UNION ALL SELECT 'literals', count(*) FILTER (lit IS NOT NULL) FROM g UNION ALL SELECT 'enums', count(*) FILTER (en IS NOT NULL OR k > 0) FROM g
+UNION ALL SELECT 'typed errors', count(*) FILTER (event_type IN ('view', 'error')) FROM events UNION ALL SELECT 'error texts', count(*) FROM (SELECT DISTINCT o_custkey, tag, text FROM a WHERE text IS NOT NULL) UNION ALL SELECT 'error arms', count(*) FILTER (NOT env) FROM a""")
+def constraint_counts(t):
+    f = t("lineitem").select(F.col("l_orderkey").alias("owner"), (F.col("l_linenumber") > 3).alias("of_outcome"), (F.col("l_returnflag") == "A").alias("has_outcomes"), F.expr("CASE WHEN l_quantity > 40 THEN 'x' END AS literal"), F.expr("CASE WHEN l_tax > 0.06 THEN 'p' END AS reference_path"), F.expr("CASE WHEN l_discount > 0.08 THEN 'e' END AS enum_ref"), F.expr("CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS n_keys"))
+    e = t("events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("tag"), F.expr("CASE event_type WHEN 'click' THEN 'reference' WHEN 'view' THEN 'client_error' WHEN 'error' THEN 'server_error' ELSE event_type END AS kind"))
+    a = t("orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("tag"), F.lit(None).cast("string").alias("name"), F.expr("CASE WHEN o_totalprice > 100000 THEN o_orderpriority END AS text"), (F.col("o_totalprice") > 300000).alias("envelope"))
+    return contracts.constraint_counts(f, e, e, a)
+
+
+@_query("""SELECT b.p AS start, p_partkey FROM (SELECT DISTINCT substring(p_type, 1, 5) AS p FROM part) b JOIN part ON starts_with(p_type, b.p) AND length(p_type) > length(b.p)""")
+def names_that_begin(t):
+    p = t("part")
+    return lookup.begins_with(p.select(F.substring("p_type", 1, 5).alias("start")).distinct(), "start", p.select("p_partkey", "p_type"), "p_type").select("start", "p_partkey")
+
+
+@_query("""SELECT reason, count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_linenumber, CASE WHEN c.r_regionkey IS NULL THEN 'missing' WHEN c.r_name > 'B' THEN 'not text' WHEN l_returnflag <> 'R' THEN 'guard' END AS reason FROM lineitem LEFT JOIN region c ON c.r_regionkey = l_linenumber - 1) WHERE reason IS NOT NULL GROUP BY 1""")
+def dropped_links(t):
+    """Links that don't resolve, by reason; a place counts once."""
+    c = t("region").select(F.col("r_regionkey").alias("k"), F.array(F.lit("R")).alias("v"), (F.col("r_name") <= "B").alias("ok"))
+    a = t("lineitem").select("l_suppkey", "l_linenumber", (F.col("l_linenumber") - 1).alias("k"), F.col("l_returnflag").alias("g"))
+    return lookup.drop_counts(lookup.resolved_enum(a, c, ["k"], "g", "v", "ok"), ["l_suppkey", "l_linenumber"])
+
+
+@_query("""WITH f AS (SELECT s_suppkey, s_nationkey, n_regionkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS x1, 'get' AS y1, CASE WHEN r_regionkey > 1 THEN r_name END AS x2, CASE WHEN r_regionkey = 2 THEN 'set' ELSE 'get' END AS y2, CASE WHEN n_nationkey < 12 THEN 'user' END AS t1, CASE WHEN r_regionkey < 2 THEN 'group' END AS t2 FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT 's' || s_suppkey AS module, CASE WHEN x1 IS NULL OR x2 IS NULL THEN coalesce(x1, x2) END AS xmlns, CASE WHEN y1 = y2 THEN y1 END AS type, CASE WHEN t1 IS NOT NULL AND t2 IS NOT NULL THEN 'Unknown' ELSE coalesce(t1, t2) END AS target, CASE WHEN t1 IS NOT NULL AND t2 IS NOT NULL THEN NULL WHEN t1 IS NOT NULL THEN 'n/to' WHEN t2 IS NOT NULL THEN 'n/r/jid' END AS target_path FROM f
+UNION ALL SELECT 'n' || n_nationkey, CASE WHEN r_regionkey > 1 THEN r_name END, CASE WHEN r_regionkey = 2 THEN 'set' ELSE 'get' END, CASE WHEN r_regionkey < 2 THEN 'group' END, CASE WHEN r_regionkey < 2 THEN 'r/jid' END FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def inherited_envelopes(t):
+    """Suppliers reach their nation's fragment and its region's; what they inherit, with composed paths."""
+    s, n, r = t("supplier"), t("nation"), t("region")
+    edges = s.select(F.expr("'s' || s_suppkey AS module"), F.expr("'n' || s_nationkey AS callee"), F.lit("n").alias("path")).unionByName(n.select(F.expr("'n' || n_nationkey AS module"), F.expr("'r' || n_regionkey AS callee"), F.lit("r").alias("path")))
+    fn = n.select(F.expr("'n' || n_nationkey AS callee"), F.expr("CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS xmlns"), F.lit("get").alias("type"), F.expr("CASE WHEN n_nationkey < 12 THEN 'user' END AS target"), F.expr("CASE WHEN n_nationkey < 12 THEN 'to' END AS target_path"))
+    fr = r.select(F.expr("'r' || r_regionkey AS callee"), F.expr("CASE WHEN r_regionkey > 1 THEN r_name END AS xmlns"), F.expr("CASE WHEN r_regionkey = 2 THEN 'set' ELSE 'get' END AS type"), F.expr("CASE WHEN r_regionkey < 2 THEN 'group' END AS target"), F.expr("CASE WHEN r_regionkey < 2 THEN 'jid' END AS target_path"))
+    return contracts.contributions(edges, fn.unionByName(fr))
+
+
+@_query("""WITH d AS (SELECT c_mktsegment AS g, 'removed' AS side, c_name AS n FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_mktsegment, 'added', c_name FROM customer WHERE c_acctbal >= 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY g, side ORDER BY n) AS k, count(*) OVER (PARTITION BY g, side) AS m FROM d),
+l AS (SELECT g, side, 0 AS last, n AS x, CASE side WHEN 'added' THEN '+ ' ELSE '- ' END || n AS line FROM r WHERE k <= 40 UNION ALL SELECT DISTINCT g, side, 1, '', CASE side WHEN 'added' THEN '+ ' ELSE '- ' END || 'and ' || (m - 40) || ' more' FROM r WHERE m > 40 UNION ALL SELECT DISTINCT g, NULL, -1, '', g || ':' FROM d)
+SELECT CAST(row_number() OVER (ORDER BY g, side NULLS FIRST, last, x) AS INTEGER) AS ord, line FROM l""")
+def report_lines(t):
+    """A report of names that came and went, capped for each side."""
+    c = t("customer").select(F.col("c_mktsegment").alias("g"), F.expr("CASE WHEN c_acctbal < 0 THEN 'removed' ELSE 'added' END AS side"), F.col("c_name").alias("n"))
+    return catalog.diff_report(c, "g", "n")

@@ -172,3 +172,27 @@ def response_shapes(t):
     )
     m = t("nation").select(F.lit(0).alias("bundle"), F.col("n_nationkey").alias("ord"), _define(F.concat(F.lit("Q"), k, F.lit(".graphql")), F.lit(""), body, F.col("n_nationkey")).alias("text"))
     return responses.response_shapes(_split(m))
+
+
+_E = {"read": lambda m, n: {"expr": "read", "method": m, "name": n}, "local": lambda k: {"expr": "local", "local": k}, "text": lambda v: {"expr": "string", "value": v}}
+_ENVELOPE = {
+    "prefix": [
+        {"op": "evaluate", "value": _E["read"]("assertTag", "order")},
+        {"op": "bind", "local": 0, "value": _E["read"]("attrString", "status")},
+        {"op": "bind", "local": 1, "value": {"expr": "null"}},
+        {"op": "tryDiagnostic", "messageParts": ["no big: ", ""], "body": [{"op": "evaluate", "value": {"expr": "assign", "local": 1, "value": _E["read"]("attrString", "big")}}]},
+        {"op": "evaluate", "value": {"expr": "logical", "operator": "and", "left": {"expr": "binary", "operator": "strictEqual", "left": _E["local"](0), "right": _E["text"]("P")}, "right": {"expr": "reject", "message": {"expr": "binary", "operator": "add", "left": _E["text"]("pending, big "), "right": _E["local"](1)}}}},
+    ],
+    "projection": {"expr": "object", "fields": [{"name": "s", "value": _E["local"](0)}, {"name": "b", "value": {"expr": "conditional", "condition": {"expr": "binary", "operator": "nullishNotEqual", "left": _E["local"](1), "right": {"expr": "null"}}, "thenValue": _E["local"](1), "elseValue": {"expr": "undefined"}}}, {"name": "m", "value": _E["read"]("maybeAttrString", "none")}]},
+}
+
+
+@_query("""WITH o AS (SELECT o_orderkey, o_custkey % 7 = 0 AS odd, o_orderstatus AS s, CASE WHEN o_totalprice > 150000 THEN o_orderpriority END AS b FROM orders)
+SELECT o_orderkey, CASE WHEN odd OR s = 'P' THEN NULL ELSE '{"s": "' || s || '"' || CASE WHEN b IS NULL THEN '' ELSE ', "b": "' || b || '"' END || ', "m": null}' END AS value, CASE WHEN odd THEN 'expected tag order, found other' WHEN s = 'P' THEN 'pending, big ' || coalesce(b, 'null') END AS rejected,
+CASE WHEN NOT odd AND b IS NULL THEN 'no big: missing attribute big' ELSE '' END AS diagnostics FROM o""")
+def envelope_program(t):
+    """A program of reads, bindings, refusals and a projection over nodes."""
+    attrs = F.struct(F.col("o_orderstatus").alias("status"), F.when(F.col("o_totalprice") > 150000, F.col("o_orderpriority")).alias("big"))
+    node = F.to_json(F.struct(F.when(F.col("o_custkey") % 7 == 0, "other").otherwise("order").alias("tag"), attrs.alias("attrs")))
+    got = programs.envelopes(t("orders").select("o_orderkey", node.alias("node")), "o_orderkey", "node", _ENVELOPE)
+    return got.select("o_orderkey", "value", "rejected", F.array_join("diagnostics", ",").alias("diagnostics"))
