@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import bundles as sources
-from . import catalog, programs, responses
+from . import catalog, programs, responses, sync
 from .catalog_queries import _query
 
 
@@ -196,3 +196,30 @@ def envelope_program(t):
     node = F.to_json(F.struct(F.when(F.col("o_custkey") % 7 == 0, "other").otherwise("order").alias("tag"), attrs.alias("attrs")))
     got = programs.envelopes(t("orders").select("o_orderkey", node.alias("node")), "o_orderkey", "node", _ENVELOPE)
     return got.select("o_orderkey", "value", "rejected", F.array_join("diagnostics", ",").alias("diagnostics"))
+
+
+@_query("""WITH s AS (SELECT s_suppkey, s_nationkey, ['account', 'chat', 'message', 'unknown'][s_suppkey % 4 + 1] AS scope, s_acctbal > 0 AS chat FROM supplier)
+SELECT 'A' || s_suppkey AS action_key, 'act' || s_suppkey AS name, 'col' || s_nationkey AS collection, CASE WHEN s_suppkey % 3 = 0 THEN 7 ELSE s_nationkey END AS version, scope, 'f' || s_nationkey AS value_field,
+'literal:act' || s_suppkey || CASE scope WHEN 'account' THEN '' WHEN 'message' THEN ',jid:remote,string:id,boolString:fromMe,jidOrZero:participant' WHEN 'chat' THEN CASE WHEN chat THEN ',jid:chatJid' ELSE ',string:key1' END ELSE CASE WHEN chat THEN ',jid:chatJid' ELSE ',string:key1' END || ',string:key2' END AS parts FROM s""")
+def synced_actions(t):
+    """Handlers of synced actions: names, collections and versions by constants, and the layout of their index."""
+    s, n = t("supplier"), t("nation")
+    k, nk = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    const = 'o("WAWebSyncdConst")'
+    base = F.element_at(F.array(*map(F.lit, ("Account", "Chat", "Message", "Other"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    version = F.when(F.col("s_suppkey") % 3 == 0, F.lit(f"{const}.MAX")).otherwise(nk)
+    body = F.concat(
+        F.lit("var e=(function(e){function t(){var n;n=e.call.apply(e,[this]);n.collectionName=" + const + ".CollectionName.C"), nk, F.when(F.col("s_acctbal") > 0, ",n.chatJidIndex=1").otherwise(""), F.lit(";return n}t.getAction=function(){return " + const + ".Actions.A"), k,
+        F.lit("};t.getVersion=function(){return "), version, F.lit("};t.run=function(x){"), F.when(F.col("s_suppkey") % 4 == 3, "var p=x.indexParts;p[2];").otherwise(""), F.lit('return o("U").buildPendingMutation({value:{f'), nk, F.lit(':1}})};return t})(o("WAWebSyncdAction").'), base, F.lit("SyncdActionBase);l.default=e;"),
+    )
+    handlers = s.select(F.expr("s_suppkey div 20").alias("bundle"), k.alias("ord"), _define(F.concat(F.lit("H"), k, F.lit("Sync")), F.lit(""), body, F.col("s_suppkey")).alias("text"))
+    text = lambda rows, order, one: rows.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, one.alias("x")))), lambda y: y["x"]), ",").alias("x"))
+    named = text(s, "s_suppkey", F.concat(F.lit("A"), k, F.lit(':"act'), k, F.lit('"'))).select(F.lit("a").alias("o"), F.concat(F.lit('var g=o("$InternalEnum")({'), "x", F.lit("}),")).alias("y"))
+    places = text(n, "n_nationkey", F.concat(F.lit("C"), F.col("n_nationkey").cast("string"), F.lit(':"col'), F.col("n_nationkey").cast("string"), F.lit('"'))).select(F.lit("b").alias("o"), F.concat(F.lit('h=o("$InternalEnum")({'), "x", F.lit("});l.Actions=g;l.CollectionName=h;l.MAX=7;")).alias("y"))
+    constants = named.unionByName(places).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "y"))), lambda z: z["y"]), "").alias("body"))
+    listed = text(s, "s_suppkey", F.concat(F.lit('"H'), k, F.lit('Sync"')))
+    extra = constants.select(_define(F.lit("WAWebSyncdConst"), F.lit('"$InternalEnum"'), F.col("body"), F.lit(1)).alias("text")).unionByName(listed.select(_define(F.lit("WAWebCollectionHandlerActions"), F.col("x"), F.lit(""), F.lit(2)).alias("text")))
+    m = handlers.unionByName(extra.select(F.lit(-1).cast("long").alias("bundle"), F.md5("text").alias("ord"), "text"))
+    got = sync.actions(_split(m))
+    parts = F.array_join(F.transform("index_parts", lambda x: F.concat_ws(":", x["kind"], x["name"])), ",")
+    return got.select("action_key", "name", "collection", "version", "scope", "value_field", parts.alias("parts"))
