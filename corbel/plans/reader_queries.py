@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import bundles as sources
-from . import catalog, programs, responses, sync
+from . import catalog, programs, responses, sync, telemetry
 from .catalog_queries import _query
 
 
@@ -223,3 +223,28 @@ def synced_actions(t):
     got = sync.actions(_split(m))
     parts = F.array_join(F.transform("index_parts", lambda x: F.concat_ws(":", x["kind"], x["name"])), ",")
     return got.select("action_key", "name", "collection", "version", "scope", "value_field", parts.alias("parts"))
+
+
+@_query("""SELECT 'global' AS what, 'g' || s_suppkey AS name, s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'regular' WHEN 1 THEN 'private,realtime' END AS detail FROM supplier WHERE s_suppkey % 3 < 2
+UNION ALL SELECT 'group', n_name, n_nationkey, CAST(n_regionkey - 1 AS VARCHAR) FROM nation UNION ALL SELECT 'group', 'late', 99, '-1' UNION ALL SELECT 'constant', r_name, r_regionkey, '' FROM region
+UNION ALL SELECT 'gap', 'global with an unreadable channel list', count(*), '' FROM supplier WHERE s_suppkey % 3 = 2""")
+def telemetry_buffers(t):
+    """Globals with their channels, private groups of the table and further ones, and constants."""
+    s, n, r = t("supplier"), t("nation"), t("region")
+    k = F.col("s_suppkey").cast("string")
+    text = lambda rows, order, one: rows.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, one.alias("x")))), lambda y: y["x"]), ",").alias("x"))
+    channels = F.element_at(F.array(*map(F.lit, ("", ',["private","realtime"]', ",[q]"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    one = F.concat(F.lit("g"), k, F.lit(":["), k, F.lit(',o("WAWebWamCodegenUtils").TYPES.INTEGER'), channels, F.lit("]"))
+    chunk = s.withColumn("b", F.expr("s_suppkey div 20")).groupBy("b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", one.alias("x")))), lambda y: y["x"]), ",").alias("x"))
+    codegen = F.lit('"WAWebWamCodegenUtils"')
+    globals_ = chunk.select(F.col("b").alias("bundle"), F.concat(F.lit("G"), F.col("b").cast("string")).alias("ord"), _define(F.concat(F.lit("G"), F.col("b").cast("string")), codegen, F.concat(F.lit('var v=o("WAWebWamCodegenUtils").defineGlobal({'), "x", F.lit("});")), F.lit(1)).alias("text"))
+    groups = text(n, "n_nationkey", F.concat(F.lit('{key:"'), "n_name", F.lit('",keyHashInt:'), F.col("n_nationkey").cast("string"), F.lit(",rotationPeriodDays:"), (F.col("n_regionkey") - 1).cast("string"), F.lit("}")))
+    table = groups.select(_define(F.lit("Tab"), codegen, F.concat(F.lit("var defineGlobal=1,p=["), "x", F.lit("];l.PrivateStatsAllIds=p;")), F.lit(1)).alias("text"))
+    late = r.sparkSession.createDataFrame([("",)], "x string").select(_define(F.lit("Late"), F.lit(""), F.lit('var a=o("Tab").PrivateStatsAllIds;h.late=99;d.late={rotationPeriodDays:-1};h.same=3;d.same={rotationPeriodDays:5};'), F.lit(1)).alias("text"))
+    constants = text(r, "r_regionkey", F.concat(F.lit("l."), F.replace("r_name", F.lit(" "), F.lit("_")), F.lit("="), F.col("r_regionkey").cast("string"))).select(_define(F.lit("WAWebWamConstants"), F.lit(""), F.concat(F.replace("x", F.lit(","), F.lit(";")), F.lit(";")), F.lit(1)).alias("text"))
+    rest = table.unionByName(late).unionByName(constants).select(F.lit(-1).cast("long").alias("bundle"), F.md5("text").alias("ord"), "text")
+    g, p, c, gaps = telemetry.buffer_catalog(_split(globals_.unionByName(rest)))
+    row = lambda df, what, name, at, detail: df.select(F.lit(what).alias("what"), name.alias("name"), at.alias("id"), detail.alias("detail"))
+    out = row(g, "global", F.col("name"), F.col("id"), F.array_join("channels", ",")).unionByName(row(p, "group", F.col("key"), F.col("id"), F.col("days").cast("string")))
+    out = out.unionByName(row(c, "constant", F.replace("name", F.lit("_"), F.lit(" ")), F.col("value"), F.lit("")))
+    return out.unionByName(row(gaps, "gap", F.col("reason"), F.col("n"), F.lit("")))
