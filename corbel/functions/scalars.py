@@ -103,6 +103,11 @@ def _chosen(key: Column, table: dict[str, str]) -> Column:
     return reduce(lambda c, p: c.when(key == p[0], p[1]), pairs, F.when(key == first, value))
 
 
+def plain_name(name: str) -> str:
+    """maybeAttrInt is attrInt, as a plain text."""
+    return name[5].lower() + name[6:] if name.startswith("maybe") and len(name) > 5 else name
+
+
 def plain_accessor(name: Column) -> Column:
     """maybeAttrInt is attrInt, as far as its type goes."""
     tail = F.substring(name, 6, 1 << 30)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import bundles as sources
-from . import catalog, programs, responses, sync, telemetry
+from . import actions, catalog, programs, responses, sync, telemetry
 from .catalog_queries import _query
 
 
@@ -248,3 +248,28 @@ def telemetry_buffers(t):
     out = row(g, "global", F.col("name"), F.col("id"), F.array_join("channels", ",")).unionByName(row(p, "group", F.col("key"), F.col("id"), F.col("days").cast("string")))
     out = out.unionByName(row(c, "constant", F.replace("name", F.lit("_"), F.lit(" ")), F.col("value"), F.lit("")))
     return out.unionByName(row(gaps, "gap", F.col("reason"), F.col("n"), F.lit("")))
+
+
+@_query("""WITH s AS (SELECT s_nationkey AS n, s_suppkey AS k, s_acctbal > 0 AS big FROM supplier)
+SELECT 'H' || n AS module, 'tag' || k AS wire_tag, 'type' || n AS action_type, 'subject' AS name, 'attrString' AS accessor, 'subject' AS wire_name, 'string' AS type, true AS required FROM s
+UNION ALL SELECT 'H' || n, 'tag' || k, 'type' || n, 'duration', 'attrInt', 'expiration', 'integer', false FROM s WHERE big UNION ALL SELECT 'H' || n, 'tag' || k, 'type' || n, 'who', 'maybeAttrUserJid', 'who', 'userJid', false FROM s
+UNION ALL SELECT 'H' || n, 'tag' || k, 'type' || n, 'fixed', NULL, NULL, 'v' || n, NULL FROM s""")
+def notification_actions(t):
+    """Arms of handlers: two branches each, folded; a name that they read differently goes, one that only one has isn't required."""
+    s, n = t("supplier"), t("nation")
+    k, nk = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    kind, common = 'actionType:o("Consts").KIND.K', 'subject:e.attrString("subject"),who:e.maybeAttrUserJid("who"),fixed:"v'
+    arm = F.concat(
+        F.lit('case o("Consts").TAG.T'), k, F.lit(":if(e.hasChild(\"x\"))return{" + kind), nk, F.lit("," + common), nk, F.lit('",odd:e.attrInt("a")'), F.when(F.col("s_acctbal") > 0, ',duration:e.attrInt("expiration")').otherwise(""),
+        F.lit("};return{" + kind), nk, F.lit("," + common), nk, F.lit('",odd:e.attrInt("b"),gone:f(e)};'),
+    )
+    chunk = s.groupBy(F.col("s_nationkey").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", arm.alias("x")))), lambda y: y["x"]), "").alias("x"))
+    handlers = chunk.select(F.expr("n div 10").alias("bundle"), F.col("n").cast("string").alias("ord"), _define(F.concat(F.lit("H"), F.col("n").cast("string")), F.lit('"Consts"'), F.concat(F.lit("function h(e){switch(e.tag()){"), "x", F.lit("default:return null}}l.handle=h;")), F.lit(1)).alias("text"))
+    text = lambda rows, order, one: rows.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, one.alias("x")))), lambda y: y["x"]), ",").alias("x"))
+    tags = text(s, "s_suppkey", F.concat(F.lit("T"), k, F.lit(':"tag'), k, F.lit('"'))).select(F.lit("a").alias("o"), F.concat(F.lit("l.TAG=Object.freeze({"), "x", F.lit("});")).alias("y"))
+    kinds = text(n, "n_nationkey", F.concat(F.lit("K"), F.col("n_nationkey").cast("string"), F.lit(':"type'), F.col("n_nationkey").cast("string"), F.lit('"'))).select(F.lit("b").alias("o"), F.concat(F.lit("var q={"), "x", F.lit("};l.KIND=q;")).alias("y"))
+    consts = tags.unionByName(kinds).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "y"))), lambda z: z["y"]), "").alias("body"))
+    m = handlers.unionByName(consts.select(F.lit(-1).cast("int").alias("bundle"), F.lit("c").alias("ord"), _define(F.lit("Consts"), F.lit(""), F.col("body"), F.lit(1)).alias("text")))
+    fields, fixed, _ = actions.actions(_split(m))
+    none = F.lit(None).cast("string")
+    return fields.unionByName(fixed.select("module", "wire_tag", "action_type", "name", none.alias("accessor"), none.alias("wire_name"), F.col("value").alias("type"), F.lit(None).cast("boolean").alias("required")))
