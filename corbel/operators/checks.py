@@ -139,6 +139,82 @@ def field_rules(fields: DataFrame) -> list[DataFrame]:
     ]
 
 
+#: Accessors that give bytes of a known number, types that accessors may give, and what may happen to values outside an enum.
+WIDTH_ACCESSORS = ("contentUint", "contentBytes", "contentBytesRange", "contentLiteralBytes")
+POLICIES = ("null", "reject", "unclassified")
+
+
+def content_rules(fields: DataFrame) -> list[DataFrame]:
+    """fields(owner, path, type, method, n_children, literal, byte_length, byte_length_source, const_value, value_source, reference_path, unknown_policy, unions array<string>): what a field says of itself holds together."""
+    key, has = ["owner", "path"], lambda c: F.col(c).isNotNull()
+    from ..functions.scalars import accessor_type, pascal_case
+
+    hex_ = F.col("literal").rlike("^(?:[0-9a-f]{2})*$")
+    scalar = F.col("method").isNull() & (F.coalesce("n_children", F.lit(0)) > 0) & (F.col("type") != "node")
+    node = (F.col("type") == "node") & (has("method") | (F.coalesce("n_children", F.lit(0)) < 1))
+    named = F.filter("unions", lambda n: n != "")
+    kinds = F.transform(named, lambda n: pascal_case(n))
+    known = accessor_type(F.col("method"))
+    return [
+        row_rule(fields, "integer literal", key, (F.col("type") == "integer") & ~F.col("literal").rlike("^-?(?:0|[1-9][0-9]*)$"), "not a decimal integer"),
+        row_rule(fields, "bytes literal", key, (F.col("type") == "bytes") & ~hex_, "not lower-case hex bytes"),
+        row_rule(fields, "bytes literal length", key, (F.col("type") == "bytes") & hex_ & (F.length("literal") != 2 * F.col("byte_length")), "length differs from the field's"),
+        row_rule(fields, "literal and reference", key, has("literal") & (F.coalesce("reference_path", F.lit("")) != ""), "fixed to a value and to the request"),
+        row_rule(fields, "reference path", key, F.col("reference_path") == "", "an empty path"),
+        row_rule(fields, "accessor type", key, has("method") & (known != "string") & (F.col("type") != known), "a type that its accessor doesn't give"),
+        row_rule(fields, "byte width", key, has("byte_length") & has("method") & ~F.col("method").isin(*WIDTH_ACCESSORS), "a width on an accessor without one"),
+        row_rule(fields, "width source", key, has("byte_length_source") & F.col("byte_length").isNull(), "a source without the value"),
+        row_rule(fields, "value source", key, has("value_source") & F.col("const_value").isNull(), "a source without the value"),
+        row_rule(fields, "container", key, scalar, "children under a scalar type"),
+        row_rule(fields, "node", key, node, "a node reads nothing itself and has children"),
+        row_rule(fields, "policy", key, has("unknown_policy") & ~F.col("unknown_policy").isin(*POLICIES), "not a known policy"),
+        row_rule(fields, "union name", key, F.size(named) < F.size("unions"), "an alternative without a name"),
+        row_rule(fields, "union names", key, F.size(F.array_distinct(kinds)) < F.size(kinds), "alternatives that become one"),
+    ]
+
+
+def member_rules(members: DataFrame, refs: DataFrame) -> list[DataFrame]:
+    """members(module, name, value_kind, member, value), refs(owner, module): members have the kind of their enum and, of integers, a value each; a reference by module finds one definition, with members."""
+    key = ["module", "name"]
+    number = F.col("value").rlike("^-?[0-9]+$")
+    per = members.filter("value_kind = 'int'").select(*key, "member", "value").distinct()
+    defs = members.groupBy("module").agg(F.count_distinct("name").alias("_n"), F.count("member").alias("_m"))
+    both = refs.join(defs, "module")
+    return [
+        row_rule(members, "member kind", [*key, "member"], (F.col("value_kind") == "int") & ~F.coalesce(number, F.lit(False)), "a value of another kind"),
+        duplicate_keys(members, "member twice", [*key, "member"]),
+        duplicate_keys(per, "member value", [*key, "value"]),
+        fk_violations(refs, "enum module", ["owner"], ["module"], defs, ["module"]),
+        row_rule(both, "enum module", ["owner"], F.col("_n") > 1, "several definitions"),
+        row_rule(both, "enum module", ["owner"], F.col("_m") < 1, "no members"),
+    ]
+
+
+def action_index_rules(actions: DataFrame, collections: DataFrame, fields: DataFrame, proto_enums: DataFrame) -> list[DataFrame]:
+    """actions(name, scope, collection, value_field, value_type, chat_jid_index, index_kinds array<string>, first_part, enum_paths array<string>), collections(name), fields(field, type), proto_enums(path)."""
+    from ..functions.scalars import pascal_case
+
+    last = lambda c: F.element_at(F.split(c, "[.]"), -1)
+    at = F.coalesce("chat_jid_index", F.lit(0)).cast("int")
+    inside = F.col("chat_jid_index").between(0, F.size("index_kinds") - 1)
+    f = fields.select(F.col("field").alias("value_field"), F.col("type").alias("_type"))
+    typed = actions.filter("value_field IS NOT NULL AND value_type IS NOT NULL")
+    paths = actions.select("name", F.explode("enum_paths").alias("path"))
+    return [
+        duplicate_keys(collections, "collection twice", ["name"]),
+        collides_after(collections.distinct(), "collection names", "name", pascal_case(F.col("name"))),
+        collides_after(actions.select("scope").distinct(), "scope names", "scope", pascal_case(F.col("scope"))),
+        fk_violations(actions.withColumn("collection", F.coalesce("collection", F.lit("regular"))), "action collection", ["name"], ["collection"], collections, ["name"]),
+        fk_violations(typed, "action value field", ["name"], ["value_field"], f, ["value_field"]),
+        row_rule(typed.join(f, "value_field"), "action value type", ["name"], last("_type") != last("value_type"), "declared with another type"),
+        fk_violations(paths, "action enum", ["name"], ["path"], proto_enums, ["path"]),
+        row_rule(actions, "chat index", ["name"], F.col("chat_jid_index").isNotNull() & ~inside, "not a position of the index"),
+        row_rule(actions, "chat index kind", ["name"], inside & (F.get("index_kinds", at) != "jid"), "not an address"),
+        row_rule(actions, "index start", ["name"], F.coalesce(F.get("index_kinds", F.lit(0)) != "literal", F.lit(True)), "begins without a literal"),
+        row_rule(actions, "index name", ["name"], (F.get("index_kinds", F.lit(0)) == "literal") & (F.col("first_part") != F.col("name")), "begins with another name"),
+    ]
+
+
 def constant_rules(consts: DataFrame) -> list[DataFrame]:
     """consts(key, const_bytes, byte_length)."""
     good = F.col("const_bytes").rlike("^([0-9a-f]{2})*$")

@@ -362,3 +362,18 @@ def report_lines(t):
     """A report of names that came and went, capped for each side."""
     c = t("customer").select(F.col("c_mktsegment").alias("g"), F.expr("CASE WHEN c_acctbal < 0 THEN 'removed' ELSE 'added' END AS side"), F.col("c_name").alias("n"))
     return catalog.diff_report(c, "g", "n")
+
+
+@_query(f"""WITH f AS (SELECT l_orderkey AS owner, 'n' || l_linenumber || '-' || l_partkey AS path, CASE WHEN l_returnflag = 'A' THEN 'integer' WHEN l_returnflag = 'N' THEN 'bytes' ELSE 'node' END AS type, CASE WHEN l_linestatus = 'O' THEN 'contentUint' END AS method, l_linenumber % 3 AS kids, CASE WHEN l_quantity > 25 THEN '0' || l_linenumber END AS lit, CASE WHEN l_tax > 0.05 THEN 1 END AS w, CASE WHEN l_discount > 0.07 THEN 'x' END AS src FROM lineitem)
+SELECT {_says('integer literal', "owner || '|' || path", "'not a decimal integer'")} FROM f WHERE type = 'integer' AND lit IS NOT NULL UNION ALL SELECT {_says('accessor type', "owner || '|' || path", "'a type that its accessor doesn''t give'")} FROM f WHERE method IS NOT NULL AND type <> 'integer'
+UNION ALL SELECT {_says('width source', "owner || '|' || path", "'a source without the value'")} FROM f WHERE src IS NOT NULL AND w IS NULL UNION ALL SELECT {_says('container', "owner || '|' || path", "'children under a scalar type'")} FROM f WHERE method IS NULL AND kids > 0 AND type <> 'node'
+UNION ALL SELECT {_says('node', "owner || '|' || path", "'a node reads nothing itself and has children'")} FROM f WHERE type = 'node' AND (method IS NOT NULL OR kids < 1)""")
+def content_rules(t):
+    """What fields say of themselves, over all nodes."""
+    none = F.lit(None).cast("string")
+    f = t("lineitem").select(
+        F.col("l_orderkey").alias("owner"), F.expr("'n' || l_linenumber || '-' || l_partkey AS path"), F.expr("CASE WHEN l_returnflag = 'A' THEN 'integer' WHEN l_returnflag = 'N' THEN 'bytes' ELSE 'node' END AS type"), F.expr("CASE WHEN l_linestatus = 'O' THEN 'contentUint' END AS method"),
+        (F.col("l_linenumber") % 3).alias("n_children"), F.expr("CASE WHEN l_quantity > 25 THEN '0' || l_linenumber END AS literal"), F.expr("CASE WHEN l_tax > 0.05 THEN 1 END AS byte_length"), F.expr("CASE WHEN l_discount > 0.07 THEN 'x' END AS byte_length_source"),
+        none.alias("const_value"), none.alias("value_source"), none.alias("reference_path"), none.alias("unknown_policy"), F.lit(None).cast("array<string>").alias("unions"),
+    )
+    return checks.failing(f.sparkSession, checks.content_rules(f))

@@ -73,3 +73,51 @@ def test_admission(spark):
     assert why(q.withColumns({"request_type": F.lit("set"), "target_arg_path": F.lit(None).cast("string")}), n, a, c) == ["request.envelope_disagreement", "request.target_argument_missing"]
     assert why(q, n.withColumn("repeats", F.lit(True)), a, c) == ["request.t.argument_missing", "request.t.repeat_bounds_missing", "request.t.repeat_validation_unemitted"]
     assert why(q, n, a.withColumn("kind", F.lit("string")), c.withColumn("kind", F.lit("bytes"))) == ["request.t.content_argument_missing", "request.t.x.fixed_value_validation_unemitted"]
+
+
+FIELD = dict.fromkeys(("method", "n_children", "literal", "byte_length", "byte_length_source", "const_value", "value_source", "reference_path", "unknown_policy", "unions")) | {"owner": 1, "path": "p", "type": "integer"}
+FIELDS = "owner int, path string, type string, method string, n_children int, literal string, byte_length int, byte_length_source string, const_value string, value_source string, reference_path string, unknown_policy string, unions array<string>"
+ACTION = {"name": "n", "scope": "chat", "collection": "c", "value_field": "f", "value_type": "A.B", "chat_jid_index": 1, "index_kinds": ["literal", "jid"], "first_part": "n", "enum_paths": ["E"]}
+
+
+def _fields(spark, rows):
+    names = [c.strip().split(" ")[0] for c in FIELDS.split(",")]
+    return spark.createDataFrame([tuple((FIELD | {"path": str(k)} | r)[n] for n in names) for k, r in enumerate(rows)], FIELDS)
+
+
+def test_fields_hold_together(spark):
+    good = [{"literal": "-12"}, {"type": "bytes", "literal": "00ff", "byte_length": 2}, {"method": "attrInt"}, {"type": "node", "n_children": 2}, {"type": "enum", "method": "maybeAttrEnum", "unknown_policy": "reject"}, {"method": "contentUint", "byte_length": 4, "byte_length_source": "x"}, {"type": "union", "unions": ["a", "b"]}, {"reference_path": "to"}, {"type": "string", "method": "attrOther"}]
+    assert not checks.failing(spark, checks.content_rules(_fields(spark, good))).collect()
+    bad = [
+        ({"literal": "1_0"}, "integer literal"), ({"type": "bytes", "literal": "0F"}, "bytes literal"), ({"type": "bytes", "literal": "0f", "byte_length": 2}, "bytes literal length"), ({"literal": "1", "reference_path": "to"}, "literal and reference"),
+        ({"reference_path": ""}, "reference path"), ({"type": "string", "method": "attrInt"}, "accessor type"), ({"method": "attrInt", "byte_length": 4}, "byte width"), ({"byte_length_source": "x"}, "width source"), ({"value_source": "x"}, "value source"),
+        ({"n_children": 1}, "container"), ({"type": "node"}, "node"), ({"unknown_policy": "maybe"}, "policy"), ({"type": "union", "unions": ["a", ""]}, "union name"), ({"type": "union", "unions": ["foo_bar", "fooBar", "foo-Bar"]}, "union names"),
+    ]
+    got = {r.key: r.rule for r in checks.failing(spark, checks.content_rules(_fields(spark, [r for r, _ in bad]))).collect()}
+    assert got == {f"1|{k}": rule for k, (_, rule) in enumerate(bad)}
+
+
+def test_members(spark):
+    m = "module string, name string, value_kind string, member string, value string"
+    ok = [("m", "n", "int", "A", "1"), ("m", "n", "int", "B", "2"), ("t", "n", "string", "A", "x")]
+    r = spark.createDataFrame([(1, "m")], "owner int, module string")
+    assert not checks.failing(spark, checks.member_rules(spark.createDataFrame(ok, m), r)).collect()
+    rules = lambda rows, refs=r: {x.rule for x in checks.failing(spark, checks.member_rules(spark.createDataFrame(rows, m), refs)).collect()}
+    assert rules([*ok, ("m", "n", "int", "C", "x")]) == {"member kind"} and rules([*ok, ("m", "n", "int", "C", "2")]) == {"member value"}
+    assert rules([*ok, ("m", "n", "int", "B", "3")]) == {"member twice"} and rules([*ok, ("m", "o", "int", "C", "9")]) == {"enum module"}
+    assert rules(ok, spark.createDataFrame([(1, "gone")], "owner int, module string")) == {"enum module"}
+
+
+def test_action_indexes(spark):
+    schema = "name string, scope string, collection string, value_field string, value_type string, chat_jid_index long, index_kinds array<string>, first_part string, enum_paths array<string>"
+    one = lambda rows, names: spark.createDataFrame([(x,) for x in rows], names)
+    fields = spark.createDataFrame([("f", "B"), ("g", "C")], "field string, type string")
+
+    def rules(change, collections=("c", "regular")):
+        row = spark.createDataFrame([tuple((ACTION | change)[c.strip().split(" ")[0]] for c in schema.split(","))], schema)
+        return {x.rule for x in checks.failing(spark, checks.action_index_rules(row, one(collections, "name string"), fields, one(["E"], "path string"))).collect()}
+
+    assert rules({}) == set() and rules({"collection": None, "chat_jid_index": None}) == set()
+    cases = {"action collection": {"collection": "x"}, "action value field": {"value_field": "z"}, "action value type": {"value_field": "g"}, "action enum": {"enum_paths": ["F"]}, "chat index": {"chat_jid_index": 2}, "chat index kind": {"index_kinds": ["literal", "string"]}, "index start": {"index_kinds": [], "chat_jid_index": None}, "index name": {"first_part": "o"}}
+    assert {k: rules(v) for k, v in cases.items()} == {k: {k} for k in cases}
+    assert rules({}, ("c", "c", "C", "regular")) == {"collection twice", "collection names"}
