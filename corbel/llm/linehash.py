@@ -8,12 +8,13 @@ of `least` words or more goes wherever else it stands.
 A copied passage often stands within longer lines, so a second pass works on
 pieces of lines in the same way. A line is cut after the word whose value is
 smallest among any WINDOW neighbouring ones (the last of equal ones); the value
-depends on the word and the next one alone, so a passage is cut alike wherever it
-stands, and no piece is longer than WINDOW words. Pieces of later occurrences are
-removed where they make a run of `run` words or more. Of a passage of n words at
-least n - 2 * WINDOW are in pieces that all its occurrences share, so each passage
-of over 50 words is found, wherever it stands; less than WINDOW words stay at each
-of its ends. Shorter repeats, as headings, list items and common phrases are, stay.
+depends on the word and the three after it alone, so a passage is cut alike wherever
+it stands, and a piece has WINDOW words at most (the last of a line GRAM - 1 more).
+Pieces of later occurrences are removed where they make a run of `run` words or
+more. Of a passage of n words at least n - 2 * WINDOW - GRAM + 2 are in pieces that
+all its occurrences share, so each passage of over 50 words is found, wherever it
+stands; at most WINDOW + GRAM - 1 words stay at each of its ends. Shorter repeats, as
+headings, list items and common phrases are, stay.
 
 Removed spans keep the offsets that they had in the original text, in code points,
 end exclusive; white space goes with the words before it.
@@ -40,8 +41,8 @@ from pyspark.sql.types import StringType
 
 from .common import fresh, keyed, shuffled, skew_lookup, staged
 
-#: Words from which a whole line, and a run of pieces, counts as copied; words of a window.
-LEAST, RUN, WINDOW = 10, 16, 16
+#: Words from which a whole line, and a run of pieces, counts as copied; words of a window, and those that the value of one depends on.
+LEAST, RUN, WINDOW, GRAM = 10, 16, 16, 4
 BATCH = (256, 8)
 _WORD = re.compile(r"[^\x00-\x20]+")
 _LAST = (1 << 63) - 1
@@ -88,11 +89,14 @@ def units(texts: list[str], least: int = LEAST, window: int = WINDOW) -> tuple[n
     base = np.cumsum(sizes + 1) - sizes - 1
     doc = np.searchsorted(base, at, "right") - 1
     value = 7 * (end - start) + 3 * low[start].astype(np.int64) + 5 * low[end - 1].astype(np.int64)
-    two = np.flatnonzero(line[1:] == line[:-1])
-    pair = (value[two] * 1000003 + value[two + 1]).astype(np.uint64) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)
+    full = np.flatnonzero(line[GRAM - 1 :] == line[: n - GRAM + 1]) if n >= GRAM else np.zeros(0, np.int64)
+    mixed = np.zeros(len(full), np.uint64)
+    for k in range(GRAM):
+        mixed = (mixed * np.uint64(1000003) + value[full + k].astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+    mixed = mixed * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)
     last = np.append(line[1:] != line[:-1], True)
     stop = last.copy()
-    stop[two[_cuts(pair, line[two], window)]] = True
+    stop[full[_cuts(mixed, line[full], window)]] = True
     b = np.flatnonzero(stop) + 1
     a = np.append(0, b[:-1])
     lb = np.flatnonzero(last) + 1
@@ -238,7 +242,7 @@ WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '^[\x00-\x20]+|[^\x00-\
 d2 AS (SELECT doc_id, text, CASE WHEN len(t0) > 1 AND regexp_full_match(t0[1], '[\x00-\x20]+') THEN [t0[1] || t0[2]] || t0[3:] WHEN len(t0) = 1 AND regexp_full_match(t0[1], '[\x00-\x20]+') THEN [] ELSE t0 END AS t FROM d),
 w AS (SELECT doc_id, i, t[i] AS tok, lower(regexp_extract(t[i], '[^\x00-\x20]+')) AS word, contains(regexp_extract(t[i], '[\x00-\x20]*$'), chr(10)) AS nl, length(t[i]) AS l FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d2)),
 v AS (SELECT *, coalesce(sum(l) OVER a, 0) AS s, coalesce(sum(CAST(nl AS INTEGER)) OVER a, 0) AS line, CAST(7 * length(word) + 3 * unicode(word) + 5 * unicode(right(word, 1)) AS HUGEINT) AS val FROM w WINDOW a AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-p AS (SELECT *, (val * 1000003 + lead(val) OVER (PARTITION BY doc_id, line ORDER BY i)) * 2654435761 % 4294967296 AS pv FROM v),
+p AS (SELECT *, (((val * 1000003 + lead(val, 1) OVER l) % 4294967296 * 1000003 + lead(val, 2) OVER l) % 4294967296 * 1000003 + lead(val, 3) OVER l) % 4294967296 * 2654435761 % 4294967296 AS pv FROM v WINDOW l AS (PARTITION BY doc_id, line ORDER BY i)),
 q AS (SELECT doc_id, line, i, min((pv, -i)) OVER (PARTITION BY doc_id, line ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS m, count(*) OVER (PARTITION BY doc_id, line ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS n FROM p WHERE pv IS NOT NULL),
 c AS (SELECT DISTINCT doc_id, -m[2] AS i FROM q WHERE n = 16),
 b AS (SELECT p.*, coalesce(sum(CASE WHEN c.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id, line ORDER BY p.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.i),

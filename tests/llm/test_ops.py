@@ -459,7 +459,7 @@ def test_line_hashing(spark, rows):
         assert (r.text or "") == kept and (r.text is None) == (text[d] is None)
     for d in (61, 62):
         ((s, e, w, first),) = got[d].removed
-        assert first == 60 and w > 28 and text[d][s:e].strip() in passage
+        assert first == 60 and w > 25 and text[d][s:e].strip() in passage
     assert not got[60].removed and not got[70].removed
     eleven = [d for d, t in docs if lines[4] in (t or "")]
     assert [d for d in eleven if lines[4] in (got[d].text or "")] == eleven[:1]
@@ -487,7 +487,7 @@ def test_units_of_any_passage_of_51_words(spark):
             t = prose(rng, rng.randrange(40)) + " " + passage + " " + prose(rng, rng.randrange(40))
             _, kind, a, b, s, e = linehash.units([t])
             sides.append({(t[x:y].strip(), int(j - i)) for k, i, j, x, y in zip(kind, a, b, s, e) if k != linehash.WHOLE})
-            assert all(j - i <= linehash.WINDOW + 1 for k, i, j in zip(kind, a, b) if k != linehash.WHOLE)
+            assert all(j - i <= linehash.WINDOW + linehash.GRAM - 1 for k, i, j in zip(kind, a, b) if k != linehash.WHOLE)
         assert sum(n for _, n in sides[0] & sides[1]) >= linehash.RUN
 
 
