@@ -8,7 +8,8 @@ endings, prefixes and ranges (gazetteer), the words before it (context), and whe
 it stands by itself. Expectation-maximisation estimates, for each kind, how often
 each labeler is right, from the counts of the vote patterns; a logistic span
 classifier is then trained on the posteriors and compiled into a column
-expression, which decides on the proposals that no exact pattern holds.
+expression, which decides on the proposals that no exact pattern holds; what its
+form speaks against, as a failed checksum, is learned from and never added.
 
 Only counts of vote patterns reach the driver: 3^4 patterns for each kind, whatever
 the size of the corpus. They are taken over all documents.
@@ -247,8 +248,13 @@ def _votes(kind: str, spans: str) -> Column:
     return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["f"].alias("f")))
 
 
+def _accepts(f: Column, w: list[float], threshold: float) -> Column:
+    """The classifier's word, unless the form itself speaks against the span, as a checksum does."""
+    return (_score(f, w) >= threshold) & (f % 3 != 2)
+
+
 def _accepted(spans: str, w: list[float], threshold: float) -> Column:
-    return F.filter(spans, lambda x: _score(x["f"], w) >= threshold)
+    return F.filter(spans, lambda x: _accepts(x["f"], w, threshold))
 
 
 def _trained(got: DataFrame, kinds: tuple[str, ...]) -> dict[str, list[float]]:
@@ -271,7 +277,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
 
 def _replaced(pieces: Column, kind: str, weights: list[float] | None, threshold: float) -> Column:
     """The pieces with the matches that hold, or that the classifier accepts, replaced."""
-    goes = lambda x, i: _valid(kind, x) if weights is None else _score(_votes_on(kind, pieces, i, False), weights) >= threshold
+    goes = lambda x, i: _valid(kind, x) if weights is None else _accepts(_votes_on(kind, pieces, i, False), weights, threshold)
     return F.transform(pieces, lambda x, i: F.when((i % 2 == 1) & goes(x, i), f"[{kind.upper()}]").otherwise(x))
 
 
