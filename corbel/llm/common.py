@@ -12,7 +12,7 @@ import getpass
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -106,8 +106,9 @@ def release(spark: SparkSession) -> None:
 
 
 def _released_at_exit(spark: SparkSession, home: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        _delete(spark, home)
+    with suppress(Exception):  # the session may be gone already
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, home)
 
 
 def fresh(docs: DataFrame, *names: str) -> list[str]:

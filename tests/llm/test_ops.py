@@ -531,6 +531,29 @@ def test_winnowing(spark):
     assert winnow.op10_rows(table(spark, [])).count() == 0
 
 
+def test_winnowing_of_long_lines(spark):
+    """A long line that stands earlier goes, whatever stands around it; short ones need a run."""
+    rng = random.Random(71)
+    long, short = [prose(rng, 30) for _ in range(4)], [prose(rng, 5) for _ in range(6)]
+    docs = [(0, "\n".join([short[0], long[0], short[1]])), (1, "\n".join([prose(rng, 8), long[0].upper(), prose(rng, 8)])), (2, long[0] + "\n" + long[0]), (3, "\n".join([short[0], prose(rng, 6), short[1]])), (4, "\n".join([*short, long[1]])), (5, "\n\n" + "\n".join([*short, long[2]])), (6, None), (7, "")]
+    got = {r.doc_id: list(r.gone) for r in winnow.deduplicated(table(spark, docs)).collect()}
+    assert got[0] == [] and got[1] == [1] and got[2] == [0, 1] and got[3] == [] and got[4] == [] and set(range(2, 8)) >= set(got[5]) and len(got[5]) >= 5
+    assert sorted(map(tuple, winnow.op10_rows(table(spark, docs)).collect()), key=str) == by_sql(winnow.OP10_SQL, docs)
+
+
+def test_winnowing_of_repeated_rows_and_ids(spark):
+    rng = random.Random(72)
+    a, b = (prose(rng, 40) for _ in range(2))
+    docs = [(1, a), (1, a), (2, a), (None, b), (None, b), (3, b)]
+    got = Counter((r.doc_id, r.text) for r in winnow.deduplicated(table(spark, docs)).collect())
+    assert got == {(1, a): 1, (1, ""): 1, (2, ""): 1, (3, b): 1, (None, ""): 2}
+
+
+def test_tokens_of_repeated_rows(spark, rows, encoder):
+    got = tok.op4_rows(table(spark, [rows[0]] * 3 + [(None, "a b")]), encoder[0].path).collect()
+    assert sorted(Counter(tuple(r) for r in got).values()) == [1, 3]
+
+
 def test_quality(spark, sf):
     docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
     labels = spark.read.parquet(f"{sf}/../sf0.01/labels.parquet")
