@@ -43,7 +43,9 @@ from .common import fresh, keyed, shuffled, skew_lookup, staged
 
 #: Words from which a whole line, and a run of pieces, counts as copied; words of a window, and those that the value of one depends on.
 LEAST, RUN, WINDOW, GRAM = 10, 16, 16, 4
-BATCH = (256, 8)
+PASSAGE = 50 - WINDOW
+#: Rows and megabytes of a batch: a unit takes some hundred bytes while a batch is read.
+BATCH = (256, 2)
 _WORD = re.compile(r"[^\x00-\x20]+")
 _LAST = (1 << 63) - 1
 #: What a unit is: a piece, a line that is one piece, a line of several pieces.
@@ -127,8 +129,9 @@ def _reader(least: int):
             made = [digest(("\n" if k == WHOLE else "") + " ".join(words[i:j])) for i, j, k in zip(a.tolist(), b.tolist(), kind.tolist(), strict=True)]
             high = np.array([d >> 64 for d in made], np.uint64)
             check = np.array([d & 0xFFFFFFFF for d in made], np.int64)
-            again = np.ones(len(made), bool)
-            again[np.unique(np.rec.fromarrays([doc, high]), return_index=True)[1]] = False
+            order = np.lexsort((high, doc))  # stable: the first of equal ones stays first
+            again = np.zeros(len(made), bool)
+            again[order[1:]] = (doc[order][1:] == doc[order][:-1]) & (high[order][1:] == high[order][:-1])
             mark = (check << 26) | (kind.astype(np.int64) << 24) | np.minimum(b - a, (1 << 24) - 1)
             rows = pa.array(np.array(full, np.int32)[doc] if len(doc) else np.zeros(0, np.int32))
             columns = [*(batch.column(k).take(rows) for k in ("f", "r", "rank")), pa.array(high.view(np.int64)), pa.array(mark.astype(np.int64)), pa.array((s.astype(np.int64) << 32) | e), pa.array(again)]
@@ -138,33 +141,38 @@ def _reader(least: int):
 
 
 def _joiner(least: int, least_run: int):
-    """Of the units of a text that others have before it: the spans that go, neighbours as one, with their words and the rank of the first one's earliest place."""
-
-    def spans(found: list[dict]) -> list[dict]:
-        found = sorted((x["span"] >> 32, x["span"] & 0xFFFFFFFF, x["mark"] >> 24 & 3, x["mark"] & 0xFFFFFF, x["first"]) for x in found)
-        go, run = [], []
-        for x in [*[x for x in found if x[2] != WHOLE], None]:
-            if run and (x is None or x[0] != run[-1][1]):
-                long = sum(y[3] for y in run) >= least_run
-                go += [y for y in run if long or (y[2] == LINE and y[3] >= least)]
-                run = []
-            run.append(x)
-        go = sorted(go + [x for x in found if x[2] == WHOLE and x[3] >= least], key=lambda x: (x[0], -x[1]))
-        out: list[dict] = []
-        for s, e, _, w, first in go:
-            if out and e <= out[-1]["e"]:
-                continue
-            if out and s == out[-1]["e"]:
-                out[-1] |= {"e": e, "w": out[-1]["w"] + w}
-            else:
-                out.append({"s": s, "e": e, "w": w, "first": first})
-        return out
+    """Of the units of a text that others have before it: the spans that go, neighbours as one, with their words and the rank of the first one's earliest place. All texts of a batch at once, without a Python object for a unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind = batch.schema.field("found").type.value_type.field("first").type
-            out_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("w", pa.int32()), ("first", kind)]))
-            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("r"), pa.array([spans(x) for x in batch.column("found").to_pylist()], out_type)], ["f", "r", "spans"])
+            found = batch.column("found")
+            units_of = found.flatten()
+            sizes = np.diff(np.asarray(found.offsets))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            span, mark = (np.asarray(units_of.field(k)) for k in ("span", "mark"))
+            s, e, kind, w = span >> 32, span & 0xFFFFFFFF, mark >> 24 & 3, mark & 0xFFFFFF
+            # Pieces in order, in runs of neighbours.
+            p = np.flatnonzero(kind != WHOLE)
+            p = p[np.lexsort((s[p], doc[p]))]
+            new = np.append(True, (doc[p][1:] != doc[p][:-1]) | (s[p][1:] != e[p][:-1])) if len(p) else np.zeros(0, bool)
+            chain = np.cumsum(new) - 1
+            words = np.bincount(chain, w[p]) if len(p) else np.zeros(0)
+            p = p[(words[chain] >= least_run) | ((kind[p] == LINE) & (w[p] >= least))]
+            go = np.append(p, np.flatnonzero((kind == WHOLE) & (w >= least)))
+            go = go[np.lexsort((-e[go], s[go], doc[go]))]
+            if len(go):
+                # Pieces of a line that goes as a whole are in it already: units are nested or apart.
+                top = np.maximum.accumulate(e[go] + (doc[go].astype(np.int64) << 32))
+                go = go[np.append(True, e[go][1:] + (doc[go][1:].astype(np.int64) << 32) > top[:-1])]
+            head = np.append(True, (doc[go][1:] != doc[go][:-1]) | (s[go][1:] != e[go][:-1])) if len(go) else np.zeros(0, bool)
+            at = np.flatnonzero(head)
+            last = np.append(at[1:], len(go)) - 1
+            total = np.add.reduceat(w[go], at) if len(at) else np.zeros(0, np.int64)
+            first = units_of.field("first").take(pa.array(go[at]))
+            fields = [pa.array(s[go[at]].astype(np.int32)), pa.array(e[go[last]].astype(np.int32)), pa.array(total.astype(np.int32)), first]
+            offsets = np.append(0, np.cumsum(np.bincount(doc[go[at]], minlength=len(sizes)))).astype(np.int32)
+            spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, ["s", "e", "w", "first"]))
+            yield pa.RecordBatch.from_arrays([batch.column("f"), batch.column("r"), spans], ["f", "r", "spans"])
 
     return run
 
@@ -181,9 +189,11 @@ def _removed(docs: DataFrame, file: str, row: str, least: int, least_run: int, d
     twins = rows.groupBy("rank").count().filter("count > 1").limit(1)
     rows = rows.mapInArrow(_reader(least), f"f bigint, r bigint, rank {rank_type}, dg bigint, mark bigint, span bigint, again boolean")
     rows = staged(rows, "units", BATCH)
-    once = rows.filter("NOT again").drop("again")
+    every = rows.filter("NOT again").drop("again")
     check = F.shiftrightunsigned("mark", 26)
-    firsts = once.groupBy("dg").agg(F.min("rank").alias("first"), F.count("*").alias("cnt"), F.min(check).alias("c1"), F.max(check).alias("c2"))
+    rows = rows.withColumn("mark", F.col("mark").bitwiseAND(F.lit((1 << 26) - 1)))  # the kind and the words
+    once = rows.filter("NOT again").drop("again")
+    firsts = every.groupBy("dg").agg(F.min("rank").alias("first"), F.count("*").alias("cnt"), F.min(check).alias("c1"), F.max(check).alias("c2"))
     firsts = staged(firsts.filter("cnt > 1 AND c1 = c2").select("dg", "first", "cnt"), "firsts")  # 96 bits are equal
     total = once.count()
     salt = F.xxhash64(F.lit("none"), "f", "r", "span")
@@ -230,10 +240,10 @@ def deduplicated(docs: DataFrame, least: int = LEAST, least_run: int = RUN, doc_
 
 
 def op8_rows(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_removed (spans), n_passages (those of over 50 words), removed (start:end:first doc_id, comma-joined, original offsets in code points), kept_sha256 (of the text that is kept)."""
+    """A row for each document: doc_id, n_removed (spans), n_passages (those of PASSAGE words or more: what a passage of over 50 words leaves, but for its ends), removed (start:end:first doc_id, comma-joined, original offsets in code points), kept_sha256 (of the text that is kept)."""
     got = deduplicated(docs)
     text = F.transform("removed", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"), F.coalesce(x["first_id"].cast("string"), F.lit(""))))
-    long = F.size(F.filter("removed", lambda x: x["w"] > 50))
+    long = F.size(F.filter("removed", lambda x: x["w"] >= PASSAGE))
     return got.select("doc_id", F.size("removed").cast("long").alias("n_removed"), long.cast("long").alias("n_passages"), F.array_join(text, ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -256,7 +266,7 @@ o AS (SELECT doc_id, s, e, n, first_id FROM (SELECT *, sum(n) OVER (PARTITION BY
 x AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.kind = 2 AND g.doc_id = o.doc_id AND g.s <= o.s AND g.e >= o.e AND g.e - g.s > o.e - o.s)),
 y AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS isle FROM (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY doc_id ORDER BY s) = s THEN 0 ELSE 1 END AS fresh FROM x)),
 z AS (SELECT doc_id, isle, min(s) AS s, max(e) AS e, sum(n) AS n, arg_min(first_id, s) AS first_id FROM y GROUP BY 1, 2),
-t AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (n > 50) AS n_passages, string_agg(s || ':' || e || ':' || first_id, ',' ORDER BY s) AS removed FROM z GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (n >= 34) AS n_passages, string_agg(s || ':' || e || ':' || first_id, ',' ORDER BY s) AS removed FROM z GROUP BY doc_id),
 k AS (SELECT v.doc_id, string_agg(tok, '' ORDER BY i) AS kept FROM v WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.doc_id = v.doc_id AND v.s >= z.s AND v.s < z.e) GROUP BY v.doc_id)
 SELECT d.doc_id, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages, coalesce(removed, '') AS removed, sha256(coalesce(CASE WHEN n_removed IS NULL THEN text ELSE kept END, '')) AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
