@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import bundles as sources
-from . import actions, catalog, programs, responses, sync, telemetry
+from . import actions, catalog, flow, programs, responses, sync, telemetry
 from .catalog_queries import _query
 
 
@@ -273,3 +273,32 @@ def notification_actions(t):
     fields, fixed, _ = actions.actions(_split(m))
     none = F.lit(None).cast("string")
     return fields.unionByName(fixed.select("module", "wire_tag", "action_type", "name", none.alias("accessor"), none.alias("wire_name"), F.col("value").alias("type"), F.lit(None).cast("boolean").alias("required")))
+
+
+@_query("""SELECT 'M' || s_suppkey AS module, unnest(['a', 'b', 'c']) AS local, 'N' || s_nationkey AS owner FROM supplier WHERE s_suppkey % 3 > 0 UNION ALL SELECT 'M' || s_suppkey, 'a', 'N' || s_nationkey FROM supplier WHERE s_suppkey % 3 = 0""")
+def alias_owners(t):
+    """Names that stand for modules over chains of names; one that is given something else too stands for none."""
+    k = F.col("s_suppkey").cast("string")
+    body = F.concat(F.lit('var a=o("N'), F.col("s_nationkey").cast("string"), F.lit('"),b=a,c=b,d=e,f=1;'), F.when(F.col("s_suppkey") % 3 == 0, "b=g();").otherwise("c=a;"))
+    m = t("supplier").select(F.expr("s_suppkey div 50").alias("bundle"), F.col("s_suppkey").alias("ord"), _define(F.concat(F.lit("M"), k), F.lit('"x"'), body, F.col("s_suppkey")).alias("text"))
+    return flow.owners(_split(m))
+
+
+@_query("""WITH RECURSIVE w AS (SELECT s_suppkey AS k, 1 AS steps FROM supplier WHERE s_suppkey % 4 = 1 UNION ALL SELECT s_suppkey, 2 FROM supplier JOIN w ON s_suppkey = k + 1 WHERE s_suppkey % 4 > 1) SELECT 'M' || k AS module, 'send' AS function, steps FROM w""")
+def transport_wrappers(t):
+    """Functions that hand their first parameter to the transport, directly or through others; those that hand it to two, or elsewhere, don't count."""
+    k = F.col("s_suppkey")
+    target = F.when(k % 4 == 1, F.lit('o("Transport").send(e,t)')).when(k % 4 == 0, F.lit('o("Transport").send(t,e)')).otherwise(F.concat(F.lit('o("M'), (k - 1).cast("string"), F.lit('").send(e)')))
+    body = F.concat(F.lit("function f(e,t){return "), target, F.lit('}function g(e){o("Transport").send(e);o("Log").write(e)}l.send=f;l.both=g;'))
+    m = t("supplier").select(F.expr("s_suppkey div 50").alias("bundle"), k.alias("ord"), _define(F.concat(F.lit("M"), k.cast("string")), F.lit('"Transport"'), body, k).alias("text"))
+    return flow.wrappers(_split(m), "Transport", "send")
+
+
+@_query("""WITH m AS (SELECT n_nationkey AS k, strlen('__d("M' || n_nationkey || '",[],(function(t,n,r,o,a,i,l){') AS h, strlen(n_name) AS l FROM nation)
+SELECT 'M' || k AS module, 'retry' AS word, h + 4 AS start FROM m UNION ALL SELECT 'M' || k, 'retry', h + 4 + 5 + strlen(';var s="é') + l + strlen(' retry";') FROM m""")
+def word_inventory(t):
+    """Places of a word in code, in bytes; within texts it doesn't count."""
+    k = F.col("n_nationkey")
+    body = F.concat(F.lit('var retry;var s="é'), F.col("n_name"), F.lit(' retry";retry=1;/retry/.test(s);'))
+    m = t("nation").select(F.lit(0).alias("bundle"), k.alias("ord"), _define(F.concat(F.lit("M"), k.cast("string")), F.lit(""), body, k).alias("text"))
+    return flow.inventory(_split(m), ["retry"])
