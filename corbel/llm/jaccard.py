@@ -241,14 +241,16 @@ def _chunks(members: str, size: str) -> Column:
     return F.greatest(F.ceil(F.col(members) / BLOCK), F.ceil(F.col(size) / WORDS)).cast("int")
 
 
-def _links(sig: DataFrame, reps: DataFrame, base: DataFrame, n: int, threshold: float) -> DataFrame:
+def _links(sig: DataFrame, reps: DataFrame, base: DataFrame, bands: int, n: int, threshold: float) -> DataFrame:
     """(no, links, label): for each representative that meets another one, the documents linked with it and the smallest representative that links lead to."""
     reps = shuffled(sig.select("no", "f", "r", "bands"), reps.select(F.col("no").alias("rep"), "cnt", "n"), ["no"], ["rep"], "inner").filter("n > 0").drop("rep")
     reps = staged(reps, "representatives")
     cells = reps.select("no", "n", F.explode("bands").alias("bucket"))
     many = cells.groupBy("bucket").agg(F.min("no").alias("low"), F.count("*").alias("k")).filter("k > 1")
-    many = staged(many.withColumnRenamed("bucket", "b"), "buckets")
-    met = staged(shuffled(cells, many, ["bucket"], ["b"], "inner").drop("b"), "met")
+    many = staged(many, "buckets")
+    # A bucket, as a set of buckets, may hold a third of all representatives: its one row is looked up and not met by key.
+    salt = F.xxhash64(F.lit("none"), F.col("no"))
+    met = staged(skew_lookup(cells, many, "bucket", "k", reps.count() * bands, ["low", "k"], salt).filter("low IS NOT NULL"), "met")
     linked = components(met.filter("no <> low").select(F.col("no").alias("a"), F.col("low").alias("b")))
     linked = staged(linked.select("node", F.col("label").alias("comp")), "linked")
 
@@ -259,14 +261,14 @@ def _links(sig: DataFrame, reps: DataFrame, base: DataFrame, n: int, threshold:
     size = own.groupBy("comp").agg(F.count("*").alias("g"), F.sum("n").alias("size")).join(pairs, "comp")
     size = size.select("comp", "g", "size", _chunks("g", "size").alias("chunks"), "band_pairs")
     size = size.withColumn("by_bucket", (F.col("chunks") > 1) & (F.col("band_pairs") < F.col("g") * F.col("g")))
-    own = staged(own.join(size, "comp"), "candidates")
+    own = staged(skew_lookup(own, staged(size, "sets"), "comp", "g", linked.count(), ["chunks", "by_bucket"], salt), "candidates")
     total = own.agg(F.sum("n")).first()[0] or 0
     bins = max(64, total // WORDS)
     whole = own.filter("NOT by_bucket").select("no", "f", "r", "cnt", F.lit(None).cast("array<bigint>").alias("bands"), _unit_rows(F.col("comp"), False, F.col("chunks"), bins).alias("units"))
     split = own.filter("by_bucket").select(F.col("no").alias("rep"))
     split = met.join(split, met["no"] == split["rep"]).select("no", "bucket", "n")
-    load = split.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("g"), F.sum("n").alias("size")).select("b", _chunks("g", "size").alias("chunks"))
-    units = shuffled(split, load, ["bucket"], ["b"], "inner").groupBy("no").agg(F.flatten(F.collect_list(_unit_rows(F.col("bucket"), True, F.col("chunks"), bins))).alias("units"))  # a list for each band at most
+    load = staged(split.groupBy("bucket").agg(F.count("*").alias("g"), F.sum("n").alias("size")).select("bucket", "g", _chunks("g", "size").alias("chunks")), "loads")
+    units = skew_lookup(split, load, "bucket", "g", met.count(), ["chunks"], salt).groupBy("no").agg(F.flatten(F.collect_list(_unit_rows(F.col("bucket"), True, F.col("chunks"), bins))).alias("units"))  # a list for each band at most
     parts = own.filter("by_bucket").select("no", "f", "r", "cnt", "bands").join(units, "no")
     work = whole.unionByName(parts.select(*whole.columns)).withColumnsRenamed({"f": "f_", "r": "r_"})
 
@@ -295,7 +297,7 @@ def _classes(docs: DataFrame, file: str, row: str, threshold: float, n: int, rec
     sig = staged(made.mapInArrow(_signer(bands, rows, n), f"no bigint, f bigint, r bigint, _id {kind}, rid binary, n bigint, bands array<bigint>"), "signatures", BATCH)
     reps = sig.filter("rid IS NOT NULL").groupBy("rid").agg(F.min("no").alias("no"), F.count("*").alias("cnt"), F.max("n").alias("n"), F.min("_id").alias("first_id"))
     reps = staged(reps, "classes")
-    got = staged(_links(sig, reps, base.select("f", "r", "_t"), n, threshold).withColumnRenamed("no", "rep"), "links")
+    got = staged(_links(sig, reps, base.select("f", "r", "_t"), bands, n, threshold).withColumnRenamed("no", "rep"), "links")
     # Sequences with a copy or a link; all others stand alone.
     every = reps.join(got, reps["no"] == got["rep"], "left").filter("cnt > 1 OR rep IS NOT NULL")
     every = every.select("rid", "first_id", "cnt", (F.col("cnt") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "no").alias("label"))
