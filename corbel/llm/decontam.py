@@ -25,10 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, ascii_lower, fresh, keyed, let, shuffled, staged, words
+from .common import ascii_lower, fresh, keyed, let, shuffled, staged, words
 
 #: Runs of word characters and of others, as they stand in a text.
 _IS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _EDGE = r"(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])|(?<=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
 
 #: Words of a piece, without its overlap; hashes of the benchmark up to which their set is broadcast.
@@ -87,9 +88,10 @@ def _marks(base: DataFrame, bench: DataFrame, n: int, item_id: str, text: str) -
     piece = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(PIECE)), lambda p: F.struct(p.alias("at"), F.slice("w", p + 1, F.lit(PIECE + n - 1)).alias("w")))
     pieces = low.select("f", "r", F.explode(piece).alias("p")).select("f", "r", "p.at", "p.w")
     probes = F.concat(F.array().cast("array<bigint>"), *[_runs(F.col("w"), size, step) for _, size, step in plans])
-    seen = pieces.select("*", F.explode(probes).alias("probe"))
+    # A probe carries its piece as one text, which is copied at a quarter of the cost of its words.
+    seen = pieces.select("f", "r", "at", F.array_join("w", " ").alias("body"), F.explode(probes).alias("probe"))
     seen = seen.join(known(anchors), seen["probe"] == anchors["anchor"], "left_semi")
-    maybe = seen.groupBy("f", "r", "at").agg(F.any_value("w").alias("w"))
+    maybe = seen.groupBy("f", "r", "at").agg(F.any_value("body").alias("body")).select("f", "r", "at", F.split("body", " ").alias("w"))
     spots = F.concat(F.array().cast("array<struct<s:int,m:int>>"), *[_spots(F.col("w"), m) for m in sizes])
     spot = maybe.select("*", F.explode(spots).alias("spot")).select("f", "r", F.struct((F.col("at") + F.col("spot.s")).alias("s"), F.col("spot.m").alias("m")).alias("spot"), F.array_join(F.slice("w", F.col("spot.s") + 1, F.col("spot.m")), " ").alias("run"))
     marks = spot.join(known(win), (spot["run"] == win["win"]) & (spot["spot.m"] == win["m"])).select("f", "r", "spot", "items")
@@ -102,7 +104,7 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, doc_id: str =
     src, file, row = keyed(docs)
     base = src.select(F.col(file).alias("f"), F.col(row).alias("r"), F.col(doc_id).alias("_id"), F.col(text).alias("t"))
     marks = _marks(base, bench, n, item_id, text).withColumnsRenamed({"f": "f_", "r": "r_"})
-    count = F.regexp_count(ascii_lower(F.coalesce("t", F.lit(""))), F.lit(f"[^{WORD_GAP[1:-2]}]+"))
+    count = F.size(F.array_remove(F.split(F.coalesce("t", F.lit("")), _GAP), ""))
     out = shuffled(base.select("f", "r", "_id", count.cast("long").alias("n_words")), marks, ["f", "r"], ["f_", "r_"])
     return out.select("_id", "n_words", "spans", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
